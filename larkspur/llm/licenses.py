@@ -94,14 +94,20 @@ def canonical(text):
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rank, digest) of every unit; each step is a projection of its own, so that no line is brought to its form twice."""
+    """(doc_id, rank, digest) of every unit.
+
+    Between the steps stands inline() of one row: the optimizer would otherwise merge the projections and
+    bring every line to its canonical form once for each use of it.
+    """
     nonempty = lambda x: x != ""
     digest = lambda scope: lambda x: F.struct(F.lit(scope).alias("rank"), F.md5(x).alias("digest"))
     raw = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.split(F.col(f"`{text_col}`"), "\n").alias("raw"))
-    lined = raw.select("doc_id", "raw", F.transform("raw", _line).alias("lines"))
+    lined = raw.select("doc_id", F.inline(F.array(F.struct("raw", F.transform("raw", _line).alias("lines")))))
     # lines that are blank in the text divide its paragraphs; \x01 stands for such a division
     marked = F.array_join(F.zip_with("raw", "lines", lambda r, x: F.when(F.trim(r) == "", F.lit("\x01")).otherwise(x)), " ")
-    joined = lined.select("doc_id", "lines", F.array_join(F.filter("lines", nonempty), " ").alias("whole"), F.transform(F.split(marked, "\x01"), lambda x: F.trim(F.regexp_replace(x, " +", " "))).alias("paragraphs"))
+    whole = F.array_join(F.filter("lines", nonempty), " ").alias("whole")
+    paragraphs = F.transform(F.split(marked, "\x01"), lambda x: F.trim(F.regexp_replace(x, " +", " "))).alias("paragraphs")
+    joined = lined.select("doc_id", F.inline(F.array(F.struct("lines", whole, paragraphs))))
     units = F.concat(
         F.transform(F.filter(F.array("whole"), nonempty), digest(0)),
         F.transform(F.filter("paragraphs", lambda x: (x != "") & (x != F.col("whole"))), digest(1)),

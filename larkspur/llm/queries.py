@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import licenses, media, packing, token_files, wordpieces
+from larkspur.llm import langid, licenses, media, packing, quality, token_files, toxicity, wordpieces
 from larkspur.llm.common import table
+from larkspur.llm.training import fold
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +22,43 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.decode_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, label) of the documents that have the label; one label for each id, the highest where they differ."""
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    labels = table(spark, sf_dir, "labels").filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
+    return quality.fit(labelled(spark, sf_dir, "quality").filter(fold("doc_id", 4) != 2))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(labelled(spark, sf_dir, "toxic").filter(fold("doc_id", 5) != 0))
+
+
+QUALITY_LEAST, TOXIC_LEAST = 0.7, 0.5
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"), "evidence")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold("doc_id", 4) != 2))
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,6 +71,9 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op10_token_files": op10_token_files,
 }
