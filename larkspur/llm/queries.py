@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import langid, licenses, media, packing, quality, token_files, toxicity, wordpieces
+from larkspur.llm import langid, licenses, media, neardup, packing, quality, token_files, toxicity, wordpieces
 from larkspur.llm.common import table
 from larkspur.llm.training import fold
 
@@ -63,6 +63,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_token_files": op10_token_files,
 }
 
