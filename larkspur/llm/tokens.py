@@ -12,6 +12,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -22,10 +24,13 @@ _FOLDED = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Marks of a chunk that starts a line or text, and of a whole text; private-use characters, which plain chunks can't hold otherwise.
 _MARK, _WHOLE = "\ue000", "\ue001"
 _PLAIN_FOLDED = re.compile("[!-~\xa1-ɏ]+")
-_PLAIN_BLANKS = re.compile(f"[{_MARK} ]?[!-~\xa1-ɏ]+")
-_ODD = re.compile(f"\\s\\s|\\s\\Z|\\A\\s|[^\\S \n]|[{_MARK}{_WHOLE}]")
+_PLAIN_BLANKS = re.compile(f"{_MARK}?[!-~\xa1-ɏ]+")
+#: Texts with white space that isn't a single inner blank or line end, or with the marks.
+_ODD = r"[ \n][ \n]|[ \n]\z|\A[ \n]|[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{e000}\x{e001}]"
+#: Texts where a comma or full stop may be part of a longer piece.
+_JOINED_STOP = r"(?:\A|[^\pL\pN])[,.]|[,.][^\s\pL\pN]"
 #: Distinct chunks kept per task; beyond, the cache starts anew (results do not depend on it).
-CACHE = 400_000
+CACHE = 600_000
 
 
 def _byte_table() -> dict[int, str]:
@@ -100,10 +105,10 @@ class Encoder:
         is_plain = (_PLAIN_BLANKS if self.keeps_blanks else _PLAIN_FOLDED).fullmatch
         for k, c in enumerate(chunks):
             (plain if is_plain(c) else odd).append(k)
-        joined = "\n".join([chunks[k] for k in plain])
         if self.keeps_blanks:
-            joined = joined.replace(_MARK, "")
+            joined = "\n".join([c[1:] if c[0] == _MARK else " " + c for c in [chunks[k] for k in plain]])
         else:
+            joined = "\n".join([chunks[k] for k in plain])
             joined = "\n".join(["\x00".join([*self.pieces.findall(line), ""]) for line in joined.lower().split("\n")])
         ids = np.asarray(self.core.encode_ordinary(joined), np.uint32)
         seps = np.flatnonzero(ids == self.line_id)
@@ -115,7 +120,9 @@ class Encoder:
             upto = np.concatenate([[0], np.cumsum(lens)])
             parts, at = [], 0
             for k in odd:
-                text = chunks[k].removeprefix(_MARK).removeprefix(_WHOLE) if self.keeps_blanks else chunks[k]
+                text = chunks[k]
+                if self.keeps_blanks and text != "\n":
+                    text = text[1:] if text[0] in (_MARK, _WHOLE) else " " + text
                 got = self.library.encode(text, add_special_tokens=False).ids
                 parts += [ids[at : upto[k]], np.asarray(got, np.uint32)]
                 at = upto[k]
@@ -125,25 +132,33 @@ class Encoder:
         self.lens = np.concatenate([self.lens, lens])
         chunks.clear()
 
-    def _text_codes(self, text: str) -> list[int]:
+    def _text_codes(self, text: str, odd: bool, joined: bool) -> list[int]:
+        """Codes of a text's chunks; where commas and full stops stand alone, they are chunks of their own."""
         codes = self.codes
         if not self.keeps_blanks:
-            return [codes[c] for c in text.replace("\n", " ").split(" ") if c]
+            text = text.replace("\n", " ")
+            if not joined:
+                text = text.replace(",", " ,").replace(".", " .")
+            return [codes[c] for c in text.split(" ") if c]
         if not text:
             return []
-        if _ODD.search(text):  # the whole text is one chunk
+        if odd:  # the whole text is one chunk
             return [codes[_WHOLE + text]]
-        first, *rest = text.replace("\n", " \n " + _MARK).split(" ")
+        if not joined:
+            text = text.replace(",", " " + _MARK + ",").replace(".", " " + _MARK + ".")
         # marked: no blank before it; a line end stands for itself; else the chunk follows a blank
-        return [codes[_MARK + first], *[codes[c] if c[0] == _MARK or c == "\n" else codes[" " + c] for c in rest]]
+        return [codes[c] for c in (_MARK + text.replace("\n", " \n " + _MARK)).split(" ")]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > CACHE:
             self._reset()
         parts: list[int] = []
         ends = np.zeros(len(texts) + 1, np.int64)
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, _ODD).to_pylist() if self.keeps_blanks else [False] * len(texts)
+        joined = pc.match_substring_regex(column, _JOINED_STOP).to_pylist()
         for k, t in enumerate(texts):
-            parts += self._text_codes(t)
+            parts += self._text_codes(t, odd[k], joined[k])
             ends[k + 1] = len(parts)
         self._add_pending()
         code = np.asarray(parts, np.int64)
