@@ -155,13 +155,16 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
     return model
 
 
+def scores(model: QualityModel, texts: list[str]) -> np.ndarray:
+    return model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))
+
+
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per document: doc_id, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for b in batches:
-            stats = np.array([statistics(t) for t in as_text(b.column(1))]).reshape(-1, len(STATISTICS))
-            yield pa.record_batch([b.column(0), pa.array(model.score(stats), pa.float64())], names=["doc_id", "score"])
+            yield pa.record_batch([b.column(0), pa.array(scores(model, as_text(b.column(1))), pa.float64())], names=["doc_id", "score"])
 
     return rows_with_id(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import langid, licenses, media, neardup, packing, quality, token_files, toxicity, wordpieces
+from larkspur.llm import decontamination, langid, licenses, media, neardup, packing, quality, token_files, toxicity, wordpieces
 from larkspur.llm.common import table
 from larkspur.llm.training import fold
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpieces.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -73,6 +77,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_media_columns": op4_media_columns,
     "op5_quality": op5_quality,

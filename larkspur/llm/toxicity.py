@@ -203,29 +203,36 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
     return model
 
 
+def scorer(model: ToxicityModel):
+    """A function of a text that gives (score, evidence, neighbours' ids, best cosine); it remembers words and vectors."""
+    shown = {i: t for t, i in model.vocabulary.items()}
+    words, kept = _Words(model.vocabulary), {}
+
+    def score_text(text: str) -> tuple[float, str, list[int], float]:
+        if len(words) > CACHE:
+            words.clear()
+        if len(kept) > CACHE // 10:
+            kept.clear()
+        counts = Counter([x for got in map(words.__getitem__, text.split()) if got for x in got])
+        key = tuple(sorted(counts.items()))
+        if key not in kept:
+            s, found, cosine = model.score(counts)
+            evidence = " ".join(f"{shown[i]}:{n}" for i, n in key[:8])
+            kept[key] = s, evidence, [model.example_ids[i] for i in found], float(cosine[0]) if len(cosine) else 0.0
+        return kept[key]
+
+    return score_text
+
+
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per document (SCHEMA).  The model is bounded by FIT_ROWS and MAX_TERMS and travels by broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    shown = {i: t for t, i in model.vocabulary.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        m, words = held.value, None
-        kept: dict[tuple, tuple] = {}
+        score_text = scorer(held.value)
         for b in batches:
-            if words is None or len(words) > CACHE:
-                words = _Words(m.vocabulary)
-            if len(kept) > CACHE // 10:
-                kept.clear()
-            out = []
-            for t in as_text(b.column(1)):
-                counts = Counter([x for got in map(words.__getitem__, t.split()) if got for x in got])
-                key = tuple(sorted(counts.items()))
-                if key not in kept:
-                    s, found, cosine = m.score(counts)
-                    evidence = " ".join(f"{shown[i]}:{n}" for i, n in key[:8])
-                    kept[key] = s, evidence, [m.example_ids[i] for i in found], float(cosine[0]) if len(cosine) else 0.0
-                out.append(kept[key])
+            out = [score_text(t) for t in as_text(b.column(1))]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.record_batch([b.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.float64())], names=["doc_id", "score", "evidence", "neighbours", "similarity"])
 
