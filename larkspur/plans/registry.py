@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from larkspur.plans import search
+
+_PLANS = (search,)
+QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
