@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkspur.plans import search
+from larkspur.plans import catalog, search
 
-_PLANS = (search,)
+_PLANS = (search, catalog)
 QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def session(name: str = "larkspur", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; further settings by keyword, dots written as double underscores."""
@@ -13,3 +20,17 @@ def session(name: str = "larkspur", master: str | None = None, **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="larkspur"), "larkspur_core.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, str(p.relative_to(package.parent)))
+    spark.sparkContext.addPyFile(target)
