@@ -39,6 +39,8 @@ PERCENT = 75
 CELLS = 1 << 19
 #: Rows of one posting list that a task gets at most, about; longer lists are split and their leaders joined.
 SPLIT = 100_000
+#: Members of a list from which its pairs across components are compared in blocks of BLOCK by BLOCK sets.
+LONG, BLOCK = 32, 400
 #: Bits of the filter by which texts of candidate pairs are read: a fixed size; when full it only lets more texts through.
 FILTER_BITS = 1 << 26
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.binary())])
@@ -205,6 +207,70 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return keyed.filter(occurs(at(0), at(1))).select("rep", "t")
 
 
+def _block_links(long_lists: DataFrame, raw: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between components among the members of long lists, confirmed on full sets.
+
+    Lists that share members form a cluster.  All members outside the cluster's largest component are dealt
+    into blocks that meet each other, and the blocks of that component; a task holds two blocks, finds all
+    intersections by products of incidence matrices, and gives out no more edges than join what is apart.
+    So no pair is ever a row, and members of one component are not compared.
+    """
+    members = cut(long_lists.select("rep", "c", "head").distinct(), "neardup-long")
+    cluster = components(members.select(F.col("rep").alias("u"), F.col("head").alias("v")))
+    own = members.select("rep", "c").distinct().join(cluster, F.col("rep") == F.col("node")).select("rep", "c", F.col("component").alias("cluster"))
+    own = cut(own, "neardup-long")
+    sizes = own.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.groupBy("cluster").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    plan = total.select("cluster", F.col("top.c").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("mains"))
+    j = own.join(plan, "cluster").withColumn("is_main", F.col("c") == F.col("main"))
+    # blocks 0 .. others-1 hold the others, those from others on the largest component
+    j = j.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int") + F.when(F.col("is_main"), F.col("others")).otherwise(0))
+    partner = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    dealt = j.filter("others > 0").select("cluster", "rep", "c", "block", F.explode(partner).alias("other"))
+    dealt = dealt.select("cluster", "rep", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"))
+    texts = _texts(raw, own.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+
+    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
+        sets = [shingle_set(t) for t in rows["t"]]
+        size = np.array([len(s) for s in sets], np.int64)
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = times[column] > 1
+        named = np.cumsum(times > 1) - 1
+        row, column, wide = row[shared], named[column[shared]], int((times > 1).sum())
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, wide, 4096):
+            lo, hi = np.searchsorted(column, [at, at + 4096])
+            part = np.zeros((len(sets), min(4096, wide - at)), np.float32)
+            part[row[lo:hi], column[lo:hi] - at] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+        a, b = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1))
+        top: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        comp, rep, out = rows["c"].tolist(), rows["rep"].tolist(), []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if not size[x] or not size[y]:
+                continue
+            p, q = find(comp[x]), find(comp[y])
+            if p != q:
+                top[p] = q
+                out.append((rep[x], rep[y]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return dealt.join(texts, "rep").groupBy("cluster", "i", "k").applyInPandas(compare, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -224,14 +290,16 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     first = cut(_confirmed(agreeing, _texts(raw, agreeing), percent), "neardup-links")
     inner = cut(components(first), "neardup-components")
 
-    # lists with members in several components: all pairs across components
-    placed = cut(lists.select("bucket", "rep").join(inner, lists.rep == inner.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "neardup-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("bucket")
-    left = placed.join(mixed, "bucket")
-    one, two = left.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca")), left.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"))
+    # lists with members in several components: pairs across components, of long lists in blocks
+    placed = cut(lists.select("bucket", "rep").distinct().join(inner, lists.rep == inner.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "neardup-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).filter("c0 < c1").select("bucket", "n", "head")
+    left = cut(placed.join(mixed, "bucket"), "neardup-open")
+    short = left.filter(F.col("n") <= LONG)
+    one, two = short.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca")), short.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"))
     rest = one.join(two, "bucket").filter("a > b and ca <> cb").select("a", "b").distinct()
     agreeing = cut(_agreeing(rest, reps), "neardup-pairs")
     second = cut(_confirmed(agreeing, _texts(raw, agreeing), percent), "neardup-links")
+    second = second.union(cut(_block_links(left.filter(F.col("n") > LONG), raw, percent), "neardup-links"))
 
     # an id that comes with several sets joins them
     classes = reps.select("hi", "lo", "rep")
