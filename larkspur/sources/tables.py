@@ -19,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def csv_catalog(spark: SparkSession, path: str, columns: list[str] | None = None, encoding: str = "windows-1252") -> DataFrame:
     """A CSV with header, every column as text; columns that are not as declared raise."""
     names = columns or RAW_CATALOG
+    if encoding.lower() not in ("iso-8859-1", "us-ascii", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # other charsets are refused without it
     found = spark.read.option("header", True).option("encoding", encoding).csv(path).columns
     if found != names:
         raise ValueError(f"expected columns {names}, found {found}")
