@@ -1,7 +1,6 @@
 """Evaluation, statistics and serving queries.
 
-Judgments stand in: a document is judged for a query of the same embedding label, every fifth one, with
-grades 1 to 3.
+Judgments stand in: every document is judged for the queries of its embedding label, with grades 1 to 3.
 """
 
 from __future__ import annotations
@@ -22,22 +21,21 @@ RESAMPLES, ROUNDS = 200, 300
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    q = e.filter(F.col("doc_id") < S.QUERY_VECTORS).select(F.col("doc_id").alias("query_id"), "label")
-    j = e.filter(F.col("doc_id") % 5 == 0).join(F.broadcast(q), "label").filter("doc_id <> query_id")
+    q = e.filter(F.col("doc_id") % S.EVERY == 0).select((F.col("doc_id") / S.EVERY).cast("long").alias("query_id"), F.col("doc_id").alias("own"), "label")
+    j = e.join(q, "label").filter("doc_id <> own")
     return j.select("query_id", "doc_id", (F.col("doc_id") % 3 + 1).alias("grade"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variant, query_id, doc_id, score, rank) of three variants over the same queries."""
-    few = F.col("query_id") < S.QUERY_VECTORS
-    a, b = S.bm25_list(spark, sf_dir).filter(few), S.vector_list(spark, sf_dir)
+    a, b = S.bm25_list(spark, sf_dir), S.vector_list(spark, sf_dir)
     f = L.top_k(R.fused(a, b).withColumn("score", F.col("rrf_score")), S.TOP_K)
     pick = lambda d, n: d.select(F.lit(n).alias("variant"), "query_id", "doc_id", "score", "rank")
     return pick(a, "bm25").union(pick(b, "vector")).union(pick(f, "rrf"))
 
 
 def _queries(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < S.QUERY_VECTORS).select(F.col("vec_id").alias("query_id"))
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % S.EVERY == 0).select((F.col("vec_id") / S.EVERY).cast("long").alias("query_id"))
 
 
 def _metrics(spark, sf_dir):
@@ -61,7 +59,7 @@ def ndcg(spark, sf_dir):
 
 
 def category_rollup(spark, sf_dir):
-    c = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("category"))
+    c = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % S.EVERY == 0).select((F.col("vec_id") / S.EVERY).cast("long").alias("query_id"), F.col("label").alias("category"))
     return _round(E.by_category(_metrics(spark, sf_dir).filter("k = 10"), c).select("variant", "category", "n", "precision", "rr"), "precision", "rr")
 
 
@@ -116,7 +114,7 @@ def sign_flip_pvalue(spark, sf_dir):
 def bh_adjust(spark, sf_dir):
     """Adjusted p of two-sided tail shares by user: a plain table of p values."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg((F.col("event_type") == "error").cast("double")) + 0.001 * F.count(F.lit(1)), 6).alias("p"))
-    return _round(E.benjamini_hochberg(e.filter("user_id < 200")), "adjusted")
+    return _round(E.benjamini_hochberg(e), "adjusted")
 
 
 def latency_percentiles(spark, sf_dir):
@@ -154,11 +152,11 @@ def window_counters_batch(spark, sf_dir):
     return _round(w.select(F.date_format("w.start", "yyyy-MM-dd").alias("start"), "event_type", "n", "mean"), "mean")
 
 
-JUDGED = f"""jd AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.vec_id % 3 + 1 AS grade FROM embeddings d JOIN embeddings q ON d.label = q.label WHERE q.vec_id < {S.QUERY_VECTORS} AND d.vec_id % 5 = 0 AND d.vec_id <> q.vec_id)"""
-LISTS = f"""{S.BM25}, {S.KNN}, a AS {S._top(f"bm WHERE query_id < {S.QUERY_VECTORS}", S.TOP_K)}, b AS {S._top("cosines", S.TOP_K)},
+JUDGED = f"""jd AS (SELECT q.vec_id // {S.EVERY} AS query_id, d.vec_id AS doc_id, d.vec_id % 3 + 1 AS grade FROM embeddings d JOIN embeddings q ON d.label = q.label WHERE q.vec_id % {S.EVERY} = 0 AND d.vec_id <> q.vec_id)"""
+LISTS = f"""{S.BM25}, {S.KNN}, a AS {S._top("bm", S.TOP_K)}, b AS {S._top("cosines", S.TOP_K)},
 h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
 f AS {S._top("h", S.TOP_K)}, vs AS (SELECT 'bm25' AS variant, query_id, doc_id, rank FROM a UNION ALL SELECT 'vector', query_id, doc_id, rank FROM b UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM f), {JUDGED}"""
-MET = f"""{LISTS}, qs AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < {S.QUERY_VECTORS}), kk(k) AS (VALUES (1), (5), (10)), vv(variant) AS (VALUES ('bm25'), ('vector'), ('rrf')),
+MET = f"""{LISTS}, qs AS (SELECT vec_id // {S.EVERY} AS query_id FROM embeddings WHERE vec_id % {S.EVERY} = 0), kk(k) AS (VALUES (1), (5), (10)), vv(variant) AS (VALUES ('bm25'), ('vector'), ('rrf')),
 g AS (SELECT variant, query_id, rank, coalesce(grade, 0) AS grade FROM vs LEFT JOIN jd USING (query_id, doc_id)),
 got AS (SELECT variant, query_id, k, count(*) FILTER (rank <= k) AS n_returned, count(*) FILTER (rank <= k AND grade >= 2) AS hits, min(rank) FILTER (grade >= 2) AS first_rank, coalesce(sum(grade / log2(rank + 1)) FILTER (rank <= k), 0) AS dcg FROM qs CROSS JOIN kk CROSS JOIN vv LEFT JOIN g USING (variant, query_id) GROUP BY ALL),
 ji AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM jd), ideal AS (SELECT query_id, k, sum(grade / log2(i + 1)) AS idcg FROM ji, kk WHERE i <= k GROUP BY ALL), rel AS (SELECT query_id, count(*) FILTER (grade >= 2) AS n_relevant FROM jd GROUP BY 1),
@@ -182,7 +180,7 @@ ORACLE_SQL = {
     "precision_recall_at_k": f"WITH {MET} SELECT variant, query_id, k, n_returned, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m",
     "hit_rate_mrr": f"WITH {MET} SELECT variant, k, n_queries, n_eligible, round(hit, 6) AS hit, round(rr, 6) AS rr FROM agg",
     "ndcg": f"WITH {MET} SELECT variant, query_id, k, round(ndcg, 6) AS ndcg FROM m",
-    "category_rollup": f"WITH {MET} SELECT variant, label AS category, count(*) AS n, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS rr FROM m JOIN embeddings ON vec_id = query_id WHERE k = 10 GROUP BY GROUPING SETS ((variant), (variant, label))",
+    "category_rollup": f"WITH {MET} SELECT variant, label AS category, count(*) AS n, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS rr FROM m JOIN embeddings ON vec_id = query_id * {S.EVERY} WHERE k = 10 GROUP BY GROUPING SETS ((variant), (variant, label))",
     "candidate_coverage": f"WITH {LISTS}, p AS (SELECT DISTINCT query_id, doc_id, 1 AS p FROM vs) SELECT query_id, count(*) AS n_relevant, count(p) AS n_in_pool, round(count(p) / count(*), 6) AS coverage FROM jd LEFT JOIN p USING (query_id, doc_id) WHERE grade >= 2 GROUP BY query_id",
     "catalog_coverage": f"WITH {LISTS} SELECT variant, count(DISTINCT doc_id) AS n_distinct, count(*) AS n_rows, any_value(nc) AS n_catalog, round(count(DISTINCT doc_id) / any_value(nc), 6) AS coverage, round(count(DISTINCT doc_id) / count(*), 6) AS unique_ratio FROM vs, (SELECT count(*) AS nc FROM documents) GROUP BY variant",
     "failure_categories": f"WITH {DIAG} SELECT grade, CASE WHEN rrf_rank IS NULL THEN 'absent' WHEN rrf_rank <= 5 THEN 'in_top_k' WHEN rrf_rank > 10 THEN 'depth_limited' ELSE 'below_k' END AS category, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM dg GROUP BY ALL",
@@ -191,7 +189,7 @@ ORACLE_SQL = {
     "paired_observations": f"WITH {DIFFS} SELECT metric, reason, count(*) AS n, round(avg(diff), 6) AS mean_diff, round(avg(abs(diff)), 6) AS mean_abs_diff FROM df GROUP BY ALL",
     "bootstrap_ci": f"WITH {DIFFS}, pk AS (SELECT metric, b, {_DRAW} % n AS i FROM nd, range({RESAMPLES}) AS r(b)), ms AS (SELECT metric, b, round(avg(diff), 12) AS mm FROM pk JOIN nd USING (metric, i) GROUP BY ALL), s AS (SELECT metric, list(mm ORDER BY mm) AS l FROM ms GROUP BY 1) SELECT metric, count(*) AS n, round(avg(diff), 6) AS mean_diff, round(any_value(l[{int(0.025 * RESAMPLES) + 1}]), 6) AS low, round(any_value(l[{int(0.975 * RESAMPLES)}]), 6) AS high, count(*) < 30 AS small_sample FROM nd JOIN s USING (metric) GROUP BY metric",
     "sign_flip_pvalue": f"WITH {DIFFS}, fl AS (SELECT metric, b, abs(avg(CASE WHEN {_DRAW} % 2 = 0 THEN diff ELSE -diff END)) AS mm FROM nd, range({ROUNDS}) AS r(b) GROUP BY ALL), sn AS (SELECT metric, abs(avg(diff)) AS seen FROM nd GROUP BY 1) SELECT metric, round((count(*) FILTER (mm >= seen - 1e-12) + 1) / {ROUNDS + 1}, 6) AS p FROM fl JOIN sn USING (metric) GROUP BY metric",
-    "bh_adjust": "WITH t AS (SELECT user_id, round(avg((event_type = 'error')::INT::DOUBLE) + 0.001 * count(*), 6) AS p FROM events WHERE user_id < 200 GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t) SELECT user_id, p, round(min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM r",
+    "bh_adjust": "WITH t AS (SELECT user_id, round(avg((event_type = 'error')::INT::DOUBLE) + 0.001 * count(*), 6) AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t) SELECT user_id, p, round(min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM r",
     "latency_percentiles": f"WITH l AS ({_lat()}) SELECT event_type, n, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)} FROM l",
     "throughput_errors": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed, round(count(*) FILTER (event_type <> 'error') / (greatest(epoch_us(max(ts)) - epoch_us(min(ts)), 1) / 1e6), 6) AS per_second, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM events GROUP BY 1",
     "regression_flags": f"WITH x AS ({_lat('event_id % 2 = 0')}), y AS ({_lat('event_id % 2 = 1')}), j AS (" + " UNION ALL ".join(f"SELECT event_type, '{c}' AS metric, x.{c} AS b, y.{c} AS a FROM x JOIN y USING (event_type)" for c in _SIX) + ") SELECT event_type, metric, round(b, 5) AS before, round(a, 5) AS after, round(a - b, 5) AS delta, CASE WHEN b <> 0 THEN round((a - b) / b, 5) END AS percent, coalesce((a - b) / nullif(b, 0) > 0.02, false) AS regressed FROM j",

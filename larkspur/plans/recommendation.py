@@ -12,6 +12,7 @@ from larkspur.operators import retrieval as R
 from larkspur.plans import search as S
 from larkspur.sources.tables import table
 
+#: The stated query set: every product whose id is divisible by SEEDS.
 SEEDS, POOL, TOP = 20, 50, 10
 SCALARS, MULTIS = {"brand": 3.0, "product_type": 1.5, "size": 0.75}, {"words": 0.5}
 # weights of the recommendation score; raw BM25 is not normalised, as in the specification
@@ -24,7 +25,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return products(spark, sf_dir).filter(F.col("id") <= SEEDS)
+    return products(spark, sf_dir).filter(F.col("id") % SEEDS == 0)
 
 
 def _attribute(spark, sf_dir):
@@ -33,7 +34,7 @@ def _attribute(spark, sf_dir):
 
 def _vector(spark, sf_dir):
     v = S.vectors(spark, sf_dir)
-    return R.knn(v.filter((F.col("id") >= 1) & (F.col("id") <= SEEDS)), v, TOP, exclude_self=True).withColumnRenamed("query_id", "seed")
+    return R.knn(v.filter(F.col("id") % SEEDS == 0), v, TOP, exclude_self=True).withColumnRenamed("query_id", "seed")
 
 
 def _bm25(spark, sf_dir):
@@ -166,11 +167,11 @@ def _top_seed(src: str, k: int, more: str = "") -> str:
 
 
 GENERATED = f"""{PRODUCTS},
-ga AS (SELECT s.id AS seed, p.id AS doc_id, (2.0 + (s.brand = p.brand)::INT * 3.0 + (s.product_type = p.product_type)::INT * 1.5 + (s.size = p.size)::INT * 0.75 + list_has_any(s.words, p.words)::INT * 0.5) / 7.75 AS score FROM products s JOIN products p ON s.gender = p.gender AND s.id <> p.id WHERE s.id <= {SEEDS}),
-{S.UNIT}, gv AS (SELECT s.id AS seed, d.id AS doc_id, list_cosine_similarity(s.v, d.v) AS score FROM vecs s, vecs d WHERE s.id BETWEEN 1 AND {SEEDS} AND s.id <> d.id),
+ga AS (SELECT s.id AS seed, p.id AS doc_id, (2.0 + (s.brand = p.brand)::INT * 3.0 + (s.product_type = p.product_type)::INT * 1.5 + (s.size = p.size)::INT * 0.75 + list_has_any(s.words, p.words)::INT * 0.5) / 7.75 AS score FROM products s JOIN products p ON s.gender = p.gender AND s.id <> p.id WHERE s.id % {SEEDS} = 0),
+{S.UNIT}, gv AS (SELECT s.id AS seed, d.id AS doc_id, list_cosine_similarity(s.v, d.v) AS score FROM vecs s, vecs d WHERE s.id % {SEEDS} = 0 AND s.id <> d.id),
 ptoks AS (SELECT id, regexp_extract_all(lower(p_name || ' ' || brand), '[a-z0-9]+') AS t FROM products), pcs AS (SELECT count(*) AS n, avg(len(t)) AS a FROM ptoks),
 ppost AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM ptoks) GROUP BY ALL), pdf AS (SELECT term, count(*) AS df FROM ppost GROUP BY 1),
-pask AS (SELECT DISTINCT id AS seed, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS term FROM products WHERE id <= {SEEDS}),
+pask AS (SELECT DISTINCT id AS seed, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS term FROM products WHERE id % {SEEDS} = 0),
 gb AS (SELECT seed, id AS doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM pask JOIN ppost USING (term) JOIN pdf USING (term), pcs WHERE seed <> id GROUP BY ALL),
 ta AS {_top_seed("ga", TOP)}, tv AS {_top_seed("gv", TOP)}, tb AS {_top_seed("gb", TOP)}"""
 MERGED = f"""{GENERATED}, every AS (SELECT seed, doc_id, 'attribute' AS source, score FROM ta UNION ALL SELECT seed, doc_id, 'vector', score FROM tv UNION ALL SELECT seed, doc_id, 'bm25', score FROM tb),
@@ -207,8 +208,8 @@ ORACLE_SQL = {
     "select_brand_cap": f"WITH {RANKED} SELECT seed, doc_id, rank, brand FROM ranked QUALIFY row_number() OVER (PARTITION BY seed, brand ORDER BY rank) <= 2",
     "select_two_caps": f"WITH {WALK} SELECT seed, rank, doc_id, decision, CASE WHEN decision = 'selected' THEN n END AS position FROM walk WHERE rank > 0",
     "reco_pipeline": f"WITH {WALK} SELECT seed, doc_id, n AS rank FROM walk WHERE decision = 'selected'",
-    "reco_shortfall": f"WITH {WALK}, c AS (SELECT seed, count(*) AS pool, count(*) FILTER (decision = 'selected') AS got FROM walk WHERE rank > 0 GROUP BY 1) SELECT id AS seed, coalesce(pool, 0) AS pool, coalesce(got, 0) AS got, CAST(greatest({TOP} - coalesce(got, 0), 0) AS BIGINT) AS missing, CASE WHEN pool IS NULL THEN 'NO_CANDIDATES' WHEN got = 0 THEN 'ALL_REJECTED' WHEN got < {TOP} THEN 'SHORTFALL' ELSE 'COMPLETE' END AS state FROM products LEFT JOIN c ON seed = id WHERE id <= {SEEDS}",
-    "jaccard_similarity": f"WITH {PRODUCTS} SELECT s.id AS seed, round({SIM}, 6) AS jaccard, count(*) AS n FROM products p JOIN products s ON p.gender = s.gender WHERE s.id <= {SEEDS} GROUP BY ALL",
+    "reco_shortfall": f"WITH {WALK}, c AS (SELECT seed, count(*) AS pool, count(*) FILTER (decision = 'selected') AS got FROM walk WHERE rank > 0 GROUP BY 1) SELECT id AS seed, coalesce(pool, 0) AS pool, coalesce(got, 0) AS got, CAST(greatest({TOP} - coalesce(got, 0), 0) AS BIGINT) AS missing, CASE WHEN pool IS NULL THEN 'NO_CANDIDATES' WHEN got = 0 THEN 'ALL_REJECTED' WHEN got < {TOP} THEN 'SHORTFALL' ELSE 'COMPLETE' END AS state FROM products LEFT JOIN c ON seed = id WHERE id % {SEEDS} = 0",
+    "jaccard_similarity": f"WITH {PRODUCTS} SELECT s.id AS seed, round({SIM}, 6) AS jaccard, count(*) AS n FROM products p JOIN products s ON p.gender = s.gender WHERE s.id % {SEEDS} = 0 GROUP BY ALL",
     "ranking_features": f"WITH {SFEAT} SELECT query_id, doc_id, gender_match, brand_match, matched_count, round(matched_share, 6) AS matched_share, both_flag AS in_both, round(rrf_score, 6) AS rrf_score FROM sm",
     "minmax_group_norm": f"WITH {SNORM} SELECT query_id, doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in NUMERIC)} FROM nm",
     "baseline_rank": f"WITH {SNORM} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {S._top('scored', 10)}",
