@@ -139,7 +139,8 @@ def vocab_coverage(spark, sf_dir):
 
 def upsert_merge(spark, sf_dir):
     c = catalog(spark, sf_dir).select("product_id", "brand", "color")
-    old, new = c.filter(F.crc32(F.col("product_id").cast("binary")) % 3 != 0), c.filter(F.crc32(F.col("product_id").cast("binary")) % 2 == 0).withColumn("color", F.lit("new"))
+    number = F.substring("product_id", 2, 20).cast("long")
+    old, new = c.filter(number % 3 != 0), c.filter(number % 2 == 0).withColumn("color", F.lit("new"))
     return upsert(old, new, "product_id").groupBy("color").agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(upsert_counts(old, new, "product_id"))
 
 
@@ -244,6 +245,13 @@ _LABELS = [(label, c) for label, c in P.LABELS if c != "color_normalized"]
 PRODUCT_TEXT = "nullif(concat_ws('. ', " + ", ".join(_sql_clause(label, c) for label, c in _LABELS) + "), '') || '.'"
 LEXICAL_TEXT = "concat_ws(' ', " + ", ".join(f"replace({c}, '|', ',')" for _, c in _LABELS) + r", trim(regexp_replace(description, '\s+', ' ', 'g')))"
 
+COLOR_NAMES = "names(color, color_normalized, color_is_coded) AS (VALUES ('darkblue', 'dark_blue', false), ('greymelange', 'grey_melange', false), ('red', 'red', false), ('02dx', '02dx', true), ('offwhite', 'off_white', false), ('gray', 'grey', false), ('mediumpink', 'medium_pink', false))"
+_SHOWN = [_sql_clause(label, c) if c != "color_normalized" else f"CASE WHEN color_normalized = '02dx' THEN 'Color: 02Dx' ELSE {_sql_clause(label, c)} END" for label, c in P.LABELS]
+SEMANTIC_TEXT = "concat_ws(' ', nullif(concat_ws('. ', " + ", ".join(_SHOWN) + r"), '') || '.', 'Description: ' || trim(regexp_replace(description, '\s+', ' ', 'g')))"
+_REDACTED = "text"
+for _p in X.SECRETS:
+    _REDACTED = f"regexp_replace({_REDACTED}, {_quote(_p)}, '[redacted]', 'g')"
+
 QUERIES = {f.__name__: f for f in (validation_findings, url_structure, price_rules, identity_summary, dup_value_summary, dup_key_summary, dup_variance, representative_groups, exact_dedup, case_variants, top_colors, cleaned_cells, canonical_projection, color_normalize, attr_extract, vocab_coverage, upsert_merge, product_text, lexical_text, semantic_text, multivalue_parse, quality_issues, field_coverage, redacted_messages, query_normalization)}
 ORACLE_SQL = {
     "validation_findings": f"WITH {CATALOG}, {PRICES} " + " UNION ALL ".join([
@@ -267,7 +275,10 @@ ORACLE_SQL = {
     "top_colors": f"WITH {CATALOG} SELECT color AS value, count(*) AS n FROM catalog GROUP BY 1 ORDER BY n DESC, value NULLS FIRST LIMIT 5",
     "cleaned_cells": f"WITH {CATALOG} SELECT " + ", ".join(f"count(*) FILTER (NOT coalesce({c} = trim({c}), false)) AS {c}" for c in ("description", "brand", "color")) + " FROM catalog",
     "canonical_projection": rf"WITH {CATALOG}, {PRICES} SELECT product_id, brand, trim(regexp_replace(description, '\s+', ' ', 'g')) AS description, o AS original_price_inr, d AS discount_price_inr, coalesce(d > o, false) AS price_anomaly, 'parts' AS source FROM priced",
-    "color_normalize": f"WITH {CATALOG}, names(color, color_normalized, color_is_coded) AS (VALUES ('darkblue', 'dark_blue', false), ('greymelange', 'grey_melange', false), ('red', 'red', false), ('02dx', '02dx', true), ('offwhite', 'off_white', false), ('gray', 'grey', false), ('mediumpink', 'medium_pink', false)) SELECT color, color_normalized, color_is_coded, count(*) AS n FROM catalog LEFT JOIN names USING (color) GROUP BY ALL",
+    "color_normalize": f"WITH {CATALOG}, {COLOR_NAMES} SELECT color, color_normalized, color_is_coded, count(*) AS n FROM catalog LEFT JOIN names USING (color) GROUP BY ALL",
+    "semantic_text": f"WITH {CATALOG}, {ATTRS}, {COLOR_NAMES} SELECT product_id, {SEMANTIC_TEXT} AS semantic_text FROM attrs LEFT JOIN names USING (color)",
+    "redacted_messages": f"WITH r AS (SELECT doc_id, substr({_REDACTED}, 1, 240) AS t FROM documents) SELECT doc_id, md5(t) AS digest FROM r WHERE contains(t, '[redacted]')",
+    "upsert_merge": f"WITH {CATALOG}, c AS (SELECT product_id, CAST(substr(product_id, 2) AS BIGINT) AS k, color FROM catalog), o AS (SELECT * FROM c WHERE k % 3 <> 0), n AS (SELECT product_id, k, 'new' AS color FROM c WHERE k % 2 = 0), u AS (SELECT color FROM n UNION ALL SELECT color FROM o ANTI JOIN n USING (product_id)) SELECT color, count(*) AS n_rows, (SELECT count(*) FROM n ANTI JOIN o USING (product_id)) AS inserted, (SELECT count(*) FROM n SEMI JOIN o USING (product_id)) AS updated FROM u GROUP BY color",
     "attr_extract": f"WITH {CATALOG}, {ATTRS} SELECT product_id, {', '.join(A.VOCABULARY)} FROM attrs",
     "vocab_coverage": f"WITH {CATALOG}, texts AS (SELECT *, {NORMAL} AS t FROM catalog) " + " UNION ALL ".join(f"SELECT '{a}' AS attribute, '{v}' AS value, count(*) FILTER ({_sql_value(a, v)}) AS n_rows, round(count(*) FILTER ({_sql_value(a, v)}) / count(*), 6) AS share FROM texts" for a in ("product_type", "product_features") for v in A.VOCABULARY[a]),
     "product_text": f"WITH {CATALOG}, {ATTRS} SELECT product_id, {PRODUCT_TEXT} AS product_text FROM attrs",
