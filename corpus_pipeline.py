@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, neardup, packing, quality, toxicity
 from larkspur.llm.common import fresh_path, ship, table
-from larkspur.llm.queries import TOXIC_LEAST, labelled
-from larkspur.llm.training import fold
+from larkspur.llm.queries import TOXIC_LEAST, quality_model, toxicity_model
 
 #: A document goes if its calibrated quality is below this.
 QUALITY_LEAST = 0.5
@@ -36,14 +35,13 @@ def _kept(docs: DataFrame, column: str, mask: Callable[[], Callable[[list[str]],
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = toxicity.fit(labelled(spark, sf_dir, "toxic", docs).filter(fold("doc_id", 5) != 0))
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(toxicity_model(spark, sf_dir, docs))
     return _kept(docs, "text", lambda: lambda texts, score=toxicity.scorer(held.value): np.array([score(t)[0] < TOXIC_LEAST for t in texts], bool))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    model = quality.fit(labelled(spark, sf_dir, "quality", docs).filter(fold("doc_id", 4) != 2))
+    model = quality_model(spark, sf_dir, docs)
     return _kept(docs, "text", lambda: lambda texts: quality.scores(model, texts) >= QUALITY_LEAST)
 
 

@@ -120,10 +120,10 @@ def _with_statistics(rows: DataFrame, text_at: int, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int = FIT_ROWS) -> QualityModel:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int | None = FIT_ROWS) -> QualityModel:
     usable = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("long").alias("y"), F.col(text_col).alias("t"))
     # every fourth row, by another hash, is for the calibration
-    sample = bounded_sample(usable, "k", "y", rows).select((F.pmod(F.xxhash64(F.lit("calibration"), "k"), F.lit(4)) == 0).alias("c0"), F.col("y").alias("c1"), "t")
+    sample = (usable if rows is None else bounded_sample(usable, "k", "y", rows)).select((F.pmod(F.xxhash64(F.lit("calibration"), "k"), F.lit(4)) == 0).alias("c0"), F.col("y").alias("c1"), "t")
     stats = cut(_with_statistics(sample, 2, "c0 boolean, c1 long, c2 array<double>"), "quality-fit")
     width = len(STATISTICS)
     first = stats.select(F.count(F.lit(1)), F.sum("c1"), *[F.avg(F.col("c2")[k]) for k in range(width)], *[F.stddev_pop(F.col("c2")[k]) for k in range(width)]).collect()[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, langid, licenses, media, neardup, packing, quality, token_files, toxicity, wordpieces
 from larkspur.llm.common import table
-from larkspur.llm.training import fold
+from larkspur.llm.training import bounded_sample, fold
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,19 +26,24 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.decode_media(media.store_texts(table(spark, sf_dir, "documents"))))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, label) of the documents that have the label; one label for each id, the highest where they differ."""
+def labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int, rows: int, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, label): a bounded sample of the documents that have the label and are not held out.
+
+    One label for each id, the highest where they differ.  The sample, about `rows` of each label, is taken
+    from the labels alone; it may then be broadcast, and no text is shuffled to find its label.
+    """
     docs = table(spark, sf_dir, "documents") if docs is None else docs
-    labels = table(spark, sf_dir, "labels").filter(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    labels = table(spark, sf_dir, "labels").filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    sample = bounded_sample(labels.filter(fold("doc_id", folds) != held_out), "doc_id", "label", rows)
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> quality.QualityModel:
-    return quality.fit(labelled(spark, sf_dir, "quality").filter(fold("doc_id", 4) != 2))
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> quality.QualityModel:
+    return quality.fit(labelled(spark, sf_dir, "quality", 4, 2, quality.FIT_ROWS, docs), rows=None)
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
-    return toxicity.fit(labelled(spark, sf_dir, "toxic").filter(fold("doc_id", 5) != 0))
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.ToxicityModel:
+    return toxicity.fit(labelled(spark, sf_dir, "toxic", 5, 0, toxicity.FIT_ROWS, docs), rows=None)
 
 
 QUALITY_LEAST, TOXIC_LEAST = 0.7, 0.5
