@@ -5,7 +5,7 @@ vocabulary holds the terms whose share differs significantly between the labels.
 indexed by term in blocks of BLOCK examples; each term keeps its largest weight in every block.  A query
 visits blocks by falling upper bound and stops when no block can still reach its K-th best cosine, so the
 neighbours are exact.  Votes of the neighbours, weighted by closeness, are calibrated by isotonic
-regression over the examples themselves (each left out of its own neighbours).
+regression over up to about CALIBRATION_ROWS of the examples (each left out of its own neighbours).
 
 The fit takes at most about FIT_ROWS labelled rows of each label (a documented bound, chosen by a hash of
 the id); every text is then scored whole.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,8 +38,12 @@ FIT_ROWS = 10_000
 MAX_TERMS = 20_000
 #: Likelihood ratio (2 log) that a term's share differs between the labels: about one false term in ten million.
 MIN_RATIO = 28.0
+#: Least factor between the two shares: with many rows, small differences of common words are significant too.
+MIN_FOLD = 4.0
 PREFIXES = (4, 5)
 K = 15
+#: Examples, evenly spaced, whose left-out votes calibrate the scores, about.
+CALIBRATION_ROWS = 2000
 BLOCK = 64
 #: Distinct words whose terms a task keeps; beyond, it starts anew (results do not depend on it).
 CACHE = 300_000
@@ -80,41 +85,51 @@ class BlockMaxIndex:
         order = np.lexsort((example, terms))
         self.example, self.weight = example[order], weights[order]
         self.start = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.most = {}  # term -> largest weight by block, of the terms that occur
+        self.in_block = self.example // block
+        self.most: dict[int, np.ndarray] = {}  # term -> largest weight by block, of the terms that occur
         for t in np.unique(terms):
             row = np.zeros(self.blocks)
             a, z = self.start[t], self.start[t + 1]
-            np.maximum.at(row, self.example[a:z] // block, self.weight[a:z])
+            np.maximum.at(row, self.in_block[a:z], self.weight[a:z])
             self.most[int(t)] = row
 
+    def _cosines(self, known: list[tuple[int, float]], chosen: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines above 0) of the chosen blocks (a mask)."""
+        sums = np.zeros(self.n)
+        for t, w in known:
+            a, z = self.start[t], self.start[t + 1]
+            m = chosen[self.in_block[a:z]]
+            sums[self.example[a:z][m]] += w * self.weight[a:z][m]
+        if without >= 0:
+            sums[without] = 0
+        hit = np.flatnonzero(sums > 0)
+        return hit, sums[hit]
+
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0: (numbers, cosines), best first, ties by number."""
+        """The k examples of highest cosine above 0: (numbers, cosines), best first, ties by number.
+
+        The blocks of the highest bounds come first, twice as many each time, until k examples are found;
+        their k-th cosine then leaves only the blocks whose bound reaches it.
+        """
         known = [(int(t), float(w)) for t, w in zip(terms, weights, strict=True) if int(t) in self.most]
         if not known:
             return np.zeros(0, np.int64), np.zeros(0)
         bound = np.sum([w * self.most[t] for t, w in known], 0)
         order = np.argsort(-bound, kind="stable")
-        best_i, best_c, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or (len(best_i) >= k and bound[b] < floor - 1e-9):
+        n = 1
+        while True:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[:n]] = True
+            found, cosine = self._cosines(known, chosen, without)
+            if len(found) >= k or n >= self.blocks:
                 break
-            lo, hi = b * self.block, min(self.n, (b + 1) * self.block)
-            sums = np.zeros(hi - lo)
-            for t, w in known:
-                if self.most[t][b] > 0:
-                    a, z = self.start[t], self.start[t + 1]
-                    a, z = a + np.searchsorted(self.example[a:z], lo), a + np.searchsorted(self.example[a:z], hi)
-                    sums[self.example[a:z] - lo] += w * self.weight[a:z]
-            if lo <= without < hi:
-                sums[without - lo] = 0
-            hit = np.flatnonzero(sums > 0)
-            best_i, best_c = np.concatenate([best_i, hit + lo]), np.concatenate([best_c, sums[hit]])
-            if len(best_i) > k:
-                top = np.lexsort((best_i, -np.round(best_c, 9)))[:k]
-                best_i, best_c = best_i[top], best_c[top]
-            floor = best_c.min() if len(best_c) >= k else 0.0
-        top = np.lexsort((best_i, -np.round(best_c, 9)))
-        return best_i[top], best_c[top]
+            n *= 2
+        if len(found) >= k and n < self.blocks:
+            floor = np.partition(cosine, -k)[-k]
+            chosen = bound >= floor - 1e-9
+            found, cosine = self._cosines(known, chosen, without)
+        top = np.lexsort((found, -np.round(cosine, 9)))[:k]
+        return found[top], cosine[top]
 
 
 @dataclass
@@ -143,8 +158,11 @@ class ToxicityModel:
         return float(np.clip(calibrated(np.array([self.votes(found, cosine)]), self.knots)[0], 0, 1)), found, cosine
 
 
-def _significant(labelled: DataFrame) -> list[tuple[str, int, int]]:
-    """(term, rows with it of label 1, of label 0) of the terms whose share differs between the labels."""
+def _significant(labelled: DataFrame) -> list[str]:
+    """The terms whose share differs between the labels, by rows and again by distinct following words.
+
+    The second count keeps out the words of groups of copies: a copied passage has one following word.
+    """
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -163,12 +181,41 @@ def _significant(labelled: DataFrame) -> list[tuple[str, int, int]]:
     n1, n0 = (total[0]["yes"], total[0]["no"]) if total else (0, 0)
     if not n1 or not n0:
         return []
+    told = [r["term"] for r in sums.filter((F.col("term") != "") & _tells(n1, n0)).orderBy(_ratio(n1, n0).desc(), "term").limit(MAX_TERMS).select("term").collect()]
+    number = {t: i for i, t in enumerate(told)}
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        words = _Words(number)
+        for b in batches:
+            seen: set[tuple[int, int, int]] = set()
+            for y, t in zip(b.column(1).to_pylist(), as_text(b.column(2)), strict=True):
+                chunks = t.lower().split()
+                for w, after in zip(chunks, [*chunks[1:], ""], strict=True):
+                    for i in words[w]:
+                        seen.add((i, y, zlib.crc32(after.encode())))
+            cols = list(zip(*sorted(seen), strict=True)) if seen else [[]] * 3
+            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["i", "y", "after"])
+
+    places = labelled.mapInArrow(contexts, "i int, y int, after long").distinct().groupBy("i").agg(F.sum("y").cast("long").alias("yes"), F.sum(1 - F.col("y")).cast("long").alias("no"))
+    # a common word has more following words than there are rows; its share then counts as 1
+    capped = places.select("i", F.least("yes", F.lit(n1)).alias("yes"), F.least("no", F.lit(n0)).alias("no"))
+    kept = capped.filter(_tells(n1, n0)).select("i").collect()
+    return sorted(told[r["i"]] for r in kept)
+
+
+def _tells(n1: int, n0: int):
+    """The shares differ beyond chance and by MIN_FOLD at least."""
+    p1, p0 = (F.col("yes") + 0.5) / n1, (F.col("no") + 0.5) / n0
+    return (_ratio(n1, n0) >= MIN_RATIO) & (F.greatest(p1, p0) >= MIN_FOLD * F.least(p1, p0))
+
+
+def _ratio(n1: int, n0: int):
+    """Twice the log likelihood ratio of `yes` out of n1 and `no` out of n0 against one common share."""
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    yes, no = F.col("yes"), F.col("no")
-    both, n = yes + no, n1 + n0
-    ratio = 2 * (part(yes, both * n1 / n) + part(no, both * n0 / n) + part(n1 - yes, (n - both) * n1 / n) + part(n0 - no, (n - both) * n0 / n))
-    told = sums.filter(F.col("term") != "").withColumn("z", ratio).filter(F.col("z") >= MIN_RATIO)
-    return [(r[0], r[1], r[2]) for r in told.orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term", "yes", "no").collect()]
+    yes, no, n = F.col("yes"), F.col("no"), n1 + n0
+    both = yes + no
+    return 2 * (part(yes, both * n1 / n) + part(no, both * n0 / n) + part(n1 - yes, (n - both) * n1 / n) + part(n0 - no, (n - both) * n0 / n))
 
 
 def _term_counts(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
@@ -183,23 +230,25 @@ def _term_counts(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return rows.mapInArrow(run, "k long, y int, t array<int>")
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int = FIT_ROWS) -> ToxicityModel:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int | None = FIT_ROWS) -> ToxicityModel:
     usable = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"))
-    sample = cut(bounded_sample(usable, "k", "y", rows), "toxicity-sample")
+    sample = cut(usable if rows is None else bounded_sample(usable, "k", "y", rows), "toxicity-sample")
     told = _significant(sample)
-    vocabulary = {t: i for i, (t, _, _) in enumerate(told)}
+    vocabulary = {t: i for i, t in enumerate(told)}
     examples = sorted(((r[0] if r[0] is not None else -1, r[1], Counter(r[2])) for r in _term_counts(sample, vocabulary).collect()), key=lambda e: (e[0], e[1], sorted(e[2].items())))
     n = max(1, len(examples))
     held = Counter(t for e in examples for t in e[2])
     idf = np.array([math.log((1 + n) / (1 + held[i])) + 1 for i in range(len(told))])
-    worded = [e for e in examples if e[2]]
+    # examples of the same leading terms stand together, so that blocks differ in their largest weights
+    worded = sorted((e for e in examples if e[2]), key=lambda e: sorted(e[2], key=lambda t: (-idf[t], t)))
     blank = [e[1] for e in examples if not e[2]]
     model = ToxicityModel(vocabulary, idf, BlockMaxIndex([], len(told)), np.array([e[1] for e in worded], float), [e[0] for e in worded], sum(blank) / len(blank) if blank else 0.0)
     vectors = [model.vector(e[2]) for e in worded]
     model.index = BlockMaxIndex(vectors, len(told))
-    raw = [model.votes(*model.index.search(*v, K, without=i)) for i, v in enumerate(vectors)]
+    held = range(0, len(vectors), max(1, len(vectors) // CALIBRATION_ROWS))
+    raw = [model.votes(*model.index.search(*vectors[i], K, without=i)) for i in held]
     if raw:
-        model.knots = isotonic(np.array(raw), model.labels)
+        model.knots = isotonic(np.array(raw), model.labels[list(held)])
     return model
 
 
