@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): every node of edges (u, v) with the smallest node that it reaches.
+    """(node, component): every node of edges (u, v), the smallest of each component left out, with the smallest node that it reaches.
 
     Each round joins every node's neighbours to the least of them; rounds grow with the logarithm of the
     longest path.  Nothing is collected: the loop compares a count and a sum of hashes.

@@ -217,7 +217,8 @@ def _block_links(long_lists: DataFrame, raw: DataFrame, percent: int) -> DataFra
     """
     members = cut(long_lists.select("rep", "c", "head").distinct(), "neardup-long")
     cluster = components(members.select(F.col("rep").alias("u"), F.col("head").alias("v")))
-    own = members.select("rep", "c").distinct().join(cluster, F.col("rep") == F.col("node")).select("rep", "c", F.col("component").alias("cluster"))
+    # the smallest member of a cluster has no row in components()
+    own = members.select("rep", "c").distinct().join(cluster, F.col("rep") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "rep").alias("cluster"))
     own = cut(own, "neardup-long")
     sizes = own.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.groupBy("cluster").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))

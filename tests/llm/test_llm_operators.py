@@ -218,6 +218,13 @@ def test_near_duplicates(spark, docs, monkeypatch, long_list, block, split):
     assert {r.doc_id: r.component_id for r in got} == _brute(rows)
 
 
+def test_block_links_of_the_smallest_member(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    raw = spark.createDataFrame([(1, text.encode()), (2, b"something else that stands alone in its list of members"), (3, (text + " end").encode())], "rep long, t binary")
+    long_lists = spark.createDataFrame([(k, k, 1) for k in (1, 2, 3)], "rep long, c long, head long")
+    assert [tuple(sorted(r)) for r in neardup._block_links(long_lists, raw, 75).collect()] == [(1, 3)]
+
+
 def test_near_duplicates_of_edges(edge, nothing):
     got = neardup.near_duplicates(edge).collect()
     assert len(got) == edge.count() and all(r.component_id is None for r in got if r.doc_id is None)
