@@ -120,6 +120,7 @@ def _postings(reps: DataFrame, counts) -> DataFrame:
 def _lists(postings: DataFrame) -> DataFrame:
     """(bucket, salt, rep, leader, central): the members of lists of two or more sets, with the list's most central one.
 
+    A part of a split list may be a single set, its own leader: the list's other sets are in other parts.
     One shuffle by list and a sort that puts the leader first; the lists then stream by.
     """
 
@@ -139,7 +140,7 @@ def _lists(postings: DataFrame) -> DataFrame:
             starts = np.flatnonzero(new)
             leader = rep[starts][group]
             size = np.bincount(group)
-            keep = (size > 1)[group]
+            keep = (size > 1)[group] | (salt > 0)
             if lead is not None and (bucket[0], salt[0]) == lead[:2]:  # a list that goes on
                 leader[group == 0], keep[group == 0] = lead[2], True
             elif lead is not None:

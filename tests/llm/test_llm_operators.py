@@ -225,6 +225,12 @@ def test_block_links_of_the_smallest_member(spark):
     assert [tuple(sorted(r)) for r in neardup._block_links(long_lists, raw, 75).collect()] == [(1, 3)]
 
 
+def test_single_sets_of_split_lists_are_leaders(spark):
+    postings = spark.createDataFrame([(1, 1, 10, 5), (1, 2, 11, 6), (2, 0, 12, 5), (3, 0, 13, 5), (3, 0, 14, 6)], "bucket long, salt int, rep long, central long")
+    got = sorted((r.bucket, r.salt, r.rep, r.leader) for r in neardup._lists(postings).collect())
+    assert got == [(1, 1, 10, 10), (1, 2, 11, 11), (3, 0, 13, 14), (3, 0, 14, 14)]
+
+
 def test_near_duplicates_of_edges(edge, nothing):
     got = neardup.near_duplicates(edge).collect()
     assert len(got) == edge.count() and all(r.component_id is None for r in got if r.doc_id is None)
