@@ -39,6 +39,25 @@ def test_bm25_scores_of_two_documents(spark):
     assert got == pytest.approx(want)
 
 
+def test_bm25_queries_take_whole_items(spark, tmp_path):
+    import math
+
+    from larkspur.plans import search
+
+    texts, item = {1: "one two", 2: "seven eight eight", 3: "none of these"}, "one two three four five six seven eight"
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {d: t.split() for d, t in texts.items()}
+    avg = sum(map(len, words.values())) / len(words)
+    want = {}
+    for d, w in words.items():
+        for t in set(item.split()) & set(w):
+            df = sum(t in x for x in words.values())
+            want[d] = want.get(d, 0) + math.log1p((len(words) - df + 0.5) / (df + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avg))
+    assert {r.doc_id: r.score for r in search.bm25_topk(spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-6)
+    assert search.bm25_candidates_union(spark, str(tmp_path)).collect()[0].n_candidates == 2
+
+
 def test_rrf_of_rank_one(spark):
     lists = spark.createDataFrame([(1, 5, 1), (1, 5, 3), (1, 6, 1)], "query_id long, doc_id long, rank long")
     got = {r.doc_id: r.score for r in retrieval.rrf(lists).collect()}
