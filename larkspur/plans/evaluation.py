@@ -16,6 +16,7 @@ from larkspur.plans import search as S
 from larkspur.sources.tables import table
 
 KS = [1, 5, 10]
+#: Of the SQL alone; the queries take the operators' own 5,000 resamples and 10,000 rounds.
 RESAMPLES, ROUNDS = 200, 300
 
 
@@ -104,11 +105,11 @@ def paired_observations(spark, sf_dir):
 
 
 def bootstrap_ci(spark, sf_dir):
-    return _round(E.bootstrap(_diffs(spark, sf_dir), "metric", RESAMPLES), "mean_diff", "low", "high")
+    return _round(E.bootstrap(_diffs(spark, sf_dir), "metric"), "mean_diff", "low", "high")
 
 
 def sign_flip_pvalue(spark, sf_dir):
-    return _round(E.sign_flip(_diffs(spark, sf_dir), "metric", ROUNDS), "p")
+    return _round(E.sign_flip(_diffs(spark, sf_dir), "metric"), "p")
 
 
 def bh_adjust(spark, sf_dir):

@@ -85,6 +85,23 @@ def test_metrics_of_a_query_without_results(spark):
     assert (m[2].precision, m[2].recall, m[2].ndcg, m[2].rr) == (0.0, None, 0.0, 0.0)
 
 
+def test_registered_resamples_and_rounds(spark, monkeypatch):
+    from hashlib import md5
+
+    from larkspur.plans import evaluation
+
+    diffs = [1.0 + k for k in range(20)]
+    df = spark.createDataFrame([("m", k, d) for k, d in enumerate(diffs)], "metric string, query_id long, diff double")
+    monkeypatch.setattr(evaluation, "_diffs", lambda *_: df)
+    draw = lambda b, i: int(md5(f"42|{b}|{i}".encode()).hexdigest()[:8], 16)
+    means = sorted(sum(diffs[draw(b, i) % 20] for i in range(20)) / 20 for b in range(5000))
+    flips = [abs(sum(d if draw(b, i) % 2 == 0 else -d for i, d in enumerate(diffs))) / 20 for b in range(10000)]
+    r = evaluation.bootstrap_ci(spark, "").collect()[0]
+    assert (r.low, r.high) == pytest.approx((means[125], means[4874]), abs=1e-6)
+    want = (sum(f >= sum(diffs) / 20 - 1e-12 for f in flips) + 1) / 10001
+    assert evaluation.sign_flip_pvalue(spark, "").collect()[0].p == pytest.approx(want, abs=1e-6) and want < 1 / 301
+
+
 def test_benjamini_hochberg_passes_nulls(spark):
     t = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "t string, p double")
     assert {r.t: r.adjusted for r in evaluate.benjamini_hochberg(t).collect()} == pytest.approx({"a": 0.03, "b": 0.04, "c": 0.04, "d": None})
