@@ -178,8 +178,9 @@ def field_coverage(spark, sf_dir):
 
 
 def redacted_messages(spark, sf_dir):
-    m = table(spark, sf_dir, "documents").select("doc_id", X.redacted(F.col("text")).alias("t"))
-    return m.filter(F.contains("t", F.lit("[redacted]"))).select("doc_id", F.md5("t").alias("digest"))
+    text = F.col("text")
+    m = table(spark, sf_dir, "documents").filter(F.contains(X.redacted(text, (1 << 31) - 1), F.lit("[redacted]")))
+    return m.select("doc_id", F.md5(X.redacted(text)).alias("digest"))
 
 
 def query_normalization(spark, sf_dir):

@@ -28,6 +28,14 @@ def test_text_expressions(spark):
     assert one(spark, "see postgresql://u:p@h/db and Bearer abc.def at /etc/x/y.txt", redacted) == "see [redacted] and [redacted] at [redacted]"
 
 
+def test_redacted_messages_of_late_secrets(spark, tmp_path):
+    from larkspur.plans import catalog
+
+    rows = [(1, "x " * 200 + "at /etc/x/y.txt"), (2, "at /etc/x/y.txt"), (3, "x " * 200), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in catalog.redacted_messages(spark, str(tmp_path)).collect()) == [1, 2]
+
+
 def test_bm25_scores_of_two_documents(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a a c"), (3, None)], "doc_id long, text string")
     q = spark.createDataFrame([(7, "A a z")], "query_id long, query_text string")
