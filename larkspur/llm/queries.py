@@ -27,14 +27,14 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str, folds: int, held_out: int, rows: int, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text, label): a bounded sample of the documents that have the label and are not held out.
+    """(doc_id, text, label, weight): a bounded sample of the documents that have the label and are not held out.
 
     One label for each id, the highest where they differ.  The sample, about `rows` of each label, is taken
     from the labels alone; it may then be broadcast, and no text is shuffled to find its label.
     """
     docs = table(spark, sf_dir, "documents") if docs is None else docs
     labels = table(spark, sf_dir, "labels").filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    sample = bounded_sample(labels.filter(fold("doc_id", folds) != held_out), "doc_id", "label", rows)
+    sample = bounded_sample(labels.filter(fold("doc_id", folds) != held_out), "doc_id", "label", rows, "weight")
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
@@ -43,7 +43,7 @@ def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = Non
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.ToxicityModel:
-    return toxicity.fit(labelled(spark, sf_dir, "toxic", 5, 0, toxicity.FIT_ROWS, docs), rows=None)
+    return toxicity.fit(labelled(spark, sf_dir, "toxic", 5, 0, toxicity.FIT_ROWS, docs), rows=None, weight_col="weight")
 
 
 QUALITY_LEAST, TOXIC_LEAST = 0.7, 0.5
@@ -58,7 +58,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_LEAST).cast("int").alias("predicted"), "evidence", "neighbours", "similarity")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,288 +1,349 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are case-folded words and their prefixes of PREFIXES letters, which join inflected forms.  The
-vocabulary holds the terms whose share differs significantly between the labels.  Labelled examples are
-indexed by term in blocks of BLOCK examples; each term keeps its largest weight in every block.  A query
-visits blocks by falling upper bound and stops when no block can still reach its K-th best cosine, so the
-neighbours are exact.  Votes of the neighbours, weighted by closeness, are calibrated by isotonic
-regression over up to about CALIBRATION_ROWS of the examples (each left out of its own neighbours).
+Terms are the prefixes of PREFIXES letters of the case-folded words (a shorter word stands whole), which
+join inflected and compound forms.  Every term that LEAST_ROWS examples hold belongs to the vocabulary;
+no term is chosen by its label.  A text's vector has the weights count * log((1 + n) / (1 + df)), scaled to
+length 1.  Examples lie in blocks of BLOCK, alike ones together; of each term the index keeps its largest
+weight in every block.  A query's bound in a block is the product with these; blocks are searched by
+falling bounds until none can reach the K-th best cosine, so the neighbours are those of a full
+comparison.  Queries go through the index many at once: bounds and blocks are then matrix products, in
+single precision with a margin, and what may be among the K best is worked out again in double precision.
+Votes of the neighbours, weighted by cosine, are calibrated by isotonic regression over up to about
+CALIBRATION_ROWS examples, each left out of its own neighbours and weighted by the rows that it stands for.
 
 The fit takes at most about FIT_ROWS labelled rows of each label (a documented bound, chosen by a hash of
 the id); every text is then scored whole.
 
+Result per row (SCHEMA): doc_id, score, evidence (from a score of 0.5: the terms shared with neighbours of
+label 1, heaviest first; else empty), neighbours (ids of examples, nearest first), cosines, similarity
+(the best cosine).
+
 Defined results: a null text counts as empty; a text without any term of the vocabulary has no neighbour
-and gets the share of label 1 among such examples; null labels are not learned from; without examples the
-score is 0; ties between neighbours go to the lower example number; rows with equal or null doc_id stay
-rows of their own; an empty table gives no rows; other columns are ignored.
+and gets the share of label 1 among such examples, or among all if there are none; null labels are not
+learned from; without examples the score is 0; ties between neighbours go to the lower example number;
+rows with equal or null doc_id stay rows of their own; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import gc
-import math
-import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_text, cut, rows_with_id
+from larkspur.llm.common import as_text, cut, rows_with_id, ship
 from larkspur.llm.training import bounded_sample, calibrated, isotonic
 
-FIT_ROWS = 10_000
-MAX_TERMS = 20_000
-#: Likelihood ratio (2 log) that a term's share differs between the labels: about one false term in ten million.
-MIN_RATIO = 28.0
-#: Least factor between the two shares: with many rows, small differences of common words are significant too.
-MIN_FOLD = 4.0
-PREFIXES = (4, 5)
-K = 15
+FIT_ROWS = 3_000
+PREFIXES = (3, 4, 5)
+#: Examples that hold a term of the vocabulary at least: with one alone it joins no two texts.
+LEAST_ROWS = 2
+K = 9
 #: Examples, evenly spaced, whose left-out votes calibrate the scores, about.
-CALIBRATION_ROWS = 2000
+CALIBRATION_ROWS = 4000
 BLOCK = 64
-#: Distinct words whose terms a task keeps; beyond, it starts anew (results do not depend on it).
-CACHE = 300_000
-SCHEMA = "doc_id long, score double, evidence string, neighbours array<long>, similarity double"
-_WORD = re.compile(r"[^\W_]+")
-
-
-def terms_of(word: str) -> list[str]:
-    """Terms of one blank-free chunk: its words, and the prefixes of longer ones (marked by a trailing *)."""
-    out = []
-    for w in _WORD.findall(word.lower()):
-        out.append(w)
-        out += [w[:n] + "*" for n in PREFIXES if len(w) > n]
-    return out
+#: A term that fewer than 1 in RARE examples hold is rare.
+RARE = 24
+#: Queries that go through the index at once.
+TOGETHER = 256
+#: Single-precision cosines are off by far less than this.
+MARGIN = 1e-4
+SHOWN = 6
+SCHEMA = "doc_id long, score double, evidence string, neighbours array<long>, cosines array<double>, similarity double"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.string()), ("neighbours", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64())), ("similarity", pa.float64())])
+#: Between words: whatever is neither letter nor digit, of any alphabet.
+_BETWEEN = r"[^\pL\pN]+"
+Vector = tuple[np.ndarray, np.ndarray]
+
+
+def _terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text, code, names): every term of every word, one for each prefix length that the word reaches; names[code] is the term."""
+    pieces = pc.utf8_split_whitespace(texts)
+    chunk = pc.list_flatten(pieces).dictionary_encode()  # each distinct chunk is cut into words once
+    lists = pc.split_pattern_regex(pc.utf8_lower(chunk.dictionary), _BETWEEN)
+    word = pc.list_flatten(lists).dictionary_encode()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    of = chunk.indices.to_numpy()
+    n = ends[of + 1] - ends[of]
+    upto = np.cumsum(n)
+    at = np.repeat(ends[of] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)
+    row, indices = np.repeat(pc.list_parent_indices(pieces).to_numpy(), n), word.indices.to_numpy()[at]
+    size = pc.utf8_length(word.dictionary).to_numpy()
+    held = [size >= (1 if n == PREFIXES[0] else n) for n in PREFIXES]
+    cut_off = [pc.utf8_slice_codeunits(word.dictionary, 0, n).filter(pa.array(h)) for n, h in zip(PREFIXES, held, strict=True)]
+    coded = pa.concat_arrays(cut_off).dictionary_encode()
+    codes = np.full((len(size), len(PREFIXES)), -1, np.int64)
+    at = 0
+    for j, h in enumerate(held):
+        codes[h, j] = coded.indices.to_numpy()[at : at + int(h.sum())]
+        at += int(h.sum())
+    flat = codes[indices].ravel()
+    on = flat >= 0
+    return np.repeat(row, len(PREFIXES))[on].astype(np.int64), flat[on], coded.dictionary
+
+
+def _counts(texts: list[str], vocabulary: pa.Array) -> list[Vector]:
+    """(term numbers, counts) of each text, by rising number; other terms than the vocabulary's are left out."""
+    row, code, names = _terms(pa.array(texts, pa.string()))
+    number = pc.fill_null(pc.index_in(names, value_set=vocabulary), -1).to_numpy().astype(np.int64)[code]
+    wide = len(vocabulary)
+    pair, n = np.unique(row[number >= 0] * wide + number[number >= 0], return_counts=True)
+    ends = np.searchsorted(pair, np.arange(len(texts) + 1) * wide)
+    return [(pair[a:z] - k * wide, n[a:z]) for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
 
 
-class _Words(dict):
-    """chunk -> numbers of its vocabulary terms."""
+class BlockMaxIndex:
+    """Example vectors (unit length, sparse) in blocks of alike ones.
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
+    Terms that 1 in RARE examples hold at least stand in dense blocks, with the largest weight of each in
+    every block; the others have posting lists.  A block's bound for a query is what the lists give its
+    best example, plus the query's product with the block's largest weights.
+    """
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        v = self.vocabulary
-        got = self[chunk] = tuple(v[t] for t in terms_of(chunk) if t in v)
+    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK, rare: int = RARE):
+        self.n, self.n_terms, self.block = len(vectors), n_terms, block
+        count = np.array([len(t) for t, _ in vectors], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(count)])
+        self.terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        self.weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        self.blocks = -(-self.n // block)
+        held = np.bincount(self.terms, minlength=n_terms)
+        frequent = np.flatnonzero((held > 0) & (held * rare >= self.n))
+        self.column = np.full(n_terms, -1, np.int64)
+        self.column[frequent] = np.arange(len(frequent))
+        example, column = np.repeat(np.arange(self.n), count), self.column[self.terms]
+        self.dense = np.zeros((self.blocks * block, len(frequent)), np.float32)
+        on = column >= 0
+        self.dense[example[on], column[on]] = self.weights[on]
+        self.most = self.dense.reshape(self.blocks, block, len(frequent)).max(1) if self.n else np.zeros((0, len(frequent)), np.float32)
+        order = np.argsort(self.terms[~on], kind="stable")
+        self.posted, self.posted_weight = example[~on][order], self.weights[~on][order].astype(np.float32)
+        self.lists = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))])
+
+    def _double(self, examples: np.ndarray, query: Vector, wide: np.ndarray) -> np.ndarray:
+        """Cosines of a query with some examples in double precision; wide is an all-zero row, left all-zero."""
+        wide[query[0]] = query[1]
+        size = self.start[examples + 1] - self.start[examples]
+        upto = np.cumsum(size)
+        at = np.repeat(self.start[examples] - (upto - size), size) + np.arange(upto[-1])
+        got = np.add.reduceat(wide[self.terms[at]] * self.weights[at], upto - size)
+        wide[query[0]] = 0
         return got
 
+    def search(self, queries: list[Vector], k: int, without: list[int] | None = None) -> list[Vector]:
+        """For each query the k examples of highest cosine above 0: (numbers, cosines), best first, ties by number.
 
-class BlockMaxIndex:
-    """Example vectors (unit length, sparse) indexed by term, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = max(1, -(-self.n // block))
-        count = np.array([len(t) for t, _ in vectors], np.int64)
-        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        example = np.repeat(np.arange(self.n), count)
-        order = np.lexsort((example, terms))
-        self.example, self.weight = example[order], weights[order]
-        self.start = np.searchsorted(terms[order], np.arange(n_terms + 1))
-        self.in_block = self.example // block
-        self.most: dict[int, np.ndarray] = {}  # term -> largest weight by block, of the terms that occur
-        for t in np.unique(terms):
-            row = np.zeros(self.blocks)
-            a, z = self.start[t], self.start[t + 1]
-            np.maximum.at(row, self.in_block[a:z], self.weight[a:z])
-            self.most[int(t)] = row
-
-    def _cosines(self, known: list[tuple[int, float]], chosen: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines above 0) of the chosen blocks (a mask)."""
-        sums = np.zeros(self.n)
-        for t, w in known:
-            a, z = self.start[t], self.start[t + 1]
-            m = chosen[self.in_block[a:z]]
-            sums[self.example[a:z][m]] += w * self.weight[a:z][m]
-        if without >= 0:
-            sums[without] = 0
-        hit = np.flatnonzero(sums > 0)
-        return hit, sums[hit]
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0: (numbers, cosines), best first, ties by number.
-
-        The blocks of the highest bounds come first, twice as many each time, until k examples are found;
-        their k-th cosine then leaves only the blocks whose bound reaches it.
+        without names an example that a query must not find.
         """
-        known = [(int(t), float(w)) for t, w in zip(terms, weights, strict=True) if int(t) in self.most]
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = np.sum([w * self.most[t] for t, w in known], 0)
-        order = np.argsort(-bound, kind="stable")
-        n = 1
-        while True:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[:n]] = True
-            found, cosine = self._cosines(known, chosen, without)
-            if len(found) >= k or n >= self.blocks:
-                break
-            n *= 2
-        if len(found) >= k and n < self.blocks:
-            floor = np.partition(cosine, -k)[-k]
-            chosen = bound >= floor - 1e-9
-            found, cosine = self._cosines(known, chosen, without)
-        top = np.lexsort((found, -np.round(cosine, 9)))[:k]
-        return found[top], cosine[top]
+        out: list[Vector] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        asked = [q for q, (t, _) in enumerate(queries) if len(t) and self.n]
+        for at in range(0, len(asked), 4 * TOGETHER):
+            some = asked[at : at + 4 * TOGETHER]
+            cosines, wide = self._rare([queries[q] for q in some]), self._frequent([queries[q] for q in some])
+            bounds = cosines.reshape(len(some), self.blocks, self.block).max(2) + wide @ self.most.T
+            # by the block of the highest bound, so that queries of one group need the same blocks
+            order = np.argsort(bounds.argmax(1), kind="stable")
+            for lo in range(0, len(some), TOGETHER):
+                part = order[lo : lo + TOGETHER]
+                names = [some[p] for p in part]
+                found = self._together([queries[q] for q in names], cosines[part], wide[part], bounds[part], k, None if without is None else [without[q] for q in names])
+                for q, f in zip(names, found, strict=True):
+                    out[q] = f
+        return out
+
+    def _rare(self, queries: list[Vector]) -> np.ndarray:
+        """What the posting lists add to each query's cosine with each example."""
+        row = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        size = self.lists[term + 1] - self.lists[term]
+        on = size > 0
+        row, term, weight, size = row[on], term[on], weight[on], size[on]
+        upto = np.cumsum(size)
+        at = np.repeat(self.lists[term] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+        wide = self.blocks * self.block
+        sums = np.bincount(np.repeat(row * wide, size) + self.posted[at], np.repeat(weight, size) * self.posted_weight[at], len(queries) * wide)
+        return sums.astype(np.float32).reshape(len(queries), wide)
+
+    def _frequent(self, queries: list[Vector]) -> np.ndarray:
+        wide = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        for q, (t, w) in enumerate(queries):
+            column = self.column[t]
+            wide[q, column[column >= 0]] = w[column >= 0]
+        return wide
+
+    def _together(self, queries: list[Vector], cosines: np.ndarray, wide: np.ndarray, bounds: np.ndarray, k: int, without: list[int] | None) -> Iterator[Vector]:
+        n, size = len(queries), self.block
+        best = np.full((n, k), -1, np.float32)  # of each query, its k best so far
+        known = np.zeros((n, self.blocks), bool)
+
+        def look(b: int, rows: np.ndarray) -> None:
+            part = wide if len(rows) == n else wide[rows]
+            got = cosines[rows, b * size : (b + 1) * size] + part @ self.dense[b * size : (b + 1) * size].T
+            got[:, self.n - b * size :] = -1
+            if without is not None:
+                for c, q in enumerate(rows):
+                    if 0 <= without[q] - b * size < size:
+                        got[c, without[q] - b * size] = -1
+            cosines[rows, b * size : (b + 1) * size] = got
+            best[rows] = np.partition(np.concatenate([best[rows], got], 1), size, 1)[:, size:]
+            known[rows, b] = True
+
+        leading = bounds.argmax(1)
+        for b in np.unique(leading):
+            look(int(b), np.flatnonzero(leading == b))
+        for b in np.argsort(-bounds.max(0), kind="stable"):
+            rows = np.flatnonzero((bounds[:, b] + MARGIN >= best.min(1)) & (bounds[:, b] > 0) & ~known[:, b])
+            if len(rows):
+                look(int(b), rows)
+        cosines[~np.repeat(known, size, 1)] = -1
+        floor = np.maximum(best.min(1), 0) - MARGIN
+        row = np.zeros(self.n_terms)
+        for q in range(n):
+            near = np.flatnonzero(cosines[q] >= floor[q])
+            exact = self._double(near, queries[q], row) if len(near) else np.zeros(0)
+            top = np.lexsort((near, -np.round(exact, 9)))[:k]
+            top = top[exact[top] > 0]
+            yield near[top], exact[top]
 
 
 @dataclass
 class ToxicityModel:
-    vocabulary: dict[str, int]
+    vocabulary: pa.Array
     idf: np.ndarray
-    index: BlockMaxIndex
+    vectors: list[Vector]
     labels: np.ndarray
     example_ids: list[int]
     blank_score: float
     knots: tuple = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms] if len(terms) else np.zeros(0)
-        return terms, w / (np.sqrt((w * w).sum()) or 1.0)
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Built where it is first asked for; a worker keeps it from task to task, and it does not travel."""
+        return BlockMaxIndex(self.vectors, len(self.idf))
 
-    def votes(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        w = 1 / (0.05 + np.clip(1 - cosine, 0, 1))
-        return float((w * self.labels[found]).sum() / w.sum()) if len(found) else self.blank_score
+    def vector(self, counts: Vector) -> Vector:
+        terms, n = counts
+        w = n * self.idf[terms]
+        on = w > 0
+        return terms[on], w[on] / (np.sqrt((w * w).sum()) or 1.0)
 
-    def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        found, cosine = self.index.search(*self.vector(counts), K)
-        if not len(found):
-            return self.blank_score, found, cosine
-        return float(np.clip(calibrated(np.array([self.votes(found, cosine)]), self.knots)[0], 0, 1)), found, cosine
+    def votes(self, found: Vector) -> float:
+        return float((found[1] * self.labels[found[0]]).sum() / found[1].sum())
 
 
-def _significant(labelled: DataFrame) -> list[str]:
-    """The terms whose share differs between the labels, by rows and again by distinct following words.
+def _alike(vectors: list[Vector], n_terms: int, pivots: int = 64) -> np.ndarray:
+    """An order of examples that puts alike ones together: by the most similar of some evenly spaced ones."""
+    if not vectors:
+        return np.zeros(0, np.int64)
+    chosen = np.zeros((n_terms, min(pivots, len(vectors))), np.float32)
+    for p, i in enumerate(np.linspace(0, len(vectors) - 1, chosen.shape[1]).astype(int)):
+        chosen[vectors[i][0], p] = vectors[i][1]
+    near = np.stack([chosen[t].T @ w.astype(np.float32) for t, w in vectors])
+    return np.lexsort((-near.max(1), near.argmax(1)))
 
-    The second count keeps out the words of groups of copies: a copied passage has one following word.
-    """
+
+def _vocabulary(sample: DataFrame) -> dict[str, int]:
+    """The terms of LEAST_ROWS rows or more, in order, and how many rows hold them: as many as a bounded sample holds."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        counts = (Counter(), Counter())
-        rows = [0, 0]
         for b in batches:
-            for y, t in zip(b.column(1).to_pylist(), as_text(b.column(2)), strict=True):
-                counts[y].update({x for w in set(t.split()) for x in terms_of(w)})
-                rows[y] += 1
-        names = sorted(counts[0].keys() | counts[1].keys())
-        cols = [["", *names], [rows[1], *[counts[1][n] for n in names]], [rows[0], *[counts[0][n] for n in names]]]
-        yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["term", "yes", "no"])
-
-    sums = cut(labelled.mapInArrow(tally, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "toxicity-terms")
-    total = sums.filter("term = ''").collect()
-    n1, n0 = (total[0]["yes"], total[0]["no"]) if total else (0, 0)
-    if not n1 or not n0:
-        return []
-    told = [r["term"] for r in sums.filter((F.col("term") != "") & _tells(n1, n0)).orderBy(_ratio(n1, n0).desc(), "term").limit(MAX_TERMS).select("term").collect()]
-    number = {t: i for i, t in enumerate(told)}
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        words = _Words(number)
-        for b in batches:
-            seen: set[tuple[int, int, int]] = set()
-            for y, t in zip(b.column(1).to_pylist(), as_text(b.column(2)), strict=True):
-                chunks = t.lower().split()
-                for w, after in zip(chunks, [*chunks[1:], ""], strict=True):
-                    for i in words[w]:
-                        seen.add((i, y, zlib.crc32(after.encode())))
-            cols = list(zip(*sorted(seen), strict=True)) if seen else [[]] * 3
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["i", "y", "after"])
-
-    places = labelled.mapInArrow(contexts, "i int, y int, after long").distinct().groupBy("i").agg(F.sum("y").cast("long").alias("yes"), F.sum(1 - F.col("y")).cast("long").alias("no"))
-    # a common word has more following words than there are rows; its share then counts as 1
-    capped = places.select("i", F.least("yes", F.lit(n1)).alias("yes"), F.least("no", F.lit(n0)).alias("no"))
-    kept = capped.filter(_tells(n1, n0)).select("i").collect()
-    return sorted(told[r["i"]] for r in kept)
+            row, code, names = _terms(pc.fill_null(b.column(0), ""))
+            rows = np.bincount(np.unique(row * len(names) + code) % max(1, len(names)), minlength=len(names))
+            yield pa.record_batch([names, pa.array(rows, pa.int64())], names=["term", "n"])
 
+    sums = sample.select("t").mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_ROWS)
+    return {r["term"]: r["n"] for r in sorted(sums.collect())}
 
-def _tells(n1: int, n0: int):
-    """The shares differ beyond chance and by MIN_FOLD at least."""
-    p1, p0 = (F.col("yes") + 0.5) / n1, (F.col("no") + 0.5) / n0
-    return (_ratio(n1, n0) >= MIN_RATIO) & (F.greatest(p1, p0) >= MIN_FOLD * F.least(p1, p0))
 
-
-def _ratio(n1: int, n0: int):
-    """Twice the log likelihood ratio of `yes` out of n1 and `no` out of n0 against one common share."""
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    yes, no, n = F.col("yes"), F.col("no"), n1 + n0
-    both = yes + no
-    return 2 * (part(yes, both * n1 / n) + part(no, both * n0 / n) + part(n1 - yes, (n - both) * n1 / n) + part(n0 - no, (n - both) * n0 / n))
-
-
-def _term_counts(rows: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """(k, y, t): the vocabulary terms of each text, one entry for each occurrence."""
+def _examples(sample: DataFrame, vocabulary: pa.Array) -> list[tuple[int, int, float, Vector]]:
+    """(id, label, weight, counts of vocabulary terms) of the sampled rows, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(vocabulary)
         for b in batches:
-            found = [[x for w in t.split() for x in words[w]] for t in as_text(b.column(2))]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["k", "y", "t"])
-
-    return rows.mapInArrow(run, "k long, y int, t array<int>")
-
-
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int | None = FIT_ROWS) -> ToxicityModel:
-    usable = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"))
-    sample = cut(usable if rows is None else bounded_sample(usable, "k", "y", rows), "toxicity-sample")
-    told = _significant(sample)
-    vocabulary = {t: i for i, t in enumerate(told)}
-    examples = sorted(((r[0] if r[0] is not None else -1, r[1], Counter(r[2])) for r in _term_counts(sample, vocabulary).collect()), key=lambda e: (e[0], e[1], sorted(e[2].items())))
-    n = max(1, len(examples))
-    held = Counter(t for e in examples for t in e[2])
-    idf = np.array([math.log((1 + n) / (1 + held[i])) + 1 for i in range(len(told))])
-    # examples of the same leading terms stand together, so that blocks differ in their largest weights
-    worded = sorted((e for e in examples if e[2]), key=lambda e: sorted(e[2], key=lambda t: (-idf[t], t)))
-    blank = [e[1] for e in examples if not e[2]]
-    model = ToxicityModel(vocabulary, idf, BlockMaxIndex([], len(told)), np.array([e[1] for e in worded], float), [e[0] for e in worded], sum(blank) / len(blank) if blank else 0.0)
-    vectors = [model.vector(e[2]) for e in worded]
-    model.index = BlockMaxIndex(vectors, len(told))
-    held = range(0, len(vectors), max(1, len(vectors) // CALIBRATION_ROWS))
-    raw = [model.votes(*model.index.search(*vectors[i], K, without=i)) for i in held]
-    if raw:
-        model.knots = isotonic(np.array(raw), model.labels[list(held)])
+            found = _counts(as_text(b.column(0)), vocabulary)
+            cols = [pa.array([f[j].tolist() for f in found], pa.list_(pa.int32())) for j in (0, 1)]
+            yield pa.record_batch([b.column(1), b.column(2), b.column(3), *cols], names=["k", "y", "w", "t", "c"])
+
+    rows = sample.select("t", "k", "y", "w").mapInArrow(run, "k long, y int, w double, t array<int>, c array<int>").collect()
+    ordered = sorted((r[0] if r[0] is not None else -1, r[1], r[3], r[4], r[2]) for r in rows)
+    return [(k, y, w, (np.asarray(t, np.int64), np.asarray(c, np.int64))) for k, y, t, c, w in ordered]
+
+
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int | None = FIT_ROWS, weight_col: str | None = None) -> ToxicityModel:
+    """The model of labelled rows; weight_col tells how many rows each stands for, where they are a sample already (rows=None)."""
+    ship(labelled.sparkSession)
+    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
+    usable = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"), weight.alias("w"))
+    if rows is not None:
+        usable = bounded_sample(usable, "k", "y", rows, "rate").withColumn("w", F.col("w") * F.col("rate")).drop("rate")
+    sample = cut(usable, "toxicity-sample")
+    known = _vocabulary(sample)
+    vocabulary = pa.array(list(known), pa.string())
+    examples = _examples(sample, vocabulary)
+    idf = np.log((1 + len(examples)) / (1 + np.array(list(known.values()), float)))
+    model = ToxicityModel(vocabulary, idf, [], np.zeros(0), [], 0.0)
+    vectors = [model.vector(e[3]) for e in examples]
+    blank = [e for e, v in zip(examples, vectors, strict=True) if not len(v[0])] or examples
+    if examples:
+        model.blank_score = sum(e[1] * e[2] for e in blank) / sum(e[2] for e in blank)
+    worded = [i for i, v in enumerate(vectors) if len(v[0])]
+    order = [worded[i] for i in _alike([vectors[i] for i in worded], len(idf))]
+    model.vectors = [vectors[i] for i in order]
+    model.labels = np.array([examples[i][1] for i in order], float)
+    model.example_ids = [examples[i][0] for i in order]
+    weights = np.array([examples[i][2] for i in order])
+    held = list(range(0, len(order), max(1, len(order) // CALIBRATION_ROWS)))
+    found = BlockMaxIndex(model.vectors, len(idf)).search([model.vectors[i] for i in held], K, held)
+    told = [j for j, f in enumerate(found) if len(f[0])]
+    if told:
+        at = [held[j] for j in told]
+        model.knots = isotonic(np.array([model.votes(found[j]) for j in told]), model.labels[at], weights[at])
     return model
 
 
-def scorer(model: ToxicityModel):
-    """A function of a text that gives (score, evidence, neighbours' ids, best cosine); it remembers words and vectors."""
-    shown = {i: t for t, i in model.vocabulary.items()}
-    words, kept = _Words(model.vocabulary), {}
+def scorer(model: ToxicityModel) -> Callable[[list[str]], list[tuple[float, str, list[int], list[float], float]]]:
+    """A function of texts that gives (score, evidence, neighbours' ids, cosines, best cosine) of each."""
+    index, wide = model.index, np.zeros(len(model.idf))
+
+    def evidence(query: Vector, found: Vector) -> str:
+        some = [(model.vectors[i], c) for i, c in zip(*found, strict=True) if model.labels[i]]
+        total = np.bincount(np.concatenate([t for (t, _), _ in some]), np.concatenate([c * w for (_, w), c in some]), len(wide))
+        shared = query[1] * total[query[0]]
+        top = np.lexsort((query[0], -np.round(shared, 9)))[:SHOWN]
+        return " ".join(model.vocabulary[int(query[0][j])].as_py() for j in top if shared[j] > 0)
 
-    def score_text(text: str) -> tuple[float, str, list[int], float]:
-        if len(words) > CACHE:
-            words.clear()
-        if len(kept) > CACHE // 10:
-            kept.clear()
-        counts = Counter([x for got in map(words.__getitem__, text.split()) if got for x in got])
-        key = tuple(sorted(counts.items()))
-        if key not in kept:
-            s, found, cosine = model.score(counts)
-            evidence = " ".join(f"{shown[i]}:{n}" for i, n in key[:8])
-            kept[key] = s, evidence, [model.example_ids[i] for i in found], float(cosine[0]) if len(cosine) else 0.0
-        return kept[key]
+    def score_texts(texts: list[str]) -> list[tuple[float, str, list[int], list[float], float]]:
+        different = list(dict.fromkeys(texts))
+        queries = [model.vector(c) for c in _counts(different, model.vocabulary)]
+        got = {}
+        for t, q, found in zip(different, queries, index.search(queries, K), strict=True):
+            if not len(found[0]):
+                got[t] = model.blank_score, "", [], [], 0.0
+                continue
+            score = float(np.clip(calibrated(np.array([model.votes(found)]), model.knots)[0], 0, 1))
+            said = evidence(q, found) if score >= 0.5 and model.labels[found[0]].any() else ""
+            got[t] = score, said, [model.example_ids[i] for i in found[0]], found[1].tolist(), float(found[1][0])
+        return [got[t] for t in texts]
 
-    return score_text
+    return score_texts
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Per document (SCHEMA).  The model is bounded by FIT_ROWS and MAX_TERMS and travels by broadcast."""
+    """Per document (SCHEMA).  The model is bounded by FIT_ROWS and travels by broadcast."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        score_text = scorer(held.value)
+        score_texts = scorer(held.value)
         for b in batches:
-            out = [score_text(t) for t in as_text(b.column(1))]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.record_batch([b.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.float64())], names=["doc_id", "score", "evidence", "neighbours", "similarity"])
+            out = score_texts(as_text(b.column(1)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.record_batch([b.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(_ARROW)[1:], strict=True)]], schema=_ARROW)
 
     return rows_with_id(docs, id_col, text_col).mapInArrow(run, SCHEMA)

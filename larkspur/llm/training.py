@@ -12,18 +12,22 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 
 
-def bounded_sample(rows: DataFrame, key: str, strata: str, per_stratum: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, key: str, strata: str, per_stratum: int, weight: str | None = None) -> DataFrame:
     """About per_stratum rows of each value of strata (all, where there are no more), chosen by a hash of key.
 
+    With weight, a column of that name tells how many rows each one stands for.
+
     A count for each stratum gives its rate; the rate is then a filter on the scan, so no row is
     shuffled or ranked.  The number of strata must be small by nature (languages, labels).
     """
     counts = {r[0]: r[1] for r in rows.groupBy(strata).count().collect() if r[0] is not None}
     if not counts:
-        return rows.limit(0)
+        none = rows.limit(0)
+        return none.withColumn(weight, F.lit(1.0)) if weight else none
     rate = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(min(1.0, per_stratum / n)))])
     at = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.filter(at < rate[F.col(strata)])
+    some = rows.filter(at < rate[F.col(strata)])
+    return some.withColumn(weight, 1 / rate[F.col(strata)]) if weight else some
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

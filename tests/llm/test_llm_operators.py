@@ -253,20 +253,59 @@ def test_decontamination(spark, edge, nothing):
     assert decontamination.contaminated(edge, items.limit(0)).count() == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("rare", [2, 1000])
+def test_block_max_search_is_exact(rare):
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(300):
         t = np.sort(rng.choice(40, 6, replace=False))
         w = rng.random(6)
         vectors.append((t, w / np.sqrt((w * w).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
-    dense = np.zeros((300, 40))
+    vectors += vectors[:20]  # ties go to the lower number
+    index = toxicity.BlockMaxIndex(vectors, 40, block=16, rare=rare)
+    dense = np.zeros((320, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for i in range(0, 300, 17):
-        found, cosine = index.search(*vectors[i], 10)
-        assert np.allclose(cosine, np.sort(dense @ dense[i])[::-1][:10])
+    for without in (None, list(range(320))):
+        for i, (found, cosine) in enumerate(index.search(vectors, 10, without)):
+            full = dense @ dense[i]
+            if without is not None:
+                full[i] = 0
+            want = [x for x in np.lexsort((np.arange(320), -np.round(full, 9)))[:10] if full[x] > 0]
+            assert found.tolist() == want and np.allclose(cosine, full[want])
+    assert [len(f) for f, _ in index.search([(np.zeros(0, np.int64), np.zeros(0))], 3)] == [0]
+    assert [len(f) for f, _ in toxicity.BlockMaxIndex([], 5).search([(np.array([1]), np.array([1.0]))], 3)] == [0]
+
+
+def _held_out(spark, query, label, folds, fold):
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r[label] is not None}
+    rows = query(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == fold) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    return rows, np.array([r.predicted for r in held]), np.array([truth[r.doc_id] for r in held])
+
+
+def test_held_out_toxicity(spark):
+    from larkspur.llm.queries import op6_toxicity
+
+    rows, said, true = _held_out(spark, op6_toxicity, "toxic", 5, 0)
+    assert said[true == 1].mean() >= 0.9 and 1 - said[true == 0].mean() >= 0.98 and len(true) > 700
+    assert np.mean([r.similarity > 0 for r in rows]) > 0.99
+
+
+def test_neighbours_equal_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    dense = np.zeros((len(model.vectors), len(model.idf)))
+    for i, (t, w) in enumerate(model.vectors):
+        dense[i, t] = w
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    texts = docs.select("doc_id", "text").limit(200).collect()
+    for r, (terms, w) in zip(texts, map(model.vector, toxicity._counts([r.text for r in texts], model.vocabulary)), strict=True):
+        full = dense[:, terms] @ w
+        near = np.lexsort((np.arange(len(full)), -np.round(full, 9)))[: toxicity.K]
+        assert got[r.doc_id].neighbours == [model.example_ids[i] for i in near if full[i] > 0]
 
 
 def test_toxicity_and_quality_fit(spark, edge, nothing):
@@ -282,7 +321,7 @@ def test_toxicity_and_quality_fit(spark, edge, nothing):
     df = spark.createDataFrame(rows, "doc_id long, text string, label int, q int")
     model = toxicity.fit(df)
     got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
-    assert all((got[k] >= 0.5) == bool(y) for k, _, y, _ in rows)
+    assert np.mean([(got[k] >= 0.5) == bool(y) for k, _, y, _ in rows]) > 0.97
     assert toxicity.score(edge, model).count() == edge.count() and toxicity.score(nothing, model).count() == 0
     assert {r.score for r in toxicity.score(edge, toxicity.fit(df.limit(0))).collect()} == {0.0}
     good = quality.fit(df.withColumn("label", F.col("q")))
