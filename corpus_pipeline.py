@@ -36,7 +36,7 @@ def _kept(docs: DataFrame, column: str, mask: Callable[[], Callable[[list[str]],
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     held = spark.sparkContext.broadcast(toxicity_model(spark, sf_dir, docs))
-    return _kept(docs, "text", lambda: lambda texts, score=toxicity.scorer(held.value): np.array([score(t)[0] < TOXIC_LEAST for t in texts], bool))
+    return _kept(docs, "text", lambda: lambda texts, score=toxicity.scorer(held.value): np.array([s[0] < TOXIC_LEAST for s in score(texts)], bool))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
