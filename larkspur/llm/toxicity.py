@@ -52,6 +52,8 @@ BLOCK = 64
 RARE = 24
 #: Queries that go through the index at once.
 TOGETHER = 256
+#: Queries whose postings are added up at once.
+LISTED = 32
 #: Single-precision cosines are off by far less than this.
 MARGIN = 1e-4
 SHOWN = 6
@@ -159,16 +161,20 @@ class BlockMaxIndex:
 
     def _rare(self, queries: list[Vector]) -> np.ndarray:
         """What the posting lists add to each query's cosine with each example."""
-        row = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
-        term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
-        size = self.lists[term + 1] - self.lists[term]
-        on = size > 0
-        row, term, weight, size = row[on], term[on], weight[on], size[on]
-        upto = np.cumsum(size)
-        at = np.repeat(self.lists[term] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
         wide = self.blocks * self.block
-        sums = np.bincount(np.repeat(row * wide, size) + self.posted[at], np.repeat(weight, size) * self.posted_weight[at], len(queries) * wide)
-        return sums.astype(np.float32).reshape(len(queries), wide)
+        sums = np.zeros((len(queries), wide), np.float32)
+        for lo in range(0, len(queries), LISTED):
+            some = queries[lo : lo + LISTED]
+            row = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
+            term, weight = np.concatenate([t for t, _ in some]), np.concatenate([w for _, w in some])
+            size = self.lists[term + 1] - self.lists[term]
+            on = size > 0
+            row, term, weight, size = row[on], term[on], weight[on], size[on]
+            upto = np.cumsum(size)
+            at = np.repeat(self.lists[term] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
+            got = np.bincount(np.repeat(row * wide, size) + self.posted[at], np.repeat(weight, size) * self.posted_weight[at], len(some) * wide)
+            sums[lo : lo + LISTED] = got.reshape(len(some), wide)
+        return sums
 
     def _frequent(self, queries: list[Vector]) -> np.ndarray:
         wide = np.zeros((len(queries), self.dense.shape[1]), np.float32)
@@ -216,17 +222,26 @@ class BlockMaxIndex:
 class ToxicityModel:
     vocabulary: pa.Array
     idf: np.ndarray
-    vectors: list[Vector]
+    start: np.ndarray  # of each example and the end: where its terms and weights begin
+    terms: np.ndarray
+    weights: np.ndarray
     labels: np.ndarray
     example_ids: list[int]
     blank_score: float
     knots: tuple = field(default_factory=lambda: (np.zeros(0), np.zeros(0)))
 
+    @cached_property
+    def vectors(self) -> list[Vector]:
+        return [(self.terms[a:z], self.weights[a:z]) for a, z in zip(self.start[:-1], self.start[1:], strict=True)]
+
     @cached_property
     def index(self) -> BlockMaxIndex:
         """Built where it is first asked for; a worker keeps it from task to task, and it does not travel."""
         return BlockMaxIndex(self.vectors, len(self.idf))
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("vectors", "index")}
+
     def vector(self, counts: Vector) -> Vector:
         terms, n = counts
         w = n * self.idf[terms]
@@ -248,8 +263,8 @@ def _alike(vectors: list[Vector], n_terms: int, pivots: int = 64) -> np.ndarray:
     return np.lexsort((-near.max(1), near.argmax(1)))
 
 
-def _vocabulary(sample: DataFrame) -> dict[str, int]:
-    """The terms of LEAST_ROWS rows or more, in order, and how many rows hold them: as many as a bounded sample holds."""
+def _vocabulary(sample: DataFrame) -> pa.Table:
+    """(term, n): the terms of LEAST_ROWS rows or more, in order, and how many rows hold them: as many as a bounded sample holds."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,22 +272,37 @@ def _vocabulary(sample: DataFrame) -> dict[str, int]:
             rows = np.bincount(np.unique(row * len(names) + code) % max(1, len(names)), minlength=len(names))
             yield pa.record_batch([names, pa.array(rows, pa.int64())], names=["term", "n"])
 
-    sums = sample.select("t").mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_ROWS)
-    return {r["term"]: r["n"] for r in sorted(sums.collect())}
+    sums = sample.select("t").mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return sums.filter(F.col("n") >= LEAST_ROWS).orderBy("term").toArrow()
 
 
-def _examples(sample: DataFrame, vocabulary: pa.Array) -> list[tuple[int, int, float, Vector]]:
-    """(id, label, weight, counts of vocabulary terms) of the sampled rows, in a fixed order."""
+def _examples(sample: DataFrame, vocabulary: pa.Array) -> pa.Table:
+    """(k, y, w, t, c): id, label, weight and counts of vocabulary terms of the sampled rows, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = _counts(as_text(b.column(0)), vocabulary)
-            cols = [pa.array([f[j].tolist() for f in found], pa.list_(pa.int32())) for j in (0, 1)]
+            cols = [pa.array([f[j].astype(np.int32) for f in found], pa.list_(pa.int32())) for j in (0, 1)]
             yield pa.record_batch([b.column(1), b.column(2), b.column(3), *cols], names=["k", "y", "w", "t", "c"])
 
-    rows = sample.select("t", "k", "y", "w").mapInArrow(run, "k long, y int, w double, t array<int>, c array<int>").collect()
-    ordered = sorted((r[0] if r[0] is not None else -1, r[1], r[3], r[4], r[2]) for r in rows)
-    return [(k, y, w, (np.asarray(t, np.int64), np.asarray(c, np.int64))) for k, y, t, c, w in ordered]
+    rows = sample.select("t", "k", "y", "w").mapInArrow(run, "k long, y int, w double, t array<int>, c array<int>")
+    return rows.orderBy("k", "y", "t", "c", "w").toArrow()
+
+
+def _held_out_votes(sample: DataFrame, model: ToxicityModel, step: int) -> pa.Table:
+    """(i, vote) of every step-th example, found without itself; examples without neighbours have none."""
+    spark = sample.sparkSession
+    held = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            some = b.column(0).to_pylist()
+            found = m.index.search([m.vectors[i] for i in some], K, some)
+            told = [(i, m.votes(f)) for i, f in zip(some, found, strict=True) if len(f[0])]
+            yield pa.record_batch([pa.array([i for i, _ in told], pa.int64()), pa.array([v for _, v in told], pa.float64())], names=["i", "vote"])
+
+    return spark.range(0, len(model.labels), step).mapInArrow(run, "i long, vote double").toArrow()
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int | None = FIT_ROWS, weight_col: str | None = None) -> ToxicityModel:
@@ -284,26 +314,29 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
         usable = bounded_sample(usable, "k", "y", rows, "rate").withColumn("w", F.col("w") * F.col("rate")).drop("rate")
     sample = cut(usable, "toxicity-sample")
     known = _vocabulary(sample)
-    vocabulary = pa.array(list(known), pa.string())
-    examples = _examples(sample, vocabulary)
-    idf = np.log((1 + len(examples)) / (1 + np.array(list(known.values()), float)))
-    model = ToxicityModel(vocabulary, idf, [], np.zeros(0), [], 0.0)
-    vectors = [model.vector(e[3]) for e in examples]
-    blank = [e for e, v in zip(examples, vectors, strict=True) if not len(v[0])] or examples
-    if examples:
-        model.blank_score = sum(e[1] * e[2] for e in blank) / sum(e[2] for e in blank)
-    worded = [i for i, v in enumerate(vectors) if len(v[0])]
-    order = [worded[i] for i in _alike([vectors[i] for i in worded], len(idf))]
-    model.vectors = [vectors[i] for i in order]
-    model.labels = np.array([examples[i][1] for i in order], float)
-    model.example_ids = [examples[i][0] for i in order]
-    weights = np.array([examples[i][2] for i in order])
-    held = list(range(0, len(order), max(1, len(order) // CALIBRATION_ROWS)))
-    found = BlockMaxIndex(model.vectors, len(idf)).search([model.vectors[i] for i in held], K, held)
-    told = [j for j, f in enumerate(found) if len(f[0])]
-    if told:
-        at = [held[j] for j in told]
-        model.knots = isotonic(np.array([model.votes(found[j]) for j in told]), model.labels[at], weights[at])
+    vocabulary = known.column("term").combine_chunks()
+    held = _examples(sample, vocabulary)
+    ids, y, w = held.column("k").to_pylist(), held.column("y").to_numpy(), held.column("w").to_numpy()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(held.column("t")).to_numpy())]).astype(np.int64)
+    terms, counts = (pc.list_flatten(held.column(c)).to_numpy() for c in ("t", "c"))
+    idf = np.log((1 + len(ids)) / (1 + known.column("n").to_numpy()))
+    model = ToxicityModel(vocabulary, idf, np.zeros(1, np.int64), terms[:0], np.zeros(0), np.zeros(0), [], 0.0)
+    vectors = [model.vector((terms[a:z], counts[a:z])) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+    blank = np.array([not len(v[0]) for v in vectors], bool)
+    if len(ids):
+        of = blank if blank.any() else ~blank
+        model.blank_score = float((y[of] * w[of]).sum() / w[of].sum())
+    worded = np.flatnonzero(~blank)
+    order = worded[_alike([vectors[i] for i in worded], len(idf))]
+    if not len(order):
+        return model
+    model.start = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order])])
+    model.terms, model.weights = np.concatenate([vectors[i][0] for i in order]), np.concatenate([vectors[i][1] for i in order])
+    model.labels, model.example_ids = y[order].astype(float), [ids[i] for i in order]
+    votes = _held_out_votes(sample, model, max(1, len(order) // CALIBRATION_ROWS))
+    at = votes.column("i").to_numpy()
+    if len(at):
+        model.knots = isotonic(votes.column("vote").to_numpy(), model.labels[at], w[order][at])
     return model
 
 
