@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.common import as_text, cut, fresh_path, rows_with_id
+from larkspur.llm.common import as_text, cut, fresh_path, rows_with_id, ship
 from larkspur.llm.tokens import encoder
 from larkspur.llm.wavelet import WaveletShard, encode_shard
 
@@ -47,7 +47,12 @@ def write_file(url: str, blob: bytes) -> None:
     temp = f"{path}.{uuid.uuid4().hex}.tmp"
     with at.open_output_stream(temp) as f:
         f.write(blob)
-    at.move(temp, path)
+    try:
+        at.move(temp, path)
+    except OSError:  # an earlier run of the task has left its file, and this file system does not replace files
+        if at.get_file_info(path).size != len(blob):
+            raise
+        at.delete_file(temp)
 
 
 def read_file(url: str) -> bytes:
@@ -59,6 +64,7 @@ def read_file(url: str) -> bytes:
 def write_token_files(docs: DataFrame, folder: str | None = None, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Writes the files and returns their manifest (MANIFEST), itself a written table."""
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or fresh_path(spark, "token-files")
     from pyarrow import fs
 
@@ -68,31 +74,38 @@ def write_token_files(docs: DataFrame, folder: str | None = None, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
-        lengths: list[int] = []
-        names: list[int] = []
+        held: list[np.ndarray] = []  # ids of whole documents, end ids included
+        lengths: list[np.ndarray] = []
+        names: list[np.ndarray] = []
         tokens = file = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal tokens, file
-            url = f"{folder}/{part:08d}-{file:06d}.wvlt"
-            blob = encode_shard(np.concatenate(held), np.asarray(lengths), np.asarray(names, np.int64))
+            url, size = f"{folder}/{part:08d}-{file:06d}.wvlt", np.concatenate(lengths)
+            blob = encode_shard(np.concatenate(held), size, np.concatenate(names))
             write_file(url, blob)
-            row = pa.record_batch([[part], [file], [url], [len(lengths)], [tokens], [len(blob)]], schema=_MANIFEST)
+            row = pa.record_batch([[part], [file], [url], [len(size)], [tokens], [len(blob)]], schema=_MANIFEST)
             held.clear(), lengths.clear(), names.clear()
             tokens, file = 0, file + 1
             return row
 
         for b in batches:
             flat, ends = enc.encode(as_text(b.column(1)))
-            for k, name in enumerate(b.column(0).to_pylist()):
-                ids = np.append(flat[ends[k] : ends[k + 1]], np.uint32(end_id))
-                if tokens and tokens + len(ids) > shard_tokens:
+            flat, ends = np.insert(flat, ends[1:], end_id), ends + np.arange(len(ends))
+            ids = b.column(0).fill_null(NULL_ID).to_numpy()
+            at = 0
+            while at < len(ids):
+                # as many further documents as the file still takes, but one at least into an empty file
+                to = int(np.searchsorted(ends, ends[at] + shard_tokens - tokens, side="right")) - 1
+                to = max(to, at + 1) if not tokens else max(to, at)
+                if to > at:
+                    held.append(flat[ends[at] : ends[to]])
+                    lengths.append(np.diff(ends[at : to + 1]))
+                    names.append(ids[at:to])
+                    tokens += int(ends[to] - ends[at])
+                    at = to
+                if at < len(ids):
                     yield flush()
-                held.append(ids)
-                lengths.append(len(ids))
-                names.append(NULL_ID if name is None else name)
-                tokens += len(ids)
         if tokens:
             yield flush()
 
@@ -109,12 +122,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 shard = WaveletShard(read_file(path))
-                ids, ends = shard.all_ids().astype("<u4"), np.cumsum(shard.lengths)
+                ids, ends = memoryview(shard.all_ids().astype("<u4")).cast("B"), np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
-                crc = [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(starts, ends, strict=True)]
+                crc = [zlib.crc32(ids[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
                 names = pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == NULL_ID)
                 yield pa.record_batch([names, pa.array(starts + base), pa.array(shard.lengths), pa.array(crc, pa.int64())], schema=_READ)
 
     spark = manifest.sparkSession
+    ship(spark)
     tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return placed.repartition(tasks, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -17,10 +17,6 @@ MAGIC = b"WVLTMTX1"
 BLOCK = 512
 
 
-def _split(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(bits == 0), np.flatnonzero(bits)
-
-
 def encode_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, level: int = 1) -> bytes:
     """One compressed file of all ids; lengths and doc_ids of its documents travel with it."""
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
@@ -29,12 +25,15 @@ def encode_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, leve
     sections = [pack(doc_ids.astype("<i8").tobytes()), pack(lengths.astype("<u4").tobytes())]
     zeros = []
     for k in range(levels - 1, -1, -1):
-        bits = ((cur >> cur.dtype.type(k)) & cur.dtype.type(1)).view(np.uint8)[:: cur.dtype.itemsize]
-        off, on = _split(bits)
-        zeros.append(len(off))
+        bits = (cur & cur.dtype.type(1 << k)) != 0
+        off = len(cur) - int(np.count_nonzero(bits))
+        zeros.append(off)
         sections.append(pack(np.packbits(bits, bitorder="little").tobytes()))
-        if k:
-            cur = np.concatenate([cur.take(off), cur.take(on)])
+        if k:  # zeros first, each half in its order
+            parted = np.empty_like(cur)
+            np.compress(~bits, cur, out=parted[:off])
+            np.compress(bits, cur, out=parted[off:])
+            cur = parted
     head = json.dumps({"n": len(ids), "levels": levels, "docs": len(lengths), "zeros": zeros, "sizes": [len(s) for s in sections]}).encode()
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *sections])
 
@@ -62,13 +61,15 @@ class WaveletShard:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order, plane by plane from the lowest bit."""
-        kind = np.uint16 if self.levels <= 16 else np.uint32
-        v = np.zeros(self.n, kind)
-        for level in range(self.levels - 1, -1, -1):
-            off, on = _split(self.bits(level))
-            up = np.empty(self.n, kind)
-            up[off] = v[: len(off)]
-            up[on] = v[len(off) :] | kind(1 << (self.levels - 1 - level))
+        v = np.zeros(self.n, np.uint8)
+        for place in range(self.levels):
+            if place in (8, 16):  # no wider than the bits read so far
+                v = v.astype(np.uint16 if place == 8 else np.uint32)
+            bits = self.bits(self.levels - 1 - place).view(bool)
+            off = self.zeros[self.levels - 1 - place]
+            up = np.empty_like(v)
+            up[~bits] = v[:off]
+            up[bits] = v[off:] | v.dtype.type(1 << place)
             v = up
         return v
 
