@@ -29,6 +29,8 @@ _PLAIN_BLANKS = re.compile(f"{_MARK}?[!-~\xa1-ɏ]+")
 _ODD = r"[ \n][ \n]|[ \n]\z|\A[ \n]|[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{e000}\x{e001}]"
 #: Texts where a comma or full stop may be part of a longer piece.
 _JOINED_STOP = r"(?:\A|[^\pL\pN])[,.]|[,.][^\s\pL\pN]"
+#: Texts whose folding may turn a letter into a letter and a mark; whether stops are joined is told after it.
+_UNFOLDED = r"[\x{130}\x{250}-\x{10ffff}]"
 #: Distinct chunks kept per task; beyond, the cache starts anew (results do not depend on it).
 CACHE = 600_000
 
@@ -156,6 +158,11 @@ class Encoder:
         ends = np.zeros(len(texts) + 1, np.int64)
         column = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(column, _ODD).to_pylist() if self.keeps_blanks else [False] * len(texts)
+        if not self.keeps_blanks:
+            fold = self.library.normalizer.normalize_str
+            unfolded = pc.match_substring_regex(column, _UNFOLDED).to_pylist()
+            if any(unfolded):
+                column = pa.array([fold(t) if u else t for t, u in zip(texts, unfolded, strict=True)], pa.string())
         joined = pc.match_substring_regex(column, _JOINED_STOP).to_pylist()
         for k, t in enumerate(texts):
             parts += self._text_codes(t, odd[k], joined[k])
