@@ -44,6 +44,22 @@ def test_encoder_equals_library(docs, vocabulary):
             assert flat[ends[k] : ends[k + 1]].tolist() == e.library.encode(t, add_special_tokens=False).ids, t[:40]
 
 
+#: Characters at which folding, marks, digits, blanks or stops meet.
+_POOL = [*"aAbZ 019 ,.'!?-_\n\t", *"İıßéΣςक़क़יִ漢字かな한٣²½ﬁǅŉ\xa0\u2009\u3000\x1c\x85Åñöกำɐ", "e\u0301", "\u0307", "\u0338", "\u200d", "\U0001f600", "'s", "'T", "3.14", "1,000", "...", "\ue000", "\x00", "د"]
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library_on_random_strings(vocabulary):
+    rng = np.random.default_rng(11)
+    e = Encoder(vocabulary)
+    for _ in range(10):
+        texts = ["".join(_POOL[k] for k in rng.integers(len(_POOL), size=rng.integers(15))) for _ in range(1000)]
+        texts += ["".join(chr(c) for c in rng.choice([*range(32, 127), *range(160, 0x3000, 7), 44, 46, 32, 32], size=rng.integers(13))) for _ in range(1000)]
+        flat, ends = e.encode(texts)
+        for k, got in enumerate(e.library.encode_batch(texts, add_special_tokens=False)):
+            assert flat[ends[k] : ends[k + 1]].tolist() == got.ids, texts[k]
+
+
 def _greedy(pieces: set[bytes], word: bytes, longest: int) -> int:
     n = at = 0
     while at < len(word):
@@ -176,6 +192,8 @@ def test_token_files(docs, edge, nothing):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_files.read_token_files(token_files.write_token_files(edge)).count() == edge.count()
+    small = token_files.write_token_files(edge, shard_tokens=1)  # every document is a file of its own
+    assert small.count() == edge.count() and token_files.read_token_files(small).agg(F.sum("n_tokens")).collect()[0][0] == small.agg(F.sum("n_tokens")).collect()[0][0]
     assert token_files.read_token_files(token_files.write_token_files(nothing)).count() == 0
 
 
