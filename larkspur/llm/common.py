@@ -61,13 +61,38 @@ def cut(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table made by cut() that nothing reads any more."""
+def drop_written(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables made by cut() that nothing reads any more."""
+    for df in tables:
+        _drop(spark, df)
+
+
+def _drop(spark: SparkSession, df: DataFrame) -> None:
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than 1 in PIECES of all rows is split by split_join, which bounds the split keys too.
+PIECES = 1000
+
+
+def split_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, n: str, total: int) -> DataFrame:
+    """rows joined with per_key on key, the rows of frequent keys spread over several tasks.
+
+    per_key has one row of each key, with n, the number of rows that the key has in rows; total is the
+    number of all rows.  A key of more than total / PIECES rows is split by a hash of the column `by`, and
+    its row of per_key repeated.  There are at most PIECES such keys, whatever the input, so their table
+    may be broadcast.
+    """
+    piece = total // PIECES + 1
+    parts = F.ceil(F.col(n) / F.lit(piece)).cast("int")
+    split = F.broadcast(per_key.filter(F.col(n) > piece).select(key, parts.alias("_parts")))
+    salted = rows.join(split, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function made once per task (for its caches)."""
 

@@ -3,12 +3,12 @@
 1. Every text becomes its set of 5-word shingles, a digest of the set and a signature of K minima.  Rows
    of one digest are exact copies of a set; only the smallest id of each goes on.
 2. Two sets of similarity 0.75 agree in about 48 of 64 coordinates; pairs with fewer than T = 30 agreeing
-   coordinates are left out (at 0.75 exactly, one pair in ten million is lost).  Two signatures that agree
+   coordinates are left out (at 0.75 exactly, 3.8 pairs in ten million; fewer above), in lists of any length.  Two signatures that agree
    in T must share one of each one's K - T + 1 rarest (coordinate, value) pairs, so only these are posted;
    the order of rarity comes from counts of all pairs in a table of fixed size, and any order is right.
 3. In each posting list, every member is joined with the list's most central member alone (skip merging);
    what is confirmed joins components.  Lists whose members are then in one component are done; in the
-   others, the pairs of different components are joined.  So a large group of copies costs one pair for a
+   others, the pairs of different components are joined, those of long lists block by block.  So a large group of copies costs one pair for a
    member, and no link between components is lost.
 4. A candidate pair counts its agreeing coordinates, T at least, and is then confirmed on the full sets.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, drop_written, ship, split_join
 from larkspur.llm.components import components
 from larkspur.llm.shingles import COORDINATES, linked, mix, set_digest, shingle_set, signature
 
@@ -154,6 +154,12 @@ def _lists(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "bucket long, salt int, rep long, leader long, central long")
 
 
+def _with_both(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """Written pairs (a, b) with what one has of a and two has of b; the pairs of a b of very many are spread over tasks."""
+    times = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    return split_join(pairs.join(one, "a"), two.join(times, "b"), "b", "a", "n", pairs.count())
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures agree in AGREE coordinates at least."""
 
@@ -165,7 +171,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     one = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     two = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, one, two).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +192,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     one = texts.select(F.col("rep").alias("a"), F.col("t").alias("ta"))
     two = texts.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
+    return _with_both(pairs, one, two).select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -208,13 +214,14 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return keyed.filter(occurs(at(0), at(1))).select("rep", "t")
 
 
-def _block_links(long_lists: DataFrame, raw: DataFrame, percent: int) -> DataFrame:
+def _block_links(long_lists: DataFrame, reps: DataFrame, raw: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between components among the members of long lists, confirmed on full sets.
 
     Lists that share members form a cluster.  All members outside the cluster's largest component are dealt
-    into blocks that meet each other, and the blocks of that component; a task holds two blocks, finds all
-    intersections by products of incidence matrices, and gives out no more edges than join what is apart.
-    So no pair is ever a row, and members of one component are not compared.
+    into blocks that meet each other, and the blocks of that component; a task holds two blocks, counts the
+    agreeing coordinates of all their pairs, compares the sets of those that agree in AGREE and are still
+    apart, and gives out the edges that join them.  So no pair is ever a row, and members of one component
+    are not compared.
     """
     members = cut(long_lists.select("rep", "c", "head").distinct(), "neardup-long")
     cluster = components(members.select(F.col("rep").alias("u"), F.col("head").alias("v")))
@@ -231,27 +238,19 @@ def _block_links(long_lists: DataFrame, raw: DataFrame, percent: int) -> DataFra
     partner = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
     dealt = j.filter("others > 0").select("cluster", "rep", "c", "block", F.explode(partner).alias("other"))
     dealt = dealt.select("cluster", "rep", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"))
-    texts = _texts(raw, own.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    texts = _texts(raw, own.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).join(reps.select("rep", "sig"), "rep")
 
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
-        sets = [shingle_set(t) for t in rows["t"]]
-        size = np.array([len(s) for s in sets], np.int64)
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), size)
-        shared = times[column] > 1
-        named = np.cumsum(times > 1) - 1
-        row, column, wide = row[shared], named[column[shared]], int((times > 1).sum())
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for at in range(0, wide, 4096):
-            lo, hi = np.searchsorted(column, [at, at + 4096])
-            part = np.zeros((len(sets), min(4096, wide - at)), np.float32)
-            part[row[lo:hi], column[lo:hi] - at] = 1
-            common += part @ part.T
-        common = common.astype(np.int64)
-        a, b = np.nonzero(np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1))
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint32).reshape(-1, COORDINATES)
+        comp, rep, texts, out = rows["c"].to_numpy(), rows["rep"].tolist(), rows["t"].tolist(), []
+        sets: dict[int, np.ndarray] = {}
+
+        def shingled(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingle_set(texts[x])
+            return sets[x]
+
         top: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -260,14 +259,12 @@ def _block_links(long_lists: DataFrame, raw: DataFrame, percent: int) -> DataFra
                 x = top[x]
             return x
 
-        comp, rep, out = rows["c"].tolist(), rows["rep"].tolist(), []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if not size[x] or not size[y]:
-                continue
-            p, q = find(comp[x]), find(comp[y])
-            if p != q:
-                top[p] = q
-                out.append((rep[x], rep[y]))
+        for x in range(len(rep)):
+            for y in (np.flatnonzero(((sig[x + 1 :] == sig[x]).sum(1) >= AGREE) & (comp[x + 1 :] != comp[x])) + x + 1).tolist():
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q and linked(shingled(x), shingled(y), percent):
+                    top[p] = q
+                    out.append((rep[x], rep[y]))
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     return dealt.join(texts, "rep").groupBy("cluster", "i", "k").applyInPandas(compare, "u long, v long")
@@ -276,6 +273,7 @@ def _block_links(long_lists: DataFrame, raw: DataFrame, percent: int) -> DataFra
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
+    ship(spark)
     feat = cut(features(docs, text_col, id_col), "neardup-features")
     usable = feat.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = cut(usable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "neardup-sets")
@@ -287,7 +285,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     parts = lists.filter("salt > 0 and rep = leader").select("bucket", "leader", "central").distinct()
     top = parts.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("leader")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("b"))
     tops = parts.join(top, "bucket").select(F.col("leader").alias("a"), "b")
-    stars = lists.select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(tops).filter("a <> b").distinct()
+    stars = cut(lists.select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(tops).filter("a <> b").distinct(), "neardup-stars")
     agreeing = cut(_agreeing(stars, reps), "neardup-pairs")
     first = cut(_confirmed(agreeing, _texts(raw, agreeing), percent), "neardup-links")
     inner = cut(components(first), "neardup-components")
@@ -295,19 +293,20 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # lists with members in several components: pairs across components, of long lists in blocks
     placed = cut(lists.select("bucket", "rep").distinct().join(inner, lists.rep == inner.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "neardup-placed")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).filter("c0 < c1").select("bucket", "n", "head")
-    left = cut(placed.join(mixed, "bucket"), "neardup-open")
+    left = cut(split_join(placed, mixed, "bucket", "rep", "n", placed.count()), "neardup-open")
     short = left.filter(F.col("n") <= LONG)
     one, two = short.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca")), short.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    rest = one.join(two, "bucket").filter("a > b and ca <> cb").select("a", "b").distinct()
-    agreeing = cut(_agreeing(rest, reps), "neardup-pairs")
-    second = cut(_confirmed(agreeing, _texts(raw, agreeing), percent), "neardup-links")
-    second = second.union(cut(_block_links(left.filter(F.col("n") > LONG), raw, percent), "neardup-links"))
+    rest = cut(one.join(two, "bucket").filter("a > b and ca <> cb").select("a", "b").distinct(), "neardup-rest")
+    across = cut(_agreeing(rest, reps), "neardup-pairs")
+    second = cut(_confirmed(across, _texts(raw, across), percent), "neardup-links")
+    third = cut(_block_links(left.filter(F.col("n") > LONG), reps, raw, percent), "neardup-links")
 
     # an id that comes with several sets joins them
     classes = reps.select("hi", "lo", "rep")
     several = usable.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("s0"), F.max(F.struct("hi", "lo")).alias("s1")).filter("s0 <> s1").select("doc_id")
     same = usable.join(several, "doc_id").join(classes, ["hi", "lo"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    comp = components(first.union(second).union(same))
+    comp = components(first.union(second).union(third).union(same))
+    drop_written(spark, lists, stars, agreeing, first, inner, placed, left, rest, across, second, third)
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
     rows = feat.join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
