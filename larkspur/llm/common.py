@@ -42,9 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a folder of this machine only where that is unset and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.gettempdir()}/larkspur-checkpoints"
     return named.rstrip("/")
 

@@ -1,15 +1,19 @@
 """Known licence texts and notices found by canonical digest: DataFrame and SQL functions only.
 
-A text is cut into lines; every line is brought to a canonical form (case, equivalent spellings,
-punctuation, white space), empty and copyright lines go, and what is left is hashed.  Digests of the
-whole text, of its paragraphs and of its lines are joined by hash with the digests of the known texts, a
-fixed table of a few rows, which is why it may be broadcast.
+A text is cut into lines (at LF, CR LF or CR); every line is brought to a canonical form (case, equivalent
+spellings, punctuation, white space), empty and copyright lines go, and what is left is hashed.  Blank
+lines divide paragraphs.  Digests of the whole text, of its paragraphs, of its lines, and of runs of as
+many consecutive paragraphs as a known text has, are joined by hash with the digests of the known texts.
+The built-in table has a fixed number of rows, which is why it is broadcast; a caller's table is joined as
+the optimizer sees fit.  Every step is linear in the text.
 
-Result, one row per document, scope and licence: doc_id, scope ("text", "paragraph" or "line"; a unit
-that is also the larger unit counts for the larger one alone), license_id, kind, n_units.
+Result, one row per document, scope and licence: doc_id, scope ("text", "passage" for a run of paragraphs,
+"paragraph" or "line"; a unit that is at the same time the whole of the larger one counts for the larger
+one alone), license_id, kind, n_units.
 
 Defined results: null and empty texts, and texts of copyright lines alone, match nothing; rows with equal
-or null doc_id are counted together; an empty table gives no rows; other columns are ignored.
+or null doc_id are counted together; known texts without words match nothing; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,45 +92,81 @@ def _line(c):
     return F.when(F.regexp_like(c, F.lit(_COPYRIGHT)), F.lit("")).otherwise(F.trim(F.regexp_replace(c, _BLANKED, " ")))
 
 
-def canonical(text):
-    """Canonical form of a text column, "" if nothing is left."""
-    return F.array_join(F.filter(F.transform(F.split(text, "\n"), _line), lambda x: x != ""), " ")
+#: Ends of lines, and lines that divide paragraphs.
+_LINE_END = r"\r\n?|\n"
+_BLANK = r"^[ \t\x0B\f]*$"
+SCOPES = ("text", "passage", "paragraph", "line")
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, rank, digest) of every unit.
+def _nonempty(x):
+    return x != ""
+
+
+def _paragraphs(df: DataFrame, text: str) -> DataFrame:
+    """df with `paragraphs`, of each paragraph the array of its canonical lines, none of them empty, in place of the text column.
 
     Between the steps stands inline() of one row: the optimizer would otherwise merge the projections and
     bring every line to its canonical form once for each use of it.
     """
-    nonempty = lambda x: x != ""
-    digest = lambda scope: lambda x: F.struct(F.lit(scope).alias("rank"), F.md5(x).alias("digest"))
-    raw = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.split(F.col(f"`{text_col}`"), "\n").alias("raw"))
-    lined = raw.select("doc_id", F.inline(F.array(F.struct("raw", F.transform("raw", _line).alias("lines")))))
-    # lines that are blank in the text divide its paragraphs; \x01 stands for such a division
-    marked = F.array_join(F.zip_with("raw", "lines", lambda r, x: F.when(F.trim(r) == "", F.lit("\x01")).otherwise(x)), " ")
-    whole = F.array_join(F.filter("lines", nonempty), " ").alias("whole")
-    paragraphs = F.transform(F.split(marked, "\x01"), lambda x: F.trim(F.regexp_replace(x, " +", " "))).alias("paragraphs")
-    joined = lined.select("doc_id", F.inline(F.array(F.struct("lines", whole, paragraphs))))
+    kept = [c for c in df.columns if c != text]
+    lines = df.select(*kept, F.split(text, _LINE_END).alias("raw"))
+    # \x01 stands for a division between paragraphs, \x02 for the end of a line; canonical lines have neither
+    marked = F.array_join(F.transform("raw", lambda r: F.when(F.regexp_like(r, F.lit(_BLANK)), F.lit("\x01")).otherwise(_line(r))), "\x02")
+    cut = F.transform(F.split(marked, "\x01"), lambda p: F.filter(F.split(p, "\x02"), _nonempty))
+    return lines.select(*kept, F.inline(F.array(F.struct(F.filter(cut, lambda p: F.size(p) > 0).alias("paragraphs")))))
+
+
+def _digested(df: DataFrame) -> DataFrame:
+    """df with `whole` and `digests` (canonical text, and the digest of each paragraph) beside the paragraphs."""
+    whole = F.array_join(F.flatten("paragraphs"), " ").alias("whole")
+    each = F.transform("paragraphs", lambda p: F.md5(F.array_join(p, " "))).alias("digests")
+    return df.select(*[c for c in df.columns if c != "paragraphs"], F.inline(F.array(F.struct("paragraphs", whole, each))))
+
+
+def _unit(rank: int, digest):
+    return F.struct(F.lit(rank).alias("rank"), digest.alias("digest"))
+
+
+def _units(docs: DataFrame, id_col: str, text_col: str, sizes: list[int]) -> DataFrame:
+    """(doc_id, rank, digest) of every unit; sizes are the paragraph counts of known texts, 2 or more."""
+    df = _digested(_paragraphs(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("t")), "t"))
+    n = F.size("digests")
+    none = F.array().cast("array<struct<rank:int,digest:string>>")
+
+    def runs(r: int):
+        return F.when(n > r, F.transform(F.sequence(F.lit(1), n - (r - 1)), lambda i: _unit(1, F.md5(F.array_join(F.slice("digests", i, r), ""))))).otherwise(none)
+
     units = F.concat(
-        F.transform(F.filter(F.array("whole"), nonempty), digest(0)),
-        F.transform(F.filter("paragraphs", lambda x: (x != "") & (x != F.col("whole"))), digest(1)),
-        F.transform(F.filter("lines", lambda x: (x != "") & (x != F.col("whole")) & ~F.array_contains("paragraphs", x)), digest(2)),
+        F.when(F.col("whole") != "", F.array(_unit(0, F.md5("whole")))).otherwise(none),
+        *map(runs, sizes),
+        F.when(n > 1, F.transform("digests", lambda d: _unit(2, d))).otherwise(none),
+        F.transform(F.flatten(F.filter("paragraphs", lambda p: F.size(p) > 1)), lambda x: _unit(3, F.md5(x))),
     )
-    return joined.select("doc_id", units.alias("units")).select("doc_id", F.explode("units").alias("u")).select("doc_id", "u.rank", "u.digest")
+    return df.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.rank", "u.digest")
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """(digest, license_id, kind, size) of known texts (license_id, kind, text): of the whole, and of the run of its paragraphs if it has several."""
+    df = _digested(_paragraphs(known.select("license_id", "kind", F.col("text").alias("t")), "t")).filter("whole <> ''")
+    n = F.size("digests")
+    rows = F.array(F.struct(F.md5("whole").alias("digest"), F.lit(1).alias("size")), F.struct(F.md5(F.array_join("digests", "")).alias("digest"), n.alias("size")))
+    return df.select("license_id", "kind", F.inline(rows)).select("digest", "license_id", "kind", "size").distinct()
 
 
-def known_digests(spark) -> DataFrame:
-    """(digest, license_id, kind): one row for each known text."""
+def builtin(spark) -> DataFrame:
+    """(license_id, kind, text): the fixed table."""
     rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(k).alias("kind"), F.lit(t).alias("text")) for i, k, t in KNOWN])
-    return spark.range(1).select(F.inline(rows)).select(F.md5(canonical(F.col("text"))).alias("digest"), "license_id", "kind").distinct()
+    return spark.range(1).select(F.inline(rows))
 
 
-def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    known = F.broadcast(known_digests(docs.sparkSession))
-    hits = _units(docs, id_col, text_col).join(known, "digest")
+def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
+    """known (license_id, kind, text) takes the place of the built-in table."""
+    digests = known_digests(builtin(docs.sparkSession) if known is None else known)
+    sizes = sorted(r["size"] for r in digests.select("size").distinct().collect() if r["size"] > 1)
+    digests = digests.select("digest", "license_id", "kind").distinct()
+    hits = _units(docs, id_col, text_col, sizes).join(F.broadcast(digests) if known is None else digests, "digest")
     counted = hits.groupBy("doc_id", "rank", "license_id", "kind").agg(F.count(F.lit(1)).alias("n_units"))
-    scope = F.element_at(F.array(F.lit("text"), F.lit("paragraph"), F.lit("line")), F.col("rank") + 1)
+    scope = F.element_at(F.array(*map(F.lit, SCOPES)), F.col("rank") + 1)
     return counted.select("doc_id", scope.alias("scope"), "license_id", "kind", "n_units")
 
 
@@ -136,18 +176,18 @@ def oracle(documents: str = "documents") -> str:
     x = "lower(l)"
     for old, new in SPELLINGS:
         x = f"replace({x}, {quote(old)}, {quote(new)})"
-    line = f"(CASE WHEN regexp_matches({x}, {quote(_COPYRIGHT)}) THEN '' ELSE trim(regexp_replace({x}, {quote(_BLANKED)}, ' ', 'g')) END)"
-    lines = lambda t: f"list_transform(string_split({t}, chr(10)), lambda l: {line})"
-    joined = lambda a: f"array_to_string(list_filter({a}, lambda x: x <> ''), ' ')"
+    line = f"(CASE WHEN regexp_matches(l, {quote(_BLANK)}) THEN chr(1) WHEN regexp_matches({x}, {quote(_COPYRIGHT)}) THEN '' ELSE trim(regexp_replace({x}, {quote(_BLANKED)}, ' ', 'g')) END)"
+    marked = lambda t: f"array_to_string(list_transform(string_split_regex({t}, {quote(_LINE_END)}), lambda l: {line}), chr(2))"
+    paragraphs = lambda t: f"list_filter(list_transform(string_split({marked(t)}, chr(1)), lambda p: list_filter(string_split(p, chr(2)), lambda x: x <> '')), lambda p: len(p) > 0)"
+    digested = "SELECT *, array_to_string(flatten(ps), ' ') AS whole, list_transform(ps, lambda p: md5(array_to_string(p, ' '))) AS ds"
     known = ", ".join(f"({quote(i)}, {quote(k)}, {quote(t)})" for i, k, t in KNOWN)
     return f"""
-WITH known AS (SELECT DISTINCT md5({joined(lines('t'))}) AS digest, license_id, kind FROM (VALUES {known}) AS v(license_id, kind, t)),
-cut AS (SELECT doc_id, string_split(text, chr(10)) AS raw, {lines('text')} AS lines FROM {documents} WHERE text IS NOT NULL),
-marked AS (SELECT doc_id, lines, {joined('lines')} AS whole,
-  string_split(array_to_string(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN trim(raw[i]) = '' THEN chr(1) ELSE lines[i] END), ' '), chr(1)) AS parts FROM cut),
-units AS (SELECT doc_id, lines, whole, list_transform(parts, lambda p: trim(regexp_replace(p, ' +', ' ', 'g'))) AS paragraphs FROM marked),
+WITH texts AS ({digested} FROM (SELECT license_id, kind, {paragraphs('t')} AS ps FROM (VALUES {known}) AS v(license_id, kind, t))),
+known AS (SELECT md5(whole) AS digest, license_id, kind FROM texts UNION SELECT md5(array_to_string(ds, '')), license_id, kind FROM texts),
+units AS ({digested} FROM (SELECT doc_id, {paragraphs('text')} AS ps FROM {documents} WHERE text IS NOT NULL)),
 found AS (
-  SELECT doc_id, 'text' AS scope, whole AS unit FROM units WHERE whole <> ''
-  UNION ALL SELECT doc_id, 'paragraph', unnest(list_filter(paragraphs, lambda p: p <> '' AND p <> whole)) FROM units
-  UNION ALL SELECT doc_id, 'line', unnest(list_filter(lines, lambda p: p <> '' AND p <> whole AND NOT list_contains(paragraphs, p))) FROM units)
-SELECT doc_id, scope, license_id, kind, count(*) AS n_units FROM found JOIN known ON md5(unit) = digest GROUP BY ALL"""
+  SELECT doc_id, 'text' AS scope, md5(whole) AS digest FROM units WHERE whole <> ''
+  UNION ALL SELECT doc_id, 'passage', unnest(list_transform(range(1, len(ds) - r + 2), lambda i: md5(array_to_string(ds[i:i + r - 1], '')))) FROM units JOIN (SELECT DISTINCT len(ds) AS r FROM texts WHERE len(ds) > 1) AS sizes ON len(ds) > r
+  UNION ALL SELECT doc_id, 'paragraph', unnest(ds) FROM units WHERE len(ds) > 1
+  UNION ALL SELECT doc_id, 'line', md5(unnest(flatten(list_filter(ps, lambda p: len(p) > 1)))) FROM units)
+SELECT doc_id, scope, license_id, kind, count(*) AS n_units FROM found JOIN known USING (digest) GROUP BY ALL"""

@@ -1,5 +1,6 @@
 """Corpus operators against brute force, round trips and the cases that each docstring defines."""
 
+import re
 import zlib
 
 import numpy as np
@@ -110,15 +111,56 @@ def test_adpcm_and_companding_round_trips():
     assert media.resample(np.array([0, 10, 20], np.int16), 8000, 16000).tolist() == [0, 5, 10, 15, 20, 20]
 
 
-def test_media_digests(edge, nothing):
+def test_expansion_and_adpcm_equal_scalar_decoders():
+    # published values of the two companding laws
+    assert {c: int(media.EXPAND[media.MULAW][c]) for c in (0, 1, 0x7F, 0x80, 0xFE, 0xFF)} == {0: -32124, 1: -31100, 0x7F: 0, 0x80: 32124, 0xFE: 8, 0xFF: 0}
+    assert {c: int(media.EXPAND[media.ALAW][c]) for c in (0x55, 0xD5, 0x2A, 0xAA, 0x00, 0x80)} == {0x55: -8, 0xD5: 8, 0x2A: -32256, 0xAA: 32256, 0x00: -5504, 0x80: 5504}
+    for code in range(256):  # sign, segment and step, one code at a time
+        u = code ^ 0xFF
+        mu = (2 * (u & 15) + 33 << (u >> 4 & 7)) - 33
+        assert media.EXPAND[media.MULAW][code] == (-4 * mu if u & 128 else 4 * mu)
+        a = code ^ 0x55
+        step, segment = a & 15, a >> 4 & 7
+        al = 2 * step + 1 if segment == 0 else 2 * step + 33 << segment - 1
+        assert media.EXPAND[media.ALAW][code] == (8 * al if a & 128 else -8 * al)
+    data = np.random.default_rng(8).integers(0, 256, 64 * 20, dtype=np.uint8)
+    data[2::64] %= 89
+    want = []
+    for block in data.reshape(-1, 64):
+        value, index = int(block[:2].view("<i2")[0]), int(block[2])
+        want.append(value)
+        for byte in block[4:].tolist():
+            for code in (byte & 15, byte >> 4):
+                step = int(media.STEPS[index])
+                move = step // 8 + (step if code & 4 else 0) + (step // 2 if code & 2 else 0) + (step // 4 if code & 1 else 0)
+                value = max(-32768, min(32767, value - move if code & 8 else value + move))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                want.append(value)
+    assert media.decode_adpcm(data.tobytes()).tolist() == want
+    assert media.to_pcm(media.wav(media.ALAW, 8000, bytes(range(256))))[1].tolist() == media.EXPAND[media.ALAW].tolist()
+
+
+@pytest.mark.parametrize("tag", [media.MULAW, media.ALAW])
+def test_media_digests(spark, edge, nothing, tag):
     import hashlib
 
-    got = media.digests(media.decode_media(media.store_texts(edge))).collect()
-    texts = sorted((r.text or "").encode() for r in edge.collect())
-    want = sorted((len(t), hashlib.sha256(t + b"\0" * (-len(t) % 64 or 64 * (not t))).hexdigest()) for t in texts)
-    assert sorted((r.n_bytes, r.payload_sha256) for r in got) == want
-    assert all(r.payload_bytes % 64 == 0 and r.payload_bytes > 0 for r in got)
-    assert media.decode_media(media.store_texts(nothing)).count() == 0
+    got = media.digests(media.store_pcm(media.decode_media(media.store_texts(edge, tag=tag), 4000))).collect()
+    want = []
+    for r in edge.collect():
+        text = (r.text or "").encode()
+        payload = text + b"\0" * (-len(text) % 64 or 64 * (not text))
+        form = b"fmt " + (18).to_bytes(4, "little") + tag.to_bytes(2, "little") + b"\1\0" + (8000).to_bytes(4, "little") * 2 + b"\1\0\x08\0\0\0"
+        body = b"WAVE" + form + b"data" + len(payload).to_bytes(4, "little") + payload
+        file = b"RIFF" + len(body).to_bytes(4, "little") + body
+        audio = [int(media.EXPAND[tag][c]) for c in payload]
+        half = b"".join(v.to_bytes(2, "little", signed=True) for v in audio[::2])
+        steps = sum(abs(y - x) for x, y in zip(audio, audio[1:]))
+        rms = (sum(v * v for v in audio) // len(audio)) ** 0.5
+        crossings = sum((x >= 0) != (y >= 0) for x, y in zip(audio, audio[1:]))
+        said = f"n={len(audio)} peak={max(map(abs, audio))} rms={rms:.0f} zc={crossings} step={steps // (len(audio) - 1)}"
+        want.append((r.doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), said, len(half) + 44, hashlib.sha256(media.wav(media.PCM, 4000, half)).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert media.digests(media.store_pcm(media.decode_media(media.store_texts(nothing)))).count() == 0
 
 
 def _pieces_cover(rows, docs_ids):
@@ -206,6 +248,23 @@ def test_license_scan(spark, nothing):
     assert {g[0] for g in got} == {1, 2, 6} and licenses.scan(nothing).count() == 0
 
 
+def test_license_scan_of_line_ends_passages_and_own_tables(spark, edge):
+    isc = next(t for i, k, t in licenses.KNOWN if i == "ISC")
+    schema = "doc_id long, text string, scope string, digest string"
+    rows = [
+        (1, "intro\r\n\r\nReleased under the MIT License.\r\n\r\nmore"), (2, "intro\r\n \t\r\nReleased under\r\nthe MIT License.\r\n\r\nmore"), (3, "a\rReleased under the MIT License.\rb"),
+        (4, "head\n\n(c) 2021 B\n\n" + isc + "\n\ntail"), (5, isc), (None, "Released under the MIT License."), (None, "Released under the MIT License."), (7, "x\nReleased under the MIT License.\n\nReleased under the MIT License."),
+        (8, "word " * 300_000 + "\nReleased under the MIT License.\n" + "line\n" * 100_000),
+    ]
+    df = spark.createDataFrame([(*r, "scope", None) for r in rows], schema)
+    got = {(r.doc_id, r.scope, r.license_id, r.n_units) for r in licenses.scan(df).collect()}
+    assert got == {(1, "paragraph", "MIT", 1), (2, "paragraph", "MIT", 1), (3, "line", "MIT", 1), (4, "passage", "ISC", 1), (5, "text", "ISC", 1), (None, "text", "MIT", 2), (7, "paragraph", "MIT", 1), (7, "line", "MIT", 1), (8, "line", "MIT", 1)}
+    own = spark.createDataFrame([("own", "terms", "first part\n\nsecond part"), ("none", "terms", "© 2020 x"), ("null", "terms", None)], "license_id string, kind string, text string")
+    docs = spark.createDataFrame([(1, "x\n\nFirst part!\n\nSecond part.\n\ny"), (2, "Released under the MIT License."), (3, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.scope, r.license_id) for r in licenses.scan(docs, known=own).collect()] == [(1, "passage", "own")]
+    assert licenses.scan(edge).count() == 0
+
+
 def _brute(rows):
     sets = {k: shingles.shingle_set((t or "").encode()) for k, t in rows}
     top = {k: k for k in sets}
@@ -239,8 +298,28 @@ def test_near_duplicates(spark, docs, monkeypatch, long_list, block, split):
 def test_block_links_of_the_smallest_member(spark):
     text = " ".join(f"word{k}" for k in range(60))
     raw = spark.createDataFrame([(1, text.encode()), (2, b"something else that stands alone in its list of members"), (3, (text + " end").encode())], "rep long, t binary")
+    reps = neardup.features(raw, "t", "rep").withColumnRenamed("doc_id", "rep")
     long_lists = spark.createDataFrame([(k, k, 1) for k in (1, 2, 3)], "rep long, c long, head long")
-    assert [tuple(sorted(r)) for r in neardup._block_links(long_lists, raw, 75).collect()] == [(1, 3)]
+    assert [tuple(sorted(r)) for r in neardup._block_links(long_lists, reps, raw, 75).collect()] == [(1, 3)]
+
+
+@pytest.mark.parametrize("pieces", [1000, 3])
+def test_components_of_hubs_and_paths(spark, monkeypatch, pieces):
+    from larkspur.llm import common
+    from larkspur.llm.components import components
+
+    monkeypatch.setattr(common, "PIECES", pieces)
+    edges = [(k, 500) for k in range(100)] + [(1000, k) for k in range(1001, 1100)] + [(k, k + 1) for k in range(2000, 2040)] + [(7, 7), (None, 3), (3000, 3001), (3001, 3000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {**{k: 0 for k in [*range(1, 100), 500]}, **{k: 1000 for k in range(1001, 1100)}, **{k: 2000 for k in range(2001, 2041)}, 3001: 3000}
+    assert got == want
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_near_duplicates_equal_brute_force_on_a_thousand_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _brute(rows)
 
 
 def test_single_sets_of_split_lists_are_leaders(spark):
@@ -271,6 +350,87 @@ def test_decontamination(spark, edge, nothing):
     assert decontamination.contaminated(edge, items.limit(0)).count() == 0
 
 
+def _found_by_brute_force(texts, items, least=0.75):
+    """{(text number, item number): (covered, changed)} by comparing every window of every text with every window of every item."""
+
+    def words(t):
+        out, start = [], True
+        for w in t.replace("\n", " \x00 ").split():
+            if w == "\x00":
+                start = True
+                continue
+            core = re.sub(r"[\W_]+", "", w)
+            if core:
+                low = core.lower()
+                kind = "#" if re.fullmatch(r"[0-9]+(st|nd|rd|th)?", low) or low in decontamination.NUMBER_WORDS else "u" if low in decontamination.UNITS else "N" if core[0].isupper() and core[1:].islower() and not start else ""
+                out.append((low, kind))
+            start = w[-1] in ".!?:"
+        return out
+
+    def windows(ws):
+        if 0 < len(ws) < 5:
+            return [(0, ("whole", *[w for w, _ in ws]), [w if k else None for w, k in ws])]
+        out = []
+        for p in range(len(ws) - 4):
+            part = ws[p : p + 5]
+            slots = [w if k else None for w, k in part]
+            out.append((p, tuple(w for w, _ in part), slots))
+            if 0 < sum(1 for _, k in part if k) <= 3:
+                out.append((p, ("template", *[k or w for w, k in part]), slots))
+        return out
+
+    found = {}
+    split = [windows(words(t or "")) for t in texts]
+    for n, item in enumerate(items):
+        size, mine = len(words(item or "")), windows(words(item or ""))
+        for d, theirs in enumerate(split):
+            pairs = [(a, b) for a in mine for b in theirs if a[1] == b[1]]
+            seen = {}
+            for a, b in pairs:
+                for x, y in zip(a[2], b[2], strict=True):
+                    if x and y:
+                        seen[x, y] = seen.get((x, y), 0) + 1
+            if any(list(seen.values()).count(v) > 1 and x != y for (x, y), v in seen.items()) and len({x for x, _ in seen}) < len(seen):
+                continue  # equally frequent pairings that exclude each other: either choice is right
+            ahead = {}
+            for (x, y), _ in sorted(seen.items(), key=lambda p: (-p[1], p[0][0] != p[0][1])):
+                if x not in ahead and y not in ahead.values():
+                    ahead[x] = y
+            kept = [(a, b) for a, b in pairs if all(ahead.get(x) == y for x, y in zip(a[2], b[2], strict=True) if x and y)]
+            best = (0, 0)
+            for piece in {b[0] // size for _, b in kept}:
+                here = [(a, b) for a, b in kept if piece <= b[0] // size < piece + 3]
+                covered = {a[0] + j for a, _ in here for j in range(min(5, size))}
+                changed = {a[0] + j for a, b in here for j, (x, y) in enumerate(zip(a[2], b[2], strict=True)) if x and y and x != y}
+                best = max(best, (len(covered), -len(changed)))
+            if size and best[0] >= least * size:
+                found[d, n] = best[0], -best[1]
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rng = np.random.default_rng(4)
+    for k, (_, t) in enumerate(items[:20]):  # pieces of items, with other numbers and a word put in
+        ws = t.split()
+        cut_off = ws[: int(len(ws) * rng.uniform(0.6, 1))]
+        cut_off.insert(int(rng.integers(len(cut_off))), "inserted")
+        rows.append((10_000 + k, "Before it. " + " ".join(str(int(w) + 7) if w.isdigit() else w for w in cut_off) + " and after it."))
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = _found_by_brute_force([t for _, t in rows], [t for _, t in items])
+    assert {(r.doc_id, r.item_id): (r.covered, r.slots_changed) for r in got} == {(rows[d][0], items[n][0]): v for (d, n), v in want.items()}
+    assert len(want) > 10
+
+
+def test_decontamination_of_numbers_and_repeats(spark):
+    items = [(1, "3 5 8 12 20 33 40 51"), (2, " ".join(f"the cat {k * 3} is {k}" for k in range(30)))]
+    rows = [(1, "910 22 71 34 65 86 17 48"), (2, "so 3 5 8 12 20 33 40 51 it is"), (3, " ".join(map(str, range(8000)))), (4, " ".join(f"the cat {k} is {k + 1}" for k in range(4000)))]
+    rows += [(None, rows[1][1]), (2, "another text of the same id"), (2, rows[1][1])]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == [(2, 1), (None, 1)]
+
+
 @pytest.mark.parametrize("rare", [2, 1000])
 def test_block_max_search_is_exact(rare):
     rng = np.random.default_rng(2)
@@ -377,3 +537,50 @@ def test_pipeline_stages(spark, docs):
     assert len(set(_brute(left.items()).values())) == len(left)
     assert decontamination.contaminated(d, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     assert {r.doc_id for r in corpus_pipeline.pack(spark, d, SF).collect()} == set(left)
+
+
+def test_pipeline_stages_on_edges(spark, edge, nothing):
+    import corpus_pipeline
+
+    mega = "a very long text of words " * 60_000
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    more = [(None, "x " + item + " y", "en", None, None, 0.0, 1, 1), (50, "x " + item + " y", "en", None, None, 0.0, 1, 1), (50, "one two three four five six seven eight", None, None, None, None, None, None)]
+    more += [(51, mega, "en", None, None, None, None, None), (52, mega, "en", None, None, None, None, None), (None, mega, "en", None, None, None, None, None), (52, mega, "en", None, None, None, None, None)]
+    docs = edge.union(spark.createDataFrame(more, edge.schema)).withColumn("_key", F.lit(7)).withColumn("component_id", F.lit("c"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns and stage(spark, nothing, SF).count() == 0, name
+        assert after.exceptAll(docs).count() == 0, name
+    unique = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert [r.doc_id for r in unique if r.text == mega] == [51]
+    assert sorted(r.text for r in unique if r.doc_id == 3) == sorted(r.text for r in docs.filter("doc_id = 3").select("text").distinct().collect())
+    assert sum(r.doc_id is None for r in unique) == 1 and sum(r.text is None for r in unique) == 1
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert not any(r.text == "x " + item + " y" for r in clean) and len(clean) == docs.count() - 2
+    pieces = corpus_pipeline.pack(spark, docs, SF)
+    assert pieces.filter("start = 0").count() == docs.count() and corpus_pipeline.pack(spark, nothing, SF).count() == 0
+
+
+def test_held_out_quality_and_language(spark):
+    from larkspur.llm.queries import op5_quality, op7_language_id
+
+    rows, said, true = _held_out(spark, op5_quality, "quality", 4, 2)
+    assert (said == true).mean() > 0.97 and len(true) > 900 and all(0 <= r.score <= 1 for r in rows)
+    truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in op7_language_id(spark, "/root/testdata/sf0.1").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert all(r.held_out for r in got) and np.mean([r.lang_pred == truth[r.doc_id] for r in got if truth[r.doc_id]]) > 0.99
+
+
+def test_token_counts_of_documents_equal_a_greedy_split(spark, docs):
+    import json
+
+    from larkspur.llm.tokens import _byte_table, vocabulary_path
+
+    byte = {c: b for b, c in _byte_table().items()}
+    pieces = {bytes(byte[c] for c in t) for t in json.load(open(vocabulary_path(wordpieces.VOCABULARY)))["model"]["vocab"] if all(c in byte for c in t)}
+    longest, (_, mark) = max(map(len, pieces)), wordpieces.load_vocabulary(wordpieces.VOCABULARY)
+    some = docs.orderBy("n_chars").limit(60)
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in wordpieces.token_counts(some).collect()}
+    for r in some.collect():
+        words = r.text.split()
+        assert got[r.doc_id] == (len(words), sum(_greedy(pieces, mark + w.encode(), longest) for w in words))
