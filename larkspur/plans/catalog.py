@@ -15,7 +15,7 @@ from larkspur.operators import representation as P
 from larkspur.sources.sinks import upsert, upsert_counts
 from larkspur.sources.tables import table
 
-PHRASES = ["slim fit jeans", "printed Cotton t-shirt with pocket", "v-neck full sleeve top", "oversized hoodie  zip pocket", "striped silk saree, lace", "plain"]
+PHRASES = ["slim fit jeans", "printed Cotton t-shirt with pocket", "v-neck hooded full sleeve top", "oversized regular fit hoodie  zip pocket", "striped silk saree, lace", "plain"]
 COLORS = ["darkblue", "greymelange", "red", "02dx", "offwhite", "gray", "mediumpink"]
 
 
@@ -177,10 +177,15 @@ def field_coverage(spark, sf_dir):
     return Q.coverage(catalog(spark, sf_dir), ["brand", "description", "category_gender", "color"])
 
 
+#: What is planted into messages: each is hidden by its own rule, and the last two by none.
+PLANTED = ["see postgres://user:pw@host:5432/db now", "MYSQL://root@h/x", "header Bearer abc.def-123 sent", "bearer\tTOKEN", "open /etc/passwd failed", "C:\\Users\\me\\a.txt", "'/tmp/x y'", "Traceback (most recent call last)", "STACK TRACE: none", "ratio 1/2", "no secret"]
+
+
 def redacted_messages(spark, sf_dir):
-    text = F.col("text")
-    m = table(spark, sf_dir, "documents").filter(F.contains(X.redacted(text, (1 << 31) - 1), F.lit("[redacted]")))
-    return m.select("doc_id", F.md5(X.redacted(text)).alias("digest"))
+    """Every turn of the conversations, with a planted message before it."""
+    planted = F.element_at(F.array(*map(F.lit, PLANTED)), ((F.col("conv_id") + F.col("turn")) % len(PLANTED) + 1).cast("int"))
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.redacted(F.concat_ws(" ", planted, F.coalesce("text", F.lit("")))).alias("m"))
+    return m.select("conv_id", "turn", F.length("m").cast("long").alias("n_chars"), F.md5("m").alias("digest"))
 
 
 def query_normalization(spark, sf_dir):
@@ -198,9 +203,17 @@ def _sql_match(e: str) -> str:
     return f"regexp_matches(t, {_quote('(^|[^a-z0-9])' + r'\\s+'.join(re.escape(w).replace('/', '/') for w in e.split(' ')).replace(chr(92) * 2, chr(92)) + '($|[^a-z0-9])')})"
 
 
+# Written out by hand, apart from the operator's own ordering: values by their longest expression, ties as declared.
+_BY_LENGTH = {
+    "product_type": "track_pants cargo_pants sweatshirt night_suit camisole leggings t_shirt trousers cardigan joggers sweater palazzo co_ord shorts jacket hoodie blouse blazer kurta saree dress jeans skirt tunic kurti shirt top".split(),
+    "fit": "oversized_fit straight_fit tailored_fit regular_fit relaxed_fit tapered_fit comfort_fit skinny_fit loose_fit slim_fit boxy_fit".split(),
+    "sleeve": "short_sleeve three_quarter_sleeve full_sleeve half_sleeve long_sleeve sleeveless cap_sleeve".split(),
+    "neckline": "mandarin_collar spread_collar band_collar square_neck round_neck boat_neck high_neck polo_neck collared v_neck hooded henley".split(),
+}
+
+
 def _sql_single(a: str) -> str:
-    pairs = sorted([(e, v) for v in A.VOCABULARY[a] for e in A.expressions(a, v)], key=lambda p: -len(p[0]))
-    return "coalesce(" + ", ".join(f"CASE WHEN {_sql_match(e)} THEN '{v}' END" for e, v in pairs) + ")"
+    return "coalesce(" + ", ".join(f"CASE WHEN {_sql_value(a, v)} THEN '{v}' END" for v in _BY_LENGTH[a]) + ")"
 
 
 def _sql_value(a: str, v: str) -> str:
@@ -249,9 +262,9 @@ LEXICAL_TEXT = "concat_ws(' ', " + ", ".join(f"replace({c}, '|', ',')" for _, c
 COLOR_NAMES = "names(color, color_normalized, color_is_coded) AS (VALUES ('darkblue', 'dark_blue', false), ('greymelange', 'grey_melange', false), ('red', 'red', false), ('02dx', '02dx', true), ('offwhite', 'off_white', false), ('gray', 'grey', false), ('mediumpink', 'medium_pink', false))"
 _SHOWN = [_sql_clause(label, c) if c != "color_normalized" else f"CASE WHEN color_normalized = '02dx' THEN 'Color: 02Dx' ELSE {_sql_clause(label, c)} END" for label, c in P.LABELS]
 SEMANTIC_TEXT = "concat_ws(' ', nullif(concat_ws('. ', " + ", ".join(_SHOWN) + r"), '') || '.', 'Description: ' || trim(regexp_replace(description, '\s+', ' ', 'g')))"
-_REDACTED = "text"
-for _p in X.SECRETS:
-    _REDACTED = f"regexp_replace({_REDACTED}, {_quote(_p)}, '[redacted]', 'g')"
+_PLANTED = "list_extract([" + ", ".join(_quote(x) for x in PLANTED) + f"], CAST((conv_id + turn) % {len(PLANTED)} + 1 AS INT))"
+# the three rules, written out for RE2
+_REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(t, '(postgresql|postgres|mysql|mongodb)://[^ \t\n\r\f\v]+', '[redacted]', 'gi'), 'bearer[ \t\n\r\f\v]+[^ \t\n\r\f\v]+', 'Bearer [redacted]', 'gi'), '([A-Za-z]:\\|/)[^ \t\n\r\f\v"'']+', '[redacted]', 'g')"""
 
 QUERIES = {f.__name__: f for f in (validation_findings, url_structure, price_rules, identity_summary, dup_value_summary, dup_key_summary, dup_variance, representative_groups, exact_dedup, case_variants, top_colors, cleaned_cells, canonical_projection, color_normalize, attr_extract, vocab_coverage, upsert_merge, product_text, lexical_text, semantic_text, multivalue_parse, quality_issues, field_coverage, redacted_messages, query_normalization)}
 ORACLE_SQL = {
@@ -278,7 +291,7 @@ ORACLE_SQL = {
     "canonical_projection": rf"WITH {CATALOG}, {PRICES} SELECT product_id, brand, trim(regexp_replace(description, '\s+', ' ', 'g')) AS description, o AS original_price_inr, d AS discount_price_inr, coalesce(d > o, false) AS price_anomaly, 'parts' AS source FROM priced",
     "color_normalize": f"WITH {CATALOG}, {COLOR_NAMES} SELECT color, color_normalized, color_is_coded, count(*) AS n FROM catalog LEFT JOIN names USING (color) GROUP BY ALL",
     "semantic_text": f"WITH {CATALOG}, {ATTRS}, {COLOR_NAMES} SELECT product_id, {SEMANTIC_TEXT} AS semantic_text FROM attrs LEFT JOIN names USING (color)",
-    "redacted_messages": f"WITH r AS (SELECT doc_id, substr({_REDACTED}, 1, 240) AS t FROM documents) SELECT doc_id, md5(t) AS digest FROM r WHERE contains(t, '[redacted]')",
+    "redacted_messages": f"WITH m AS (SELECT conv_id, turn, {_PLANTED} || ' ' || coalesce(text, '') AS t FROM conversations), r AS (SELECT conv_id, turn, {_REDACTED} AS r FROM m), c AS (SELECT conv_id, turn, r, regexp_replace(r, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g') AS x FROM r), s AS (SELECT conv_id, turn, CASE WHEN contains(lower(r), 'traceback') OR contains(lower(r), 'stack trace') THEN 'An unexpected error occurred' WHEN length(x) > 240 THEN left(x, 237) || '...' ELSE x END AS m FROM c) SELECT conv_id, turn, length(m) AS n_chars, md5(m) AS digest FROM s",
     "upsert_merge": f"WITH {CATALOG}, c AS (SELECT product_id, CAST(substr(product_id, 2) AS BIGINT) AS k, color FROM catalog), o AS (SELECT * FROM c WHERE k % 3 <> 0), n AS (SELECT product_id, k, 'new' AS color FROM c WHERE k % 2 = 0), u AS (SELECT color FROM n UNION ALL SELECT color FROM o ANTI JOIN n USING (product_id)) SELECT color, count(*) AS n_rows, (SELECT count(*) FROM n ANTI JOIN o USING (product_id)) AS inserted, (SELECT count(*) FROM n SEMI JOIN o USING (product_id)) AS updated FROM u GROUP BY color",
     "attr_extract": f"WITH {CATALOG}, {ATTRS} SELECT product_id, {', '.join(A.VOCABULARY)} FROM attrs",
     "vocab_coverage": f"WITH {CATALOG}, texts AS (SELECT *, {NORMAL} AS t FROM catalog) " + " UNION ALL ".join(f"SELECT '{a}' AS attribute, '{v}' AS value, count(*) FILTER ({_sql_value(a, v)}) AS n_rows, round(count(*) FILTER ({_sql_value(a, v)}) / count(*), 6) AS share FROM texts" for a in ("product_type", "product_features") for v in A.VOCABULARY[a]),
