@@ -31,18 +31,40 @@ def jaccard(a: Column, b: Column) -> Column:
 def attribute_candidates(seeds: DataFrame, catalog: DataFrame, gender: str, scalars: dict[str, float], multis: dict[str, float], k: int, gender_weight: float = 2.0, id_col: str = "id") -> DataFrame:
     """(seed, doc_id, score, rank): weighted share of the seed's attributes that a product of the same gender has.
 
-    The gender guard makes this an equi-join; the denominator holds only what the seed has.
+    The denominator holds only what the seed has.  Products that share an attribute with a seed are found
+    by equi-joins on gender and value; all others of its gender have the gender's share alone, so they are
+    needed only where a seed has fewer than k, and then those of the smallest ids, of which 2k + 1 of each
+    gender are enough.
     """
-    s = seeds.select(*[F.col(c).alias(f"s_{c}") for c in [id_col, gender, *scalars, *multis]])
-    j = catalog.join(F.broadcast(s), folded(F.col(gender)) == folded(F.col(f"s_{gender}"))).filter(F.col(id_col) != F.col(f"s_{id_col}"))
-    got, most = F.lit(gender_weight), F.lit(gender_weight)
-    for c, w in scalars.items():
-        got = got + F.coalesce(scalar_similarity(F.col(f"s_{c}"), F.col(c)), F.lit(0.0)) * w
-        most = most + F.when(folded(F.col(f"s_{c}")).isNotNull(), w).otherwise(0.0)
-    for c, w in multis.items():
-        got = got + F.coalesce(F.arrays_overlap(F.transform(f"s_{c}", folded), F.transform(c, folded)).cast("double"), F.lit(0.0)) * w
-        most = most + F.when(F.col(f"s_{c}").isNotNull(), w).otherwise(0.0)
-    return top_k(j.select(F.col(f"s_{id_col}").alias("seed"), F.col(id_col).alias("doc_id"), (got / most).alias("score")).filter("score > 0"), k, by="seed")
+    names = [*scalars, *multis]
+    mine = catalog.filter(folded(F.col(gender)).isNotNull()).select(F.col(id_col).alias("doc_id"), folded(F.col(gender)).alias("g"), *[folded(F.col(c)).alias(c) for c in scalars], *[F.transform(c, folded).alias(c) for c in multis])
+    theirs = seeds.filter(folded(F.col(gender)).isNotNull()).select(F.col(id_col).alias("seed"), folded(F.col(gender)).alias("g"), *[folded(F.col(c)).alias(c) for c in scalars], *[F.transform(c, folded).alias(c) for c in multis])
+
+    def values(df: DataFrame, key: str) -> DataFrame:
+        single = F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).alias("x")) for c in scalars]) if scalars else F.array().cast("array<struct<a:string,x:string>>")
+        return df.select(key, "g", F.inline(F.concat(single, *map(_tagged, multis)))).filter("x is not null")
+
+    shared = values(theirs, "seed").join(values(mine, "doc_id"), ["g", "a", "x"]).filter("seed <> doc_id")
+    weight = F.lit(0.0)
+    for c, w in {**scalars, **multis}.items():
+        weight = F.when(F.col("a") == c, F.lit(w)).otherwise(weight)
+    got = shared.select("seed", "doc_id", "a", weight.alias("w")).distinct().groupBy("seed", "doc_id").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    most = F.lit(gender_weight)
+    for c in names:
+        most = most + F.when(F.col(c).isNotNull(), {**scalars, **multis}[c]).otherwise(0.0)
+    whole = theirs.select("seed", "g", most.alias("most"))
+    found = top_k(got.join(whole, "seed").select("seed", "doc_id", ((F.lit(gender_weight) + F.col("w")) / F.col("most")).alias("score")), k, by="seed").drop("rank")
+    # where a seed has fewer than k: the first of its gender that share nothing with it
+    few = whole.join(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed", "left").filter(F.coalesce("n", F.lit(0)) < k).select("seed", "g", "most")
+    first = mine.select("g", "doc_id").withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("doc_id"))).filter(F.col("i") <= 2 * k + 1).select("g", "doc_id")
+    rest = few.join(first, "g").filter("seed <> doc_id").join(found.select("seed", "doc_id"), ["seed", "doc_id"], "left_anti").select("seed", "doc_id", (F.lit(gender_weight) / F.col("most")).alias("score"))
+    return top_k(found.unionByName(rest).filter("score > 0"), k, by="seed")
+
+
+def _tagged(c: str) -> Column:
+    """The distinct values of a list column as (attribute, value); none for a null."""
+    none = F.array().cast("array<struct<a:string,x:string>>")
+    return F.coalesce(F.transform(F.array_distinct(c), lambda v: F.struct(F.lit(c).alias("a"), v.alias("x"))), none)
 
 
 def merge(candidates: DataFrame) -> DataFrame:

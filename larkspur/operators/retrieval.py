@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.vector import dot, finite, norm
+from larkspur.functions.vector import finite, norm
 from larkspur.operators.lexical import top_k
 
 RRF_K = 60
@@ -17,17 +17,57 @@ def unit(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("raw"), n.alias("n")).filter("n > 0").select("id", F.transform("raw", lambda x: x.cast("double") / F.col("n")).alias("v"))
 
 
+#: Query vectors that meet all vectors in one pass: the bound of what is collected and broadcast at a time.
+QUERY_BLOCK = 4096
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): exact k nearest by cosine.
+    """(query_id, doc_id, score, rank): exact k nearest by cosine of unit vectors (id long, v).
 
-    queries (id, v) is a stated set that meets all vectors (id, v): a nested-loop join whose small side is
-    the queries; each task keeps k rows of each query before the exchange (window group limit).
+    queries is a stated set that meets all vectors in blocks of about QUERY_BLOCK: a task multiplies a batch
+    of vectors with a block and keeps k rows of each query, so only those are shuffled.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    pairs = vectors.select(F.col("id").alias("doc_id"), "v").crossJoin(q)
-    if exclude_self:
-        pairs = pairs.filter("query_id <> doc_id")
-    return top_k(pairs.select("query_id", "doc_id", dot(F.col("qv"), F.col("v")).alias("score")), k)
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    spark = queries.sparkSession
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    kind = "query_id long, doc_id long, score double"
+    if not blocks:
+        return top_k(spark.createDataFrame([], kind), k)
+
+    def nearest(held) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, matrix = held.value
+            query, doc, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids = b.column(0).to_numpy()
+                cosines = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float) @ matrix
+                if exclude_self:
+                    cosines[ids[:, None] == asked[None, :]] = -2
+                # a margin above the rounding by which ties are told; ids decide among equals
+                floor = np.partition(cosines, len(ids) - k, 0)[len(ids) - k] - 1e-8 if len(ids) > k else np.full(len(asked), -2.0)
+                i, q = np.nonzero((cosines >= floor) & (cosines > -1.5))
+                query, doc, score = np.concatenate([query, q]), np.concatenate([doc, ids[i]]), np.concatenate([score, cosines[i, q]])
+                order = np.lexsort((doc, -np.round(score, 9), query))
+                query, doc, score = query[order], doc[order], score[order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                query, doc, score = query[place < k], doc[place < k], score[place < k]
+            yield pa.record_batch([pa.array(asked[query]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+        return vectors.select(F.col("id").cast("long"), "v").mapInArrow(run, kind)
+
+    found = None
+    for n in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select(F.col("id").cast("long").alias("id"), "v").collect()
+        if rows:
+            some = nearest(spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float).T)))
+            found = some if found is None else found.unionAll(some)
+    return top_k(found, k)
 
 
 def embedding_integrity(vectors: DataFrame, id_col: str, vec_col: str, size: int, tolerance: float = 1e-3) -> DataFrame:
@@ -87,9 +127,39 @@ def page(df: DataFrame, id_col: str, limit: int, offset: int, **equal) -> DataFr
 
 
 def capped_term_slice(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, per_term: int, always: DataFrame | None = None) -> DataFrame:
-    """Ids of documents that contain a term, the first per_term by id of each, and of those always in."""
+    """Ids of documents whose lower-cased text contains a term, the first per_term by id of each, and of those always in.
+
+    terms (term) is a stated query set.  A task runs one automaton of all terms over its texts and gives out
+    per_term ids of a term at most, so neither terms nor documents are paired.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from larkspur.session import ship
+
+    spark = docs.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(sorted(r["term"] for r in terms.filter("term <> ''").distinct().collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, t in enumerate(held.value):
+            automaton.add_word(t, k)
+        first: list[list[int]] = [[] for _ in held.value]
+        if held.value:
+            automaton.make_automaton()
+            for b in batches:
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for k in {k for _, k in automaton.iter(text or "")}:
+                        first[k] = sorted({*first[k], i})[:per_term]
+        found = [(k, i) for k, ids in enumerate(first) for i in ids]
+        yield pa.record_batch([pa.array([k for k, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["term", "doc_id"])
+
     from pyspark.sql.window import Window
 
-    hit = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("t")).join(F.broadcast(terms), F.expr("contains(t, term)"))
+    hit = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("t")).mapInArrow(run, "term long, doc_id long")
     first = hit.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).filter(F.col("n") <= per_term).select("doc_id")
     return (first.union(always.select("doc_id")) if always is not None else first).distinct()

@@ -18,9 +18,25 @@ def epoch_micros(ts: Column) -> Column:
 
 
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """min, mean, interpolated p50, p95, p99 and max."""
-    ps = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), ps.alias("ps"), F.max(value).alias("max")).select(*by, "n", "min", "mean", F.col("ps")[0].alias("p50"), F.col("ps")[1].alias("p95"), F.col("ps")[2].alias("p99"), "max")
+    """min, mean, interpolated p50, p95, p99 and max.
+
+    Equal values are counted first, all over the cluster; a group's task then walks its distinct values in
+    order, and keeps those beside the wanted places alone.
+    """
+    n = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    total = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]
+    placed = total.alias("t").join(n.withColumn("upto", upto).alias("v"), same, "left").select("t.*", "x", "c", "upto")
+    out = {}
+    for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        at = (F.col("n") - 1) * p
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            out[f"{name}_{side}"] = F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("c")), F.col("x")))
+    g = placed.groupBy(*by, "n", "min", "mean", "max").agg(*[c.alias(k) for k, c in out.items()])
+    part = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    ps = [(F.col(f"{name}_lo") * (1 - part(p)) + F.col(f"{name}_hi") * part(p)).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    return g.select(*by, "n", "min", "mean", *ps, "max")
 
 
 def throughput(df: DataFrame, by: list[str], ts: str, failed: Column) -> DataFrame:
@@ -53,9 +69,11 @@ def counters(df: DataFrame, name: str, labels: dict[str, Column]) -> DataFrame:
 
 
 def last_n(df: DataFrame, channel: str, order: list[str], n: int) -> DataFrame:
-    """The newest n of each channel with the number dropped: a bounded buffer."""
+    """The newest n of each channel with the number dropped: a bounded buffer.  Tasks keep n rows of a channel before the shuffle."""
     newest = Window.partitionBy(channel).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("i", F.row_number().over(newest)).withColumn("dropped", F.greatest(F.count(F.lit(1)).over(Window.partitionBy(channel)) - n, F.lit(0))).filter(F.col("i") <= n).drop("i")
+    kept = df.withColumn("i", F.row_number().over(newest)).filter(F.col("i") <= n).drop("i")
+    size = df.groupBy(F.col(channel).alias("_channel")).agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("dropped"))
+    return kept.join(size, F.col(channel).eqNullSafe(F.col("_channel"))).drop("_channel")
 
 
 def overlap(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -13,11 +13,12 @@ from larkspur.operators import lexical as L
 from larkspur.operators import retrieval as R
 from larkspur.operators import serving as V
 from larkspur.plans import search as S
+from larkspur.session import written
 from larkspur.sources.tables import table
 
 KS = [1, 5, 10]
-#: Of the SQL alone; the queries take the operators' own 5,000 resamples and 10,000 rounds.
-RESAMPLES, ROUNDS = 200, 300
+#: Of the SQL; the queries take the operators' own defaults, which are these.
+RESAMPLES, ROUNDS = 5_000, 10_000
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,13 +30,19 @@ def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variant, query_id, doc_id, score, rank) of three variants over the same queries."""
-    a, b = S.bm25_list(spark, sf_dir), S.vector_list(spark, sf_dir)
+    a, b = written(S.bm25_list(spark, sf_dir), "lexical-list"), written(S.vector_list(spark, sf_dir), "vector-list")
     f = L.top_k(R.fused(a, b).withColumn("score", F.col("rrf_score")), S.TOP_K)
     pick = lambda d, n: d.select(F.lit(n).alias("variant"), "query_id", "doc_id", "score", "rank")
     return pick(a, "bm25").union(pick(b, "vector")).union(pick(f, "rrf"))
 
 
 def _queries(spark, sf_dir):
+    """The queries of either list: every benchmark item, and every vector that is asked for."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return items.union(_vector_queries(spark, sf_dir)).distinct()
+
+
+def _vector_queries(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % S.EVERY == 0).select((F.col("vec_id") / S.EVERY).cast("long").alias("query_id"))
 
 
@@ -157,7 +164,7 @@ JUDGED = f"""jd AS (SELECT q.vec_id // {S.EVERY} AS query_id, d.vec_id AS doc_id
 LISTS = f"""{S.BM25}, {S.KNN}, a AS {S._top("bm", S.TOP_K)}, b AS {S._top("cosines", S.TOP_K)},
 h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
 f AS {S._top("h", S.TOP_K)}, vs AS (SELECT 'bm25' AS variant, query_id, doc_id, rank FROM a UNION ALL SELECT 'vector', query_id, doc_id, rank FROM b UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM f), {JUDGED}"""
-MET = f"""{LISTS}, qs AS (SELECT vec_id // {S.EVERY} AS query_id FROM embeddings WHERE vec_id % {S.EVERY} = 0), kk(k) AS (VALUES (1), (5), (10)), vv(variant) AS (VALUES ('bm25'), ('vector'), ('rrf')),
+MET = f"""{LISTS}, qs AS (SELECT vec_id // {S.EVERY} AS query_id FROM embeddings WHERE vec_id % {S.EVERY} = 0 UNION SELECT item_id FROM benchmark), kk(k) AS (VALUES (1), (5), (10)), vv(variant) AS (VALUES ('bm25'), ('vector'), ('rrf')),
 g AS (SELECT variant, query_id, rank, coalesce(grade, 0) AS grade FROM vs LEFT JOIN jd USING (query_id, doc_id)),
 got AS (SELECT variant, query_id, k, count(*) FILTER (rank <= k) AS n_returned, count(*) FILTER (rank <= k AND grade >= 2) AS hits, min(rank) FILTER (grade >= 2) AS first_rank, coalesce(sum(grade / log2(rank + 1)) FILTER (rank <= k), 0) AS dcg FROM qs CROSS JOIN kk CROSS JOIN vv LEFT JOIN g USING (variant, query_id) GROUP BY ALL),
 ji AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM jd), ideal AS (SELECT query_id, k, sum(grade / log2(i + 1)) AS idcg FROM ji, kk WHERE i <= k GROUP BY ALL), rel AS (SELECT query_id, count(*) FILTER (grade >= 2) AS n_relevant FROM jd GROUP BY 1),

@@ -67,7 +67,7 @@ def provenance_merge(spark, sf_dir):
 
 def _features(spark, sf_dir):
     p, s = products(spark, sf_dir), seeds(spark, sf_dir).select(F.col("id").alias("seed"), F.col("brand").alias("s_brand"), F.col("words").alias("s_words"), F.col("p_retailprice").alias("s_price"))
-    j = C.truncate(_merged(spark, sf_dir), POOL).join(p.withColumnRenamed("id", "doc_id"), "doc_id").join(F.broadcast(s), "seed")
+    j = C.truncate(_merged(spark, sf_dir), POOL).join(p.withColumnRenamed("id", "doc_id"), "doc_id").join(s, "seed")
     return j.withColumns({"same_brand": C.scalar_similarity(F.col("s_brand"), F.col("brand")), "word_share": C.jaccard(F.col("s_words"), F.col("words")), "price_delta": F.col("p_retailprice") - F.col("s_price")})
 
 
@@ -104,7 +104,7 @@ def reco_shortfall(spark, sf_dir):
 def jaccard_similarity(spark, sf_dir):
     p = products(spark, sf_dir)
     s = seeds(spark, sf_dir).select(F.col("id").alias("seed"), F.col("words").alias("s_words"), F.col("gender").alias("gender"))
-    return p.join(F.broadcast(s), "gender").select("seed", F.round(C.jaccard(F.col("s_words"), F.col("words")), 6).alias("jaccard")).groupBy("seed", "jaccard").agg(F.count(F.lit(1)).alias("n"))
+    return p.join(s, "gender").select("seed", F.round(C.jaccard(F.col("s_words"), F.col("words")), 6).alias("jaccard")).groupBy("seed", "jaccard").agg(F.count(F.lit(1)).alias("n"))
 
 
 # search ranking --------------------------------------------------------------------------------

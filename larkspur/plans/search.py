@@ -11,8 +11,7 @@ from larkspur.operators import retrieval as R
 from larkspur.sources.tables import table
 
 #: The stated query sets: every benchmark item, and every row whose id is divisible by EVERY; item i goes with vector EVERY * i.
-#: QUERY_TOKENS holds for the SQL alone, which still cuts the items; the queries take them whole.
-QUERY_TOKENS, TOP_K, EVERY = 4, 10, 20
+TOP_K, EVERY = 10, 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +125,7 @@ def post_filter_search(spark, sf_dir):
 
 
 def term_slice(spark, sf_dir):
-    terms = bench_queries(spark, sf_dir).select(F.explode(F.split("query_text", " ")).alias("term")).filter(F.length("term") >= 7).distinct()
+    terms = bench_queries(spark, sf_dir).select(F.explode(F.split("query_text", " ")).alias("term")).filter("term <> ''").distinct()
     return R.capped_term_slice(documents(spark, sf_dir), terms, "doc_id", "text", 5)
 
 
@@ -155,7 +154,7 @@ INDEX = f"""toks AS (SELECT doc_id, {TOK} AS t FROM documents),
 dl AS (SELECT doc_id, len(t) AS dl FROM toks), cs AS (SELECT count(*) AS n, coalesce(avg(dl), 0.0) AS a FROM dl),
 post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term)"""
-ASKED = f"asked AS (SELECT DISTINCT item_id AS query_id, unnest(({TOK})[1:{QUERY_TOKENS}]) AS term FROM benchmark)"
+ASKED = f"asked AS (SELECT DISTINCT item_id AS query_id, unnest({TOK}) AS term FROM benchmark)"
 BM25 = f"""{INDEX}, {ASKED},
 bm AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score
   FROM asked JOIN post USING (term) JOIN dfs USING (term) JOIN dl USING (doc_id), cs GROUP BY ALL)"""
@@ -188,7 +187,7 @@ ORACLE_SQL = {
     "embedding_integrity": "WITH v AS (SELECT vec_id, len(embedding) AS size, list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) AS s, len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) AS odd FROM embeddings) SELECT count(*) AS n_rows, count(*) - count(DISTINCT vec_id) AS repeated_ids, count(*) FILTER (size <> 64) AS wrong_size, count(*) FILTER (odd > 0) AS not_finite, count(*) FILTER (s = 0) AS zero, count(*) FILTER (abs(sqrt(s) - 1) > 1e-3) AS not_unit, count(*) * 256 AS bytes FROM v",
     "embedding_document_ids": "SELECT 'vector_only' AS side, count(*) AS n, min(vec_id) AS first_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'document_only', count(*), min(doc_id) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "post_filter_search": f"WITH {BM25}, pool AS {_top('bm', 50)}, kept AS (SELECT query_id, doc_id, score, lang FROM pool JOIN documents USING (doc_id) WHERE lang = 'en') SELECT query_id, doc_id, lang, round(score, 6) AS score, rank FROM {_top('kept', 5, 'query_id, doc_id, lang, score')}",
-    "term_slice": f"WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(({TOK})[1:{QUERY_TOKENS}]) AS term FROM benchmark) WHERE length(term) >= 7), hit AS (SELECT doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM documents, t WHERE contains(lower(text), term)) SELECT DISTINCT doc_id FROM hit WHERE n <= 5",
+    "term_slice": f"WITH t AS (SELECT DISTINCT term FROM (SELECT unnest({TOK}) AS term FROM benchmark)), hit AS (SELECT doc_id, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS n FROM documents, t WHERE contains(lower(text), term)) SELECT DISTINCT doc_id FROM hit WHERE n <= 5",
     "facet_filter_all": "WITH r(request_id, brand, words, low, high) AS (VALUES (1, 'Brand#1', NULL, NULL, NULL), (2, NULL, 'blue', NULL, 1200.0), (3, NULL, 'red,bolt', 950.0, 1500.0), (4, NULL, NULL, NULL, NULL)) SELECT request_id, coalesce(brand, words, CAST(low AS VARCHAR), CAST(high AS VARCHAR)) IS NOT NULL AS active, count(*) AS n_parts, min(p_partkey) AS first_part, round(avg(p_retailprice), 4) AS avg_price FROM part, r WHERE (brand IS NULL OR coalesce(brand = p_brand, false)) AND (words IS NULL OR list_has_all(string_split(p_name, ' '), string_split(words, ','))) AND (low IS NULL OR p_retailprice >= low) AND (high IS NULL OR p_retailprice <= high) GROUP BY ALL",
     "paged_lookup": "SELECT p_partkey, p_brand, p_type, p_size FROM part WHERE p_size = 7 ORDER BY p_partkey LIMIT 20 OFFSET 10",
     "catalog_counts": "SELECT count(*) AS n_rows, count(DISTINCT p_partkey) AS n_ids, count(*) FILTER (starts_with(p_brand, 'Brand#1')) AS n_prefixed, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) = 367172 THEN 'full' WHEN count(*) <= 32 AND count(*) = n_prefixed THEN 'fixture' ELSE 'partial' END AS mode FROM part",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -34,3 +35,21 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(package.rglob("*.py")):
             z.write(p, str(p.relative_to(package.parent)))
     spark.sparkContext.addPyFile(target)
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new place in the folder of spark.checkpoint.dir; in a folder of this machine only where that is unset and the master is local."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/larkspur-checkpoints"
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, read again: what is used several times is worked out once, also after an executor is lost."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
