@@ -55,6 +55,28 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", tex
     return candidates.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def lookup(postings_df: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the asked terms (term), stripped and case folded; unknown ones have none, blank ones raise."""
+    folded = F.lower(F.trim("term"))
+    asked = terms.select(F.when(folded == "", F.raise_error(F.lit("blank term")).cast("string")).otherwise(folded).alias("term")).distinct()
+    return postings_df.join(asked, "term", "left_semi")
+
+
+def index_scores(queries: DataFrame, postings_df: DataFrame, stats: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score) of all matches, from the tables of a stored index: no text is read again.
+
+    The asked terms are joined with the postings before anything else; document frequencies come from the
+    rows that are left, lengths by document.
+    """
+    asked = query_terms(queries)
+    hit = lookup(postings_df, asked.select("term"))
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    length = F.when(F.col("avgdl") > 0, 1 - b + b * F.col("dl") / F.col("avgdl")).otherwise(1.0)
+    weighed = hit.join(idf, "term").join(stats, "doc_id").select("term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length)).alias("w"))
+    return asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query_id", item: str = "doc_id", score: str = "score", digits: int = 9) -> DataFrame:
     """The k best of each group with their rank: score downwards (rounded, so that summation order can't decide), id upwards."""
     w = Window.partitionBy(by).orderBy(F.round(score, digits).desc(), F.col(item))

@@ -71,11 +71,29 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def publish_index(postings: DataFrame, doc_stats: DataFrame, corpus_stats: DataFrame, path: str) -> None:
-    """Lexical index as three tables, postings clustered by term."""
-    postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+INDEX_TABLES = ("postings", "doc_stats", "corpus_stats")
+
+
+def publish_index(postings: DataFrame, doc_stats: DataFrame, corpus_stats: DataFrame, path: str) -> dict:
+    """Lexical index as three published tables, postings clustered by term, and a manifest of the corpus; gives the manifest."""
+    spark = postings.sparkSession
+    parts = (postings.repartition("term").sortWithinPartitions("term", "doc_id"), doc_stats, corpus_stats)
+    manifest = {name: publish(df, f"{path}/{name}") for name, df in zip(INDEX_TABLES, parts, strict=True)}
+    manifest["corpus"] = spark.read.parquet(f"{path}/corpus_stats").collect()[0].asDict()
+    fs, place = _fs(spark, f"{path}/manifest.json")
+    out = fs.create(place, True)
+    out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+    out.close()
+    return manifest
+
+
+def index_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings, doc_stats and corpus_stats of a published index; raises where its manifest is missing."""
+    fs, place = _fs(spark, f"{path}/manifest.json")
+    if not fs.exists(place):
+        raise FileNotFoundError(f"no index at {path}")
+    postings, stats, corpus = (spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES)
+    return postings, stats, corpus
 
 
 def json_lines(df: DataFrame, path: str) -> None:

@@ -25,15 +25,16 @@ def test_text_expressions(spark):
     assert one(spark, " | ", multi_values) is None
     assert one(spark, " \t\n", missing) is True
     assert one(spark, "Café 3X", tokens) == ["caf", "3x"]
-    assert one(spark, "see postgresql://u:p@h/db and Bearer abc.def at /etc/x/y.txt", redacted) == "see [redacted] and [redacted] at [redacted]"
+    assert one(spark, "see postgresql://u:p@h/db and Bearer abc.def at /etc/x/y.txt", redacted) == "see [redacted] and Bearer [redacted] at [redacted]"
 
 
-def test_redacted_messages_of_late_secrets(spark, tmp_path):
+def test_redacted_messages_returns_every_turn(spark, tmp_path):
     from larkspur.plans import catalog
 
-    rows = [(1, "x " * 200 + "at /etc/x/y.txt"), (2, "at /etc/x/y.txt"), (3, "x " * 200), (4, None)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert sorted(r.doc_id for r in catalog.redacted_messages(spark, str(tmp_path)).collect()) == [1, 2]
+    rows = [(k, 0, "x " * 200 if k % 2 else None) for k in range(len(catalog.PLANTED))]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.n_chars for r in catalog.redacted_messages(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[0] == len("see [redacted] now") and got[7] == len("An unexpected error occurred") and got[1] == 240
 
 
 def test_bm25_scores_of_two_documents(spark):
@@ -159,3 +160,79 @@ def test_streaming_counters_resume(spark, tmp_path):
     out = []
     E.run_available(E.window_limits(E.read_events(spark, src, e.schema, 3), "user_id", 1, window="1 day", late="3650 days"), f"{tmp_path}/cp2", lambda b, i: out.extend(b.collect()), "complete")
     assert sum(r.n for r in out) == e.count() and all(r.allowed + r.refused == r.n for r in out)
+
+
+def test_single_valued_attributes_prefer_the_value_of_the_longest_expression(spark):
+    cases = {
+        "oversized regular fit tee": ("fit", "oversized_fit"), "v-neck hooded top": ("neckline", "v_neck"), "hooded v neck": ("neckline", "v_neck"),
+        "half sleeve and full sleeves": ("sleeve", "full_sleeve"), "short sleeves 3/4 sleeve": ("sleeve", "short_sleeve"), "sweatshirt shirt": ("product_type", "sweatshirt"),
+        "co-ord t-shirt": ("product_type", "t_shirt"), "jeans dress": ("product_type", "dress"), "henley hooded": ("neckline", "hooded"), "shirtless": ("product_type", None),
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "d string")
+    got = {r.d: r for r in attributes.extract(df, "d").collect()}
+    assert {t: got[t][a] for t, (a, _) in cases.items()} == {t: v for t, (_, v) in cases.items()}
+
+
+def test_redaction_of_planted_secrets(spark):
+    cases = {
+        "at postgres://user:pw@host/db": "at [redacted]", "POSTGRESQL://x y": "[redacted] y", "mongodb://a": "[redacted]", "use bearer abc": "use Bearer [redacted]",
+        "open /tmp failed": "open [redacted] failed", "C:\\\\dir\\\\f x": "[redacted] x", '"/etc/p" q': '"[redacted]" q', "Traceback: x": "An unexpected error occurred",
+        "no Stack Trace": "An unexpected error occurred", "  plain ": "plain", "x" * 300: "x" * 237 + "...", "y" * 240: "y" * 240,
+    }
+    got = {r.m: r.r for r in spark.createDataFrame([(t,) for t in cases], "m string").select("m", redacted(F.col("m")).alias("r")).collect()}
+    assert got == cases
+
+
+@pytest.fixture(scope="module")
+def engine(spark, tmp_path_factory):
+    from larkspur.api import Engine
+    from larkspur.plans import products, recommendation, search
+
+    sf = "/root/testdata/sf0.001"
+    texts = recommendation.products(spark, sf).select("id", F.concat_ws(" ", "p_name", "brand").alias("text"))
+    catalog = products.goods(spark, sf).join(texts, "id").cache()
+    return Engine.build(catalog, str(tmp_path_factory.mktemp("index") / "lexical"), vectors=search.vectors(spark, sf).join(catalog.select("id"), "id", "left_semi"))
+
+
+def test_search_call(engine):
+    got = engine.search("red ring", 5).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and got
+    best = engine.product(got[0].doc_id).collect()[0]
+    assert "red" in best.text and "ring" in best.text
+    only = engine.search("red ring", 5, {"color": ["red"], "max_discount_price": 900}).collect()
+    kept = {r.id for r in engine.catalog.filter("array_contains(color, 'red') and discount_price <= 900").collect()}
+    assert only and {r.doc_id for r in only} <= kept
+    engine.encode = lambda text: engine.vectors.filter("id = 3").collect()[0].v
+    assert engine.search("red ring", 50).filter("doc_id = 3").count() == 1
+    engine.encode = None
+    for bad in (lambda: engine.search(" "), lambda: engine.search("x", 0), lambda: engine.search("x", 1, {"size": 1}), lambda: engine.search("x", 1, {"category_gender": "kids"}), lambda: engine.search("x", 1, {"min_discount_price": 2, "max_discount_price": 1})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_recommend_call(engine):
+    got = engine.recommend(20, 8).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and 20 not in {r.doc_id for r in got} and got
+    rows = {r.id: r for r in engine.catalog.collect()}
+    brands = [rows[r.doc_id].brand for r in got if rows[r.doc_id].brand]
+    assert max(map(brands.count, brands)) <= 2
+    assert all(rows[r.doc_id].category_gender == "Men" for r in engine.recommend(20, 5, {"category_gender": "Men"}).collect())
+
+
+def test_missing_index_and_missing_metadata_raise(spark, engine, tmp_path):
+    from larkspur.operators import constraints
+    from larkspur.plans import products
+    from larkspur.sources.sinks import index_tables
+
+    with pytest.raises(FileNotFoundError):
+        index_tables(spark, str(tmp_path))
+    asked = products.requests(spark)
+    for query, raises in ((3, False), (0, True)):
+        lost = spark.createDataFrame([(query, 10**9)], "query_id long, doc_id long")
+        if raises:
+            with pytest.raises(Exception, match="no metadata"):
+                constraints.filter_candidates(lost, asked, engine.catalog).collect()
+        else:
+            assert constraints.filter_candidates(lost, asked, engine.catalog).count() == 1
+    with pytest.raises(Exception, match="blank term"):
+        lexical.lookup(index_tables(spark, engine.index)[0], spark.createDataFrame([(" ",)], "term string")).collect()
