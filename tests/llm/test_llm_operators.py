@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -550,7 +551,7 @@ def test_pipeline_stages_on_edges(spark, edge, nothing):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, SF)
         assert after.columns == docs.columns and stage(spark, nothing, SF).count() == 0, name
-        assert after.exceptAll(docs).count() == 0, name
+        assert not Counter(map(tuple, after.collect())) - Counter(map(tuple, docs.collect())), name
     unique = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert [r.doc_id for r in unique if r.text == mega] == [51]
     assert sorted(r.text for r in unique if r.doc_id == 3) == sorted(r.text for r in docs.filter("doc_id = 3").select("text").distinct().collect())
