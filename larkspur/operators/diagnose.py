@@ -102,5 +102,7 @@ def pool_ranks(pool: DataFrame, group: str = "query_id", item: str = "doc_id", o
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """(n_a, n_b, n_differing): rows of two runs and how many one has and the other has not; 0 if they are the same."""
-    extra = a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n_differing"))
-    return a.agg(F.count(F.lit(1)).alias("n_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_b"))).crossJoin(extra)
+    both = a.withColumn("_a", F.lit(1)).withColumn("_b", F.lit(0)).unionByName(b.withColumn("_a", F.lit(0)).withColumn("_b", F.lit(1)))
+    counted = both.groupBy(*a.columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return counted.agg(n(F.col("_a")).alias("n_a"), n(F.col("_b")).alias("n_b"), n(F.abs(F.col("_a") - F.col("_b"))).alias("n_differing"))
