@@ -22,3 +22,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def finite(a: Column) -> Column:
     return ~F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
+def similarity(distance: Column) -> Column:
+    """Cosine similarity of a cosine distance."""
+    return 1 - distance
+
+
+def vector_problem(a: Column, size: int) -> Column:
+    """What is wrong with a vector: missing, another size, not finite, zero; null if nothing is."""
+    return F.when(a.isNull(), "missing").when(F.size(a) != size, "size").when(~F.coalesce(finite(a), F.lit(False)), "not_finite").when(norm(a) == 0, "zero")

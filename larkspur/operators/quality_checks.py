@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,5 +95,26 @@ def coverage(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[F.round(F.coalesce(F.avg((~missing(F.col(c).cast("string"))).cast("double")), F.lit(0.0)), 6).alias(c) for c in cols])
 
 
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
+
+def representation_issues(df: DataFrame, id_col: str, lists: list[str], scalars: list[str], source: dict[str, str]) -> DataFrame:
+    """(id, category, issue): seven categories of what may be wrong with product representations.
+
+    df has scalars, lists (arrays), description, discount_price, original_price, price_anomaly, color_raw and
+    color_is_coded; source names, for some scalars, the column of the raw value that they must keep.
+    """
+    repeated = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    blank = lambda c: F.exists(c, lambda x: missing(x))
+    rules = [("structural", "missing_id", missing(F.col(id_col).cast("string")))]
+    rules += [("structural", f"blank_{c}", F.col(c).isNotNull() & missing(F.col(c))) for c in scalars]
+    rules += [("consistency", f"repeated_{c}", repeated(F.col(c))) for c in lists] + [("consistency", f"blank_in_{c}", blank(F.col(c))) for c in lists]
+    none = F.lit(True)
+    for c in (*scalars, *lists):
+        none = none & F.col(c).isNull()
+    rules += [("degeneracy", "no_attributes", none), ("degeneracy", "empty_list", F.lit(False) if not lists else F.exists(F.array(*[F.size(c) == 0 for c in lists]), lambda x: x))]
+    rules += [("preservation", f"changed_{c}", ~F.col(c).eqNullSafe(F.nullif(F.trim(raw), F.lit("")))) for c, raw in source.items()]
+    rules += [("description", "missing_description", missing(F.col("description"))), ("description", "short_description", F.length(F.trim("description")) < 3)]
+    low, high = F.col("discount_price"), F.col("original_price")
+    rules += [("price", "missing_price", low.isNull() | high.isNull()), ("price", "negative_price", (low < 0) | (high < 0)), ("price", "unmarked_anomaly", (low > high) & ~F.coalesce("price_anomaly", F.lit(False)))]
+    rules += [("color", "coded_with_names", F.col("color_is_coded") & F.col("color").isNotNull()), ("color", "raw_without_color", ~F.col("color_is_coded") & ~missing(F.col("color_raw")) & F.col("color").isNull())]
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("category"), F.lit(n).alias("issue"))) for k, n, c in rules]))
+    return df.select(F.col(id_col).alias("id"), F.inline(found))

@@ -87,6 +87,11 @@ def fused(lexical: DataFrame, semantic: DataFrame, k: int = RRF_K) -> DataFrame:
     return j.withColumns({"rrf_score": part("bm25_rank") + part("vector_rank"), "union_score": F.when(both, 0.0).otherwise(F.coalesce("bm25_score", "vector_score")), "in_both": both})
 
 
+def repeated_items(lists: DataFrame, group: str = "query_id", item: str = "doc_id") -> DataFrame:
+    """(group, item, n) of items that stand in a ranked list more than once: must be empty before lists are fused."""
+    return lists.groupBy(group, item).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
 def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, doc_id, score, n_lists) of any number of ranked lists stacked as (query_id, doc_id, rank)."""
     return lists.groupBy("query_id", "doc_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"), F.count(F.lit(1)).alias("n_lists"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.vector import vector_problem
 from larkspur.operators import constraints as C
 from larkspur.operators import diagnose as D
 from larkspur.operators import lexical as L
+from larkspur.operators import quality_checks as Q
+from larkspur.operators import retrieval as R1
 from larkspur.operators import similarity as Y
 from larkspur.operators.ranking import weighted
 from larkspur.plans import evaluation as E
@@ -179,6 +182,27 @@ def catalog_validation(spark, sf_dir):
     return g.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.count("id").alias("n_with_id"), n(lacks).alias("n_lacking"), *[n(F.col(c).isNull()).alias(f"no_{c}") for c in C.LISTS])
 
 
+def representation_issues(spark, sf_dir):
+    """Goods with faults put in: blank brands, repeated materials, short texts, unmarked anomalies, codes beside colours."""
+    i = F.col("id")
+    g = goods(spark, sf_dir).withColumns({
+        "raw_brand": F.concat(F.lit(" "), "brand"), "brand": F.when(i % 17 == 0, " ").otherwise(F.col("brand")), "material": F.when(i % 19 == 0, F.array(F.lit("mat1"), F.lit("mat1"))).otherwise(F.col("material")),
+        "description": F.when(i % 23 == 0, "  ").when(i % 29 == 0, "ab").otherwise("some text"), "original_price": F.when(i % 31 == 0, F.col("discount_price") - 1).otherwise(F.col("original_price")), "price_anomaly": i % 62 == 0,
+        "color_raw": F.lit("red"), "color_is_coded": i % 37 == 0, "color": F.when(i % 41 != 0, F.col("color")), "sleeve": F.when(i % 43 == 0, F.array().cast("array<string>")).otherwise(F.col("sleeve")),
+    })
+    rows = Q.representation_issues(g, "id", ["material", "sleeve", "color"], ["brand", "product_type"], {"brand": "raw_brand"})
+    return rows.groupBy("category", "issue").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+def list_checks(spark, sf_dir):
+    """Repeated items of a ranked list with one list put in twice for every fifth query, and vectors with what is wrong with them."""
+    v = S.vector_list(spark, sf_dir).select("query_id", "doc_id")
+    twice = R1.repeated_items(v.unionAll(v.filter("query_id % 5 = 0")))
+    e = table(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 3)).when(F.col("vec_id") % 11 == 0, F.array_repeat(F.lit(0.0), 64)).when(F.col("vec_id") % 13 != 0, F.col("embedding")).alias("x"))
+    wrong = e.select(vector_problem(F.col("x"), 64).alias("name")).filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return twice.groupBy().agg(F.lit("repeated").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(wrong)
+
+
 def bm25_stored_index(spark, sf_dir):
     """The list of bm25_topk from a published index: postings of the asked terms alone are read and shuffled."""
     path = fresh_path(spark, "lexical-index")
@@ -239,7 +263,7 @@ RRF = f"{S.HYBRID}, rrf AS {S._top('h', S.TOP_K)}"
 _WITHIN = ", ".join(f"CAST(count(*) FILTER (coalesce(r.rank <= {min(k, S.TOP_K)}, false)) AS BIGINT) AS within_{k}" for k in D.DEPTHS)
 _QN = "conv_id % 5"
 
-QUERIES = {f.__name__: f for f in (constraint_filter, matching_features, query_representation, reco_feature_matrix, reco_weighted_rank, reco_violations, seed_failures, ranking_tags, rank_deltas, depth_flags, fixed_pool, first_seen_events, tie_order, repeat_audit, unknown_label_ids, catalog_validation, bm25_stored_index, postings_lookup)}
+QUERIES = {f.__name__: f for f in (constraint_filter, matching_features, query_representation, reco_feature_matrix, reco_weighted_rank, reco_violations, seed_failures, ranking_tags, rank_deltas, depth_flags, fixed_pool, first_seen_events, tie_order, repeat_audit, unknown_label_ids, catalog_validation, representation_issues, list_checks, bm25_stored_index, postings_lookup)}
 ORACLE_SQL = {
     "constraint_filter": f"WITH {GOODS} SELECT id % 9 AS query_id, id AS doc_id FROM goods WHERE {_ALL}",
     "matching_features": f"WITH {GOODS}, m AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _FLAGS.items())} FROM goods) SELECT id % 9 AS query_id, id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _FLAGS)}, CAST(CASE WHEN id % 9 = 3 OR (id % 10 = 0 AND id % 9 IN (2, 4, 7)) THEN NULL ELSE {_ALL} END AS BIGINT) AS constraint_match, {_SUM} AS matched_attribute_count, round(({_SUM}) / nullif({_SPECIFIED}, 0), 6) AS attribute_overlap FROM m",
@@ -260,6 +284,13 @@ ORACLE_SQL = {
     "repeat_audit": f"WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % {S.EVERY} = 0) AS q FROM embeddings) SELECT q * least({S.TOP_K}, n) AS n_a, q * least({S.TOP_K}, n) AS n_b, CAST(0 AS BIGINT) AS n_differing FROM n",
     "unknown_label_ids": "SELECT DISTINCT vec_id AS doc_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
     "catalog_validation": f"WITH {GOODS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(id) AS n_with_id, count(*) FILTER (id IS NULL OR brand IS NULL OR category_gender IS NULL) AS n_lacking, " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS no_{c}" for c in C.LISTS) + " FROM goods",
+    "representation_issues": f"""WITH {GOODS}, i AS (SELECT id, 'structural' AS category, 'blank_brand' AS issue FROM goods WHERE id % 17 = 0
+      UNION ALL SELECT id, 'consistency', 'repeated_material' FROM goods WHERE id % 19 = 0 UNION ALL SELECT id, 'degeneracy', 'empty_list' FROM goods WHERE id % 43 = 0
+      UNION ALL SELECT id, 'preservation', 'changed_brand' FROM goods WHERE id % 17 = 0 UNION ALL SELECT id, 'description', 'missing_description' FROM goods WHERE id % 23 = 0
+      UNION ALL SELECT id, 'description', 'short_description' FROM goods WHERE id % 23 = 0 OR id % 29 = 0 UNION ALL SELECT id, 'price', 'unmarked_anomaly' FROM goods WHERE (id % 31 = 0) AND id % 62 <> 0
+      UNION ALL SELECT id, 'color', 'coded_with_names' FROM goods WHERE id % 37 = 0 AND id % 41 <> 0 UNION ALL SELECT id, 'color', 'raw_without_color' FROM goods WHERE id % 37 <> 0 AND id % 41 = 0)
+      SELECT category, issue, count(*) AS n, min(id) AS first_id FROM i GROUP BY ALL""",
+    "list_checks": f"WITH {S.KNN}, t AS {S._top('cosines', S.TOP_K)} SELECT 'repeated' AS name, count(*) AS n FROM t WHERE query_id % 5 = 0 UNION ALL SELECT CASE WHEN vec_id % 7 = 0 THEN 'size' WHEN vec_id % 11 = 0 THEN 'zero' ELSE 'missing' END, count(*) FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0 GROUP BY 1",
     "bm25_stored_index": S.ORACLE_SQL["bm25_topk"],
     "postings_lookup": f"WITH {S.INDEX}, t AS (SELECT DISTINCT ({S.TOK})[1] AS term FROM benchmark WHERE item_id % 5 = 0) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, min(doc_id) AS first_doc FROM post JOIN t USING (term) GROUP BY term",
 }

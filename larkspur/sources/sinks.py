@@ -60,7 +60,10 @@ def upsert_counts(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def update_vectors(catalog: DataFrame, vectors: DataFrame, key: str, column: str = "embedding") -> DataFrame:
-    """Catalog with the vector column taken from vectors where they have the key."""
+    """Catalog with the vector column taken from vectors where they have the key; keys that the catalog lacks raise."""
+    lost = vectors.select(key).join(catalog.select(key), key, "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} vectors of unknown ids")
     v = vectors.select(key, F.col(column).alias("_v"))
     kept = F.coalesce("_v", column) if column in catalog.columns else F.col("_v")
     return catalog.join(v, key, "left").withColumn(column, kept).drop("_v")

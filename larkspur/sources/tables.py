@@ -57,11 +57,18 @@ def jsonl_by_key(spark: SparkSession, path: str, key: str = "query_id") -> DataF
     return keyed.groupBy(key).agg(F.max_by("value", "at").alias("value"))
 
 
+def _checked(rows: DataFrame, bad: Column, what: str) -> DataFrame:
+    """The rows, none of which may be bad."""
+    return rows.filter(F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit(what)).cast("boolean")).otherwise(F.lit(True)))
+
+
 def benchmark_queries(df: DataFrame) -> DataFrame:
-    """(query_id, query_text, query_category, product_id, grade) of a graded search benchmark."""
+    """(query_id, query_text, query_category, product_id, grade) of a graded search benchmark; blank texts and ids and grades beyond 0 to 3 raise."""
     q = df.select(F.explode("queries").alias("q"))
     j = q.select("q.query_id", "q.query_text", "q.query_category", F.explode("q.relevance_judgments").alias("j"))
-    return j.select("query_id", "query_text", "query_category", "j.product_id", "j.grade")
+    rows = j.select("query_id", "query_text", "query_category", "j.product_id", "j.grade")
+    blank = clean(F.col("query_text")).isNull() | clean(F.col("query_id").cast("string")).isNull() | clean(F.col("product_id").cast("string")).isNull()
+    return _checked(rows, blank | ~F.col("grade").between(0, 3), "blank text or id, or a grade beyond 0 to 3")
 
 
 def binary_to_graded(judged: DataFrame) -> DataFrame:
@@ -70,8 +77,10 @@ def binary_to_graded(judged: DataFrame) -> DataFrame:
 
 
 def recommendation_cases(df: DataFrame) -> DataFrame:
+    """(seed_product_id, seed_category, product_id, grade) of a recommendation benchmark; a seed judged for itself and grades beyond 0 to 3 raise."""
     c = df.select(F.explode("cases").alias("c"))
-    return c.select("c.seed_product_id", "c.seed_category", F.explode("c.relevance_judgments").alias("j")).select("seed_product_id", "seed_category", "j.product_id", "j.grade")
+    rows = c.select("c.seed_product_id", "c.seed_category", F.explode("c.relevance_judgments").alias("j")).select("seed_product_id", "seed_category", "j.product_id", "j.grade")
+    return _checked(rows, (F.col("product_id") == F.col("seed_product_id")) | ~F.col("grade").between(0, 3), "a seed judged for itself, or a grade beyond 0 to 3")
 
 
 def point_lookup(df: DataFrame, id_col: str, value) -> DataFrame:
@@ -79,8 +88,9 @@ def point_lookup(df: DataFrame, id_col: str, value) -> DataFrame:
 
 
 def batch_lookup(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows of the asked ids in the order asked for: ids has (pos, id)."""
-    return ids.join(df, ids.id == df[id_col]).drop("id").orderBy("pos")
+    """Rows of the asked ids in the order asked for: ids has (pos, id); an id that df lacks raises."""
+    j = ids.withColumnRenamed("id", "_id").join(df.withColumn("_known", F.lit(True)), F.col("_id") == F.col(id_col), "left")
+    return _checked(j, F.col("_known").isNull(), "an asked id is missing").drop("_id", "_known").orderBy("pos")
 
 
 def catalog_mode(rows: Column, prefixed: Column, full: int, fixture: int = 32) -> Column:

@@ -236,3 +236,40 @@ def test_missing_index_and_missing_metadata_raise(spark, engine, tmp_path):
             assert constraints.filter_candidates(lost, asked, engine.catalog).count() == 1
     with pytest.raises(Exception, match="blank term"):
         lexical.lookup(index_tables(spark, engine.index)[0], spark.createDataFrame([(" ",)], "term string")).collect()
+
+
+def test_artifacts_and_lookups(spark, tmp_path):
+    import json
+
+    from larkspur.functions.vector import similarity
+    from larkspur.operators import quality_checks
+
+    judged = lambda grade: {"queries": [{"query_id": "q1", "query_text": "red top", "query_category": "c", "relevance_judgments": [{"product_id": "P1", "grade": grade}]}]}
+    for name, value in (("good", judged(3)), ("bad", judged(7)), ("cases", {"cases": [{"seed_product_id": "P1", "seed_category": "c", "relevance_judgments": [{"product_id": "P1", "grade": 1}]}]})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    assert [tuple(r) for r in tables.benchmark_queries(tables.json_artifact(spark, f"{tmp_path}/good.json")).collect()] == [("q1", "red top", "c", "P1", 3)]
+    with pytest.raises(Exception, match="grade beyond"):
+        tables.benchmark_queries(tables.json_artifact(spark, f"{tmp_path}/bad.json")).collect()
+    with pytest.raises(Exception, match="judged for itself"):
+        tables.recommendation_cases(tables.json_artifact(spark, f"{tmp_path}/cases.json")).collect()
+    binary = spark.createDataFrame([("q", ["a", "b"])], "query_id string, relevant_product_ids array<string>")
+    assert sorted(tuple(r) for r in tables.binary_to_graded(binary).collect()) == [("q", "a", 2), ("q", "b", 2)]
+
+    demo = tables.demo_catalog(spark, 4)
+    assert tables.point_lookup(demo, "product_id", "DEMO-2").count() == 1
+    asked = spark.createDataFrame([(1, "DEMO-3"), (2, "DEMO-1")], "pos int, id string")
+    assert [r.product_id for r in tables.batch_lookup(demo, "product_id", asked).collect()] == ["DEMO-3", "DEMO-1"]
+    with pytest.raises(Exception, match="is missing"):
+        tables.batch_lookup(demo, "product_id", asked.union(spark.createDataFrame([(3, "x")], asked.schema))).collect()
+    new = spark.createDataFrame([("DEMO-1", [9.0])], "product_id string, embedding array<float>")
+    assert {r.product_id: r.embedding for r in sinks.update_vectors(demo, new, "product_id").collect()}["DEMO-1"] == [9.0]
+    with pytest.raises(ValueError, match="unknown ids"):
+        sinks.update_vectors(demo, spark.createDataFrame([("x", [1.0])], new.schema), "product_id")
+    rows = tables.id_text_scan(spark.createDataFrame([(" a ", "t"), ("b", None)], "i string, t string"), "i", "t")
+    assert sorted(r.id for r in tables.assert_ids(rows).collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        tables.assert_ids(rows.union(rows))
+    sinks.json_lines(demo.select("product_id"), f"{tmp_path}/lines")
+    assert spark.read.json(f"{tmp_path}/lines").count() == 3
+    assert quality_checks.schema_findings(["a"], ["a", "b"]) == [("missing_columns", "FAIL")] and quality_checks.schema_findings(["a", "b"], ["a", "b"]) == [("unexpected_columns", "PASS"), ("column_count", "PASS")]
+    assert one(spark, 0.25, similarity, "double") == 0.75
