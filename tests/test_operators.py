@@ -273,3 +273,19 @@ def test_artifacts_and_lookups(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/lines").count() == 3
     assert quality_checks.schema_findings(["a"], ["a", "b"]) == [("missing_columns", "FAIL")] and quality_checks.schema_findings(["a", "b"], ["a", "b"]) == [("unexpected_columns", "PASS"), ("column_count", "PASS")]
     assert one(spark, 0.25, similarity, "double") == 0.75
+
+
+def test_windows_are_let_go_behind_the_watermark(spark, tmp_path):
+    from larkspur.streaming import events
+
+    schema = "ts timestamp, event_type string, value double"
+    for n, times in enumerate((["00:00:10", "00:00:20"], ["01:00:00"], ["00:00:30", "02:00:00"], ["03:00:00"])):  # 00:00:30 comes after its window was let go
+        rows = spark.createDataFrame([(f"2024-01-01 {t}", "view", 1.0) for t in times], "ts string, event_type string, value double")
+        rows.select(F.to_timestamp("ts").alias("ts"), "event_type", "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got: list = []
+        stream = events.window_counters(events.read_events(spark, f"{tmp_path}/in", schema))
+        events.run_available(stream, f"{tmp_path}/checkpoint", lambda df, _, got=got: got.extend((str(r.start), r.n) for r in df.collect()))
+        if n == 1:
+            assert got == [("2024-01-01 00:00:00", 2)]
+        if n == 3:
+            assert got == [("2024-01-01 02:00:00", 1)]
