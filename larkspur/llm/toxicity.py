@@ -34,6 +34,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,7 +274,7 @@ def _vocabulary(sample: DataFrame) -> pa.Table:
             yield pa.record_batch([names, pa.array(rows, pa.int64())], names=["term", "n"])
 
     sums = sample.select("t").mapInArrow(tally, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("n") >= LEAST_ROWS).orderBy("term").toArrow()
+    return sums.filter(F.col("n") >= LEAST_ROWS).toArrow().sort_by("term")
 
 
 def _examples(sample: DataFrame, vocabulary: pa.Array) -> pa.Table:
@@ -283,10 +284,12 @@ def _examples(sample: DataFrame, vocabulary: pa.Array) -> pa.Table:
         for b in batches:
             found = _counts(as_text(b.column(0)), vocabulary)
             cols = [pa.array([f[j].astype(np.int32) for f in found], pa.list_(pa.int32())) for j in (0, 1)]
-            yield pa.record_batch([b.column(1), b.column(2), b.column(3), *cols], names=["k", "y", "w", "t", "c"])
+            named = pa.array([xxhash.xxh3_64_intdigest(t.tobytes() + c.tobytes()) >> 1 for t, c in found], pa.int64())
+            yield pa.record_batch([b.column(1), b.column(2), b.column(3), named, *cols], names=["k", "y", "w", "named", "t", "c"])
 
-    rows = sample.select("t", "k", "y", "w").mapInArrow(run, "k long, y int, w double, t array<int>, c array<int>")
-    return rows.orderBy("k", "y", "t", "c", "w").toArrow()
+    rows = sample.select("t", "k", "y", "w").mapInArrow(run, "k long, y int, w double, named long, t array<int>, c array<int>")
+    # put in order here: a sort by Spark would sample whole lists of terms into the driver
+    return rows.toArrow().sort_by([(c, "ascending") for c in ("k", "y", "named", "w")])
 
 
 def _held_out_votes(sample: DataFrame, model: ToxicityModel, step: int) -> pa.Table:
@@ -302,7 +305,9 @@ def _held_out_votes(sample: DataFrame, model: ToxicityModel, step: int) -> pa.Ta
             told = [(i, m.votes(f)) for i, f in zip(some, found, strict=True) if len(f[0])]
             yield pa.record_batch([pa.array([i for i, _ in told], pa.int64()), pa.array([v for _, v in told], pa.float64())], names=["i", "vote"])
 
-    return spark.range(0, len(model.labels), step).mapInArrow(run, "i long, vote double").toArrow()
+    votes = spark.range(0, len(model.labels), step).mapInArrow(run, "i long, vote double").toArrow()
+    held.destroy()
+    return votes
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", id_col: str = "doc_id", rows: int | None = FIT_ROWS, weight_col: str | None = None) -> ToxicityModel:
