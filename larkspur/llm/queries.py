@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontamination, langid, licenses, media, neardup, packing, quality, token_files, toxicity, wordpieces
+from larkspur.llm import decontamination, dominance, hard_negatives, langid, licenses, media, neardup, packing, quality, ranked_search, token_files, toxicity, wordpieces
 from larkspur.llm.common import table
 from larkspur.llm.training import bounded_sample, fold
 
@@ -84,6 +84,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominance.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -95,8 +108,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_files": op10_token_files,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": licenses.oracle(),
+    "op12_ranked_search": ranked_search.oracle(),
+    "op13_hard_negatives": hard_negatives.oracle(),
 }
