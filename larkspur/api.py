@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.operators import block_index as B
 from larkspur.operators import constraints as C
 from larkspur.operators import lexical as L
 from larkspur.operators import recommend as M
@@ -42,6 +43,7 @@ class Engine:
         """Publishes the lexical index of the catalog's texts at path."""
         rows = L.token_rows(catalog, "id", "text")
         publish_index(L.postings(rows), L.doc_stats(rows), L.corpus_stats(L.doc_stats(rows)), path)
+        B.publish_blocks(B.build(catalog, "id", "text"), f"{path}/ranked")
         return cls(catalog, path, **more)
 
     def _request(self, filters: dict | None) -> DataFrame:
@@ -68,7 +70,7 @@ class Engine:
             raise ValueError("top_k must be 1 or more")
         request = self._request(filters)
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
-        found = L.top_k(L.index_scores(asked, *index_tables(self.spark, self.index)), self.pool)
+        found = B.search(asked, B.stored(self.spark, f"{self.index}/ranked"), self.pool)
         if self.encode and self.vectors is not None:
             vector = self.spark.createDataFrame([(0, [float(x) for x in self.encode(query)])], "id long, v array<double>")
             near = R.knn(R.unit(vector, "id", "v"), self.vectors, self.pool)

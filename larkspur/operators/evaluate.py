@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.operators.ordered import numbered, running
+
 
 def query_metrics(queries: DataFrame, ranked: DataFrame, judgments: DataFrame, ks: list[int], least_grade: int = 2) -> DataFrame:
     """(variant, query_id, k, n_returned, precision, recall, hit, ndcg, rr, first_rank) of every query, those without a result included.
@@ -132,9 +134,6 @@ def sign_flip(diffs: DataFrame, group: str, rounds: int = 10000, seed: int = 42)
 def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:
     """Adds adjusted: the running least, from the largest p down, of p * m / rank; null p stays null."""
     some = tests.filter(F.col(p).isNotNull())
-    m = some.agg(F.count(F.lit(1)).alias("m"))
-    up = Window.orderBy(p)
-    r = some.crossJoin(F.broadcast(m)).withColumn("r", F.row_number().over(up))
-    down = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    adjusted = r.withColumn("adjusted", F.min(F.least(F.lit(1.0), F.col(p) * F.col("m") / F.col("r"))).over(down)).drop("m", "r")
+    r = numbered(some, [F.asc(p)], "_rank", "_tests").withColumn("_own", F.least(F.lit(1.0), F.col(p) * F.col("_tests") / F.col("_rank")))
+    adjusted = running(r, [F.desc("_rank")], "_own", "adjusted", "min").drop("_rank", "_tests", "_own")
     return adjusted.unionByName(tests.filter(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.operators.ordered import numbered
+
 # Weights of the baseline score over normalised features (others weigh nothing).
 BASELINE_WEIGHTS = {
     "bm25_score": 0.12, "bm25_rank": 0.08, "vector_score": 0.12, "vector_rank": 0.08, "rrf_score": 0.18, "in_both": 0.03,
@@ -57,9 +59,8 @@ def breakdown(df: DataFrame, keys: list[str], weights: dict[str, float]) -> Data
 
 def split_groups(ids: DataFrame, id_col: str, seed: str = "42", train: float = 0.6, validation: float = 0.2) -> DataFrame:
     """(id, part): every query wholly in train, validation or test, by rank of a seeded digest; at least one each of three or more."""
-    w = Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")).cast("binary")), id_col)
-    n = ids.agg(F.count(F.lit(1)).alias("n"))
-    r = ids.withColumn("r", F.row_number().over(w)).crossJoin(F.broadcast(n))
+    digest = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")).cast("binary"))
+    r = numbered(ids.select(id_col), [digest, F.col(id_col)], "r", "n")
     first = F.greatest(F.lit(1), F.floor(F.col("n") * train))
     second = F.greatest(F.lit(1), F.floor(F.col("n") * validation))
     return r.select(F.col(id_col).alias("id"), F.when(F.col("r") <= first, "train").when(F.col("r") <= first + second, "validation").otherwise("test").alias("part"))

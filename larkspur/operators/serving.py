@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.operators.ordered import running
+
 
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970 by the clock of the value itself, with or without a time zone."""
@@ -80,4 +82,4 @@ def overlap(df: DataFrame, start: str, end: str) -> DataFrame:
     """Most intervals that run at once: running sum over starts and ends, ends first at equal times."""
     moves = df.select(F.col(start).alias("t"), F.lit(1).alias("d")).union(df.select(F.col(end).alias("t"), F.lit(-1).alias("d")))
     steps = moves.groupBy("t").agg(F.sum("d").alias("d"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("ends"))
-    return steps.select(F.sum("d").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)).alias("running")).agg(F.max("running").alias("most"))
+    return running(steps, [F.asc("t")], "d", "running").agg(F.max("running").alias("most"))

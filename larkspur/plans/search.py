@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import tokens
+from larkspur.operators import block_index as B
 from larkspur.operators import lexical as L
 from larkspur.operators import retrieval as R
 from larkspur.sources.tables import table
@@ -48,6 +49,20 @@ def bm25_topk(spark, sf_dir):
     return _rounded(bm25_list(spark, sf_dir), "score")
 
 
+def _blocks(spark, sf_dir):
+    return B.build(documents(spark, sf_dir))
+
+
+def bm25_block_topk(spark, sf_dir):
+    """The list of bm25_topk from a stored index of blocks, most of which are not read."""
+    return _rounded(B.search(bench_queries(spark, sf_dir), _blocks(spark, sf_dir), TOP_K), "score")
+
+
+def block_reads(spark, sf_dir):
+    """Blocks of each query's terms, and how many of them its search reads."""
+    return B.use(bench_queries(spark, sf_dir), _blocks(spark, sf_dir), TOP_K)
+
+
 def knn_cosine_topk(spark, sf_dir):
     return _rounded(vector_list(spark, sf_dir), "score")
 
@@ -171,9 +186,17 @@ h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.
   coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS score, a.rank IS NOT NULL AND b.rank IS NOT NULL AS in_both
   FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, knn_cosine_topk, rrf_fusion_topk, hybrid_union, fusion_stats, postings_stats, term_df_idf, doc_length_stats, index_integrity, bm25_candidates_union, bm25_explicit_candidates, embedding_integrity, embedding_document_ids, post_filter_search, term_slice, facet_filter_all, paged_lookup, catalog_counts)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_block_topk, block_reads, knn_cosine_topk, rrf_fusion_topk, hybrid_union, fusion_stats, postings_stats, term_df_idf, doc_length_stats, index_integrity, bm25_candidates_union, bm25_explicit_candidates, embedding_integrity, embedding_document_ids, post_filter_search, term_slice, facet_filter_all, paged_lookup, catalog_counts)}
 ORACLE_SQL = {
     "bm25_topk": f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('bm', TOP_K)}",
+    "bm25_block_topk": f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('bm', TOP_K)}",
+    "block_reads": f"""WITH {BM25}, placed AS (SELECT doc_id, (row_number() OVER (ORDER BY dl DESC, doc_id) - 1) // {B.RANGE} AS rng FROM dl),
+  blk AS (SELECT term, rng, max(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS impact FROM post JOIN dl USING (doc_id) JOIN placed USING (doc_id), cs GROUP BY ALL),
+  bnd AS (SELECT query_id, rng, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * impact) AS bound, count(*) AS nb FROM asked JOIN dfs USING (term) JOIN blk USING (term), cs GROUP BY ALL),
+  fst AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, rng) AS i FROM bnd),
+  sc AS (SELECT query_id, doc_id, score FROM bm JOIN placed USING (doc_id) JOIN fst USING (query_id, rng) WHERE i <= {B.PROBES}),
+  flo AS (SELECT query_id, CASE WHEN count(*) = {TOP_K} THEN min(score) END AS floor FROM {_top('sc', TOP_K)} GROUP BY query_id)
+  SELECT query_id, CAST(sum(nb) AS BIGINT) AS n_blocks, CAST(sum(nb) FILTER (i <= {B.PROBES} OR bound + {B.SLACK} >= coalesce(floor, 0)) AS BIGINT) AS n_read FROM fst LEFT JOIN flo USING (query_id) GROUP BY query_id""",
     "knn_cosine_topk": f"WITH {KNN} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('cosines', TOP_K)}",
     "rrf_fusion_topk": f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 6) AS score, rank, bm25_rank, vector_rank FROM {_top('h', TOP_K, 'query_id, doc_id, score, bm25_rank, vector_rank')}",
     "hybrid_union": f"WITH {HYBRID} SELECT query_id, doc_id, round(CASE WHEN in_both THEN 0.0 ELSE coalesce(bm25_score, vector_score) END, 6) AS union_score, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, in_both FROM h",

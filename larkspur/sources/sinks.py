@@ -80,7 +80,7 @@ INDEX_TABLES = ("postings", "doc_stats", "corpus_stats")
 def publish_index(postings: DataFrame, doc_stats: DataFrame, corpus_stats: DataFrame, path: str) -> dict:
     """Lexical index as three published tables, postings clustered by term, and a manifest of the corpus; gives the manifest."""
     spark = postings.sparkSession
-    parts = (postings.repartition("term").sortWithinPartitions("term", "doc_id"), doc_stats, corpus_stats)
+    parts = (postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), doc_stats, corpus_stats)
     manifest = {name: publish(df, f"{path}/{name}") for name, df in zip(INDEX_TABLES, parts, strict=True)}
     manifest["corpus"] = spark.read.parquet(f"{path}/corpus_stats").collect()[0].asDict()
     fs, place = _fs(spark, f"{path}/manifest.json")
