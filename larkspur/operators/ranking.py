@@ -70,13 +70,3 @@ def invariants(df: DataFrame, group: str, rank: str, item: str, score: str) -> D
     """Counts of groups with gaps in their ranks, of repeated items and of non-finite scores."""
     g = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.countDistinct(rank).alias("nr"), F.countDistinct(item).alias("ni"), F.sum((F.col(score).isNull() | F.isnan(score)).cast("long")).alias("bad"))
     return g.agg(F.count(F.lit(1)).alias("n_groups"), F.sum(((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("nr") != F.col("n"))).cast("long")).alias("rank_gaps"), F.sum((F.col("ni") != F.col("n")).cast("long")).alias("repeated_items"), F.sum("bad").alias("bad_scores"))
-
-
-def train_pointwise(df: DataFrame, features: list[str], label: str, iterations: int = 10):
-    """Experimental ranker: boosted trees on features, missing ones as NaN."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    a = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    d = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in features})
-    return a, GBTRegressor(featuresCol="features", labelCol=label, maxIter=iterations, maxDepth=3, seed=42).fit(a.transform(d))
