@@ -9,6 +9,7 @@ from larkspur.functions.text import tokens
 from larkspur.operators import block_index as B
 from larkspur.operators import lexical as L
 from larkspur.operators import retrieval as R
+from larkspur.operators import vector_index as V
 from larkspur.sources.tables import table
 
 #: The stated query sets: every benchmark item, and every row whose id is divisible by EVERY; item i goes with vector EVERY * i.
@@ -67,6 +68,11 @@ def knn_cosine_topk(spark, sf_dir):
     return _rounded(vector_list(spark, sf_dir), "score")
 
 
+def knn_index_topk(spark, sf_dir):
+    """The list of knn_cosine_topk from a partitioned index, by its exact way."""
+    return _rounded(V.search(query_vectors(spark, sf_dir), V.build(vectors(spark, sf_dir)), TOP_K), "score")
+
+
 def hybrid(spark, sf_dir):
     return R.fused(bm25_list(spark, sf_dir), vector_list(spark, sf_dir))
 
@@ -186,7 +192,7 @@ h AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.
   coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS score, a.rank IS NOT NULL AND b.rank IS NOT NULL AS in_both
   FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)"""
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_block_topk, block_reads, knn_cosine_topk, rrf_fusion_topk, hybrid_union, fusion_stats, postings_stats, term_df_idf, doc_length_stats, index_integrity, bm25_candidates_union, bm25_explicit_candidates, embedding_integrity, embedding_document_ids, post_filter_search, term_slice, facet_filter_all, paged_lookup, catalog_counts)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_block_topk, block_reads, knn_cosine_topk, knn_index_topk, rrf_fusion_topk, hybrid_union, fusion_stats, postings_stats, term_df_idf, doc_length_stats, index_integrity, bm25_candidates_union, bm25_explicit_candidates, embedding_integrity, embedding_document_ids, post_filter_search, term_slice, facet_filter_all, paged_lookup, catalog_counts)}
 ORACLE_SQL = {
     "bm25_topk": f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('bm', TOP_K)}",
     "bm25_block_topk": f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('bm', TOP_K)}",
@@ -198,6 +204,7 @@ ORACLE_SQL = {
   flo AS (SELECT query_id, CASE WHEN count(*) = {TOP_K} THEN min(score) END AS floor FROM {_top('sc', TOP_K)} GROUP BY query_id)
   SELECT query_id, CAST(sum(nb) AS BIGINT) AS n_blocks, CAST(sum(nb) FILTER (i <= {B.PROBES} OR bound + {B.SLACK} >= coalesce(floor, 0)) AS BIGINT) AS n_read FROM fst LEFT JOIN flo USING (query_id) GROUP BY query_id""",
     "knn_cosine_topk": f"WITH {KNN} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('cosines', TOP_K)}",
+    "knn_index_topk": f"WITH {KNN} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM {_top('cosines', TOP_K)}",
     "rrf_fusion_topk": f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 6) AS score, rank, bm25_rank, vector_rank FROM {_top('h', TOP_K, 'query_id, doc_id, score, bm25_rank, vector_rank')}",
     "hybrid_union": f"WITH {HYBRID} SELECT query_id, doc_id, round(CASE WHEN in_both THEN 0.0 ELSE coalesce(bm25_score, vector_score) END, 6) AS union_score, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, in_both FROM h",
     "fusion_stats": f"WITH {HYBRID} SELECT query_id, count(bm25_rank) AS n_bm25, count(vector_rank) AS n_vector, count(*) AS n_pool, count(*) FILTER (in_both) AS n_overlap FROM h GROUP BY query_id",
