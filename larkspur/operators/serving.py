@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.operators.order_stats import quantiles
 from larkspur.operators.ordered import running
 
 
@@ -20,25 +21,11 @@ def epoch_micros(ts: Column) -> Column:
 
 
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """min, mean, interpolated p50, p95, p99 and max.
-
-    Equal values are counted first, all over the cluster; a group's task then walks its distinct values in
-    order, and keeps those beside the wanted places alone.
-    """
-    n = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    """n, min, mean, interpolated p50, p95 and p99, max of every group; quantiles are exact, and no task holds a group."""
     total = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"v.{c}")) for c in by]
-    placed = total.alias("t").join(n.withColumn("upto", upto).alias("v"), same, "left").select("t.*", "x", "c", "upto")
-    out = {}
-    for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
-        at = (F.col("n") - 1) * p
-        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            out[f"{name}_{side}"] = F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("c")), F.col("x")))
-    g = placed.groupBy(*by, "n", "min", "mean", "max").agg(*[c.alias(k) for k, c in out.items()])
-    part = lambda p: (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
-    ps = [(F.col(f"{name}_lo") * (1 - part(p)) + F.col(f"{name}_hi") * part(p)).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
-    return g.select(*by, "n", "min", "mean", *ps, "max")
+    ps = quantiles(df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
+    return total.alias("t").join(ps.alias("q"), same, "left").select(*[f"t.{c}" for c in by], "n", "min", "mean", "p50", "p95", "p99", "max")
 
 
 def throughput(df: DataFrame, by: list[str], ts: str, failed: Column) -> DataFrame:

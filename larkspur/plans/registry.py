@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkspur.plans import catalog, evaluation, learned, products, recommendation, search
+from larkspur.plans import catalog, encoding, evaluation, learned, products, recommendation, search
 
-_PLANS = (search, catalog, recommendation, evaluation, products, learned)
+_PLANS = (search, catalog, recommendation, evaluation, products, learned, encoding)
 QUERIES = {k: v for p in _PLANS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PLANS for k, v in p.ORACLE_SQL.items()}
