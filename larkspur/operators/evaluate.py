@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.operators.ordered import numbered, running
+from larkspur.session import ship, written
 
 
 def query_metrics(queries: DataFrame, ranked: DataFrame, judgments: DataFrame, ks: list[int], least_grade: int = 2) -> DataFrame:
@@ -99,36 +100,102 @@ def paired(values: DataFrame, reference: str, candidate: str, keys: list[str]) -
     return j.select(*keys, (F.col("c") - F.col("r")).alias("diff"), reason.alias("reason"))
 
 
-def draw(*parts: Column) -> Column:
-    """A number of 32 bits from the md5 of the parts: the same in every engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
+def paired_all(values: DataFrame, pairs: list[tuple[str, str]], keys: list[str]) -> DataFrame:
+    """As `paired`, with the columns reference and candidate, for all pairs at once: values are grouped once and each pair read off."""
+    held = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("variant", "value"))).alias("m"))  # one entry a variant
+    each = held.select(*keys, "m", F.inline(F.array(*[F.struct(F.lit(r).alias("reference"), F.lit(c).alias("candidate")) for r, c in pairs])))
+    r, c = F.element_at("m", F.col("reference")), F.element_at("m", F.col("candidate"))
+    reason = F.when(r.isNull() & c.isNull(), "both_missing").when(r.isNull(), "reference_missing").when(c.isNull(), "candidate_missing")
+    return each.select("reference", "candidate", *keys, (c - r).alias("diff"), reason.alias("reason"))
 
 
-def _numbered(diffs: DataFrame, group: str) -> DataFrame:
-    d = diffs.filter("diff is not null")
-    return d.select(group, "diff", (F.row_number().over(Window.partitionBy(group).orderBy("query_id")) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
+#: Resamples that a task draws at once.
+BLOCK = 500
 
 
-def bootstrap(diffs: DataFrame, group: str, resamples: int = 5000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean difference of each group; draws are spread over the cluster by resample."""
-    d = _numbered(diffs, group)
-    r = d.sparkSession.range(resamples).withColumnRenamed("id", "b")
-    picked = r.crossJoin(d.select(group, "i", "n")).select(group, "b", (draw(F.lit(seed), F.col("b"), F.col("i")) % F.col("n")).cast("int").alias("i"))
-    means = picked.join(d.select(group, "i", "diff"), [group, "i"]).groupBy(group, "b").agg(F.round(F.avg("diff"), 12).alias("m"))
-    s = means.groupBy(group).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+def draws(seed: int, first: int, rounds: int, n: int):
+    """Numbers of 32 bits from the md5 of seed, resample and place, the same in every engine: a row for each resample from `first` on."""
+    import hashlib
+
+    import numpy as np
+
+    return np.array([[int.from_bytes(hashlib.md5(f"{seed}|{b}|{i}".encode()).digest()[:4], "big") for i in range(n)] for b in range(first, first + rounds)], np.int64).reshape(rounds, n)
+
+
+def _resampled(diffs: DataFrame, group: list[str], rounds: int, seed: int, one) -> DataFrame:
+    """(group, found): `one(differences, draws)` of each group for each block of resamples.
+
+    A group's differences, in the order of their queries, are one row; it meets each block of draws once, in
+    the task of that block, which draws for each number of queries once and serves all groups.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    ship(diffs.sparkSession)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("query_id", "diff"))), lambda x: x["diff"])
+    d = diffs.filter("diff is not null").groupBy(*group).agg(rows.alias("d"))
+    blocks = -(-rounds // BLOCK)
+    spread = d.select(F.to_json(F.struct(*group)).alias("g"), "d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    spread = spread.repartition(blocks, "block").sortWithinPartitions("block", F.size("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn, of = None, None
+        for b in batches:
+            names, found = b.column(0).to_pylist(), []
+            for values, block in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if of != (block, len(values)):
+                    of, drawn = (block, len(values)), draws(seed, block * BLOCK, min(BLOCK, rounds - block * BLOCK), len(values))
+                found.append(one(np.array(values, float), drawn))
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(found, pa.list_(pa.float64()))], names=["g", "found"])
+
+    got = spread.mapInArrow(run, "g string, found array<double>")
+    back = F.from_json("g", diffs.select(*group).schema.simpleString())
+    return got.select(back.alias("g"), "found").select(*[F.col(f"g.{c}").alias(c) for c in group], "found")
+
+
+def _groups(group: str | list[str]) -> list[str]:
+    return [group] if isinstance(group, str) else list(group)
+
+
+def bootstrap(diffs: DataFrame, group: str | list[str], resamples: int = 5000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean difference of each group of queries."""
+    by = _groups(group)
+
+    def means(values, drawn):
+        return (values[drawn % len(values)].sum(1) / len(values)).round(12)
+
+    s = _resampled(diffs, by, resamples, seed, means).groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("ms"))
     lo, hi = int(alpha / 2 * resamples), int((1 - alpha / 2) * resamples) - 1
-    whole = d.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
-    return s.join(whole, group).select(group, "n", "mean_diff", F.col("ms")[lo].alias("low"), F.col("ms")[hi].alias("high"), (F.col("n") < 30).alias("small_sample"))
+    whole = diffs.filter("diff is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean_diff"))
+    return s.join(whole, by).select(*by, "n", "mean_diff", F.col("ms")[lo].alias("low"), F.col("ms")[hi].alias("high"), (F.col("n") < 30).alias("small_sample"))
 
 
-def sign_flip(diffs: DataFrame, group: str, rounds: int = 10000, seed: int = 42) -> DataFrame:
+def sign_flip(diffs: DataFrame, group: str | list[str], rounds: int = 10000, seed: int = 42) -> DataFrame:
     """Two-sided p of the mean difference under random signs: (extreme + 1) / (rounds + 1)."""
-    d = _numbered(diffs, group)
-    r = d.sparkSession.range(rounds).withColumnRenamed("id", "b")
-    flips = r.crossJoin(d).select(group, "b", F.when(draw(F.lit(seed), F.col("b"), F.col("i")) % 2 == 0, F.col("diff")).otherwise(-F.col("diff")).alias("x"))
-    means = flips.groupBy(group, "b").agg(F.abs(F.avg("x")).alias("m"))
-    seen = d.groupBy(group).agg(F.abs(F.avg("diff")).alias("seen"))
-    return means.join(F.broadcast(seen), group).groupBy(group).agg(((F.sum((F.col("m") >= F.col("seen") - 1e-12).cast("long")) + 1) / F.lit(rounds + 1)).alias("p"))
+    by = _groups(group)
+
+    def extreme(values, drawn):
+        means = abs((1 - 2 * (drawn % 2)) @ values) / len(values)
+        return [float((means >= abs(values.sum()) / len(values) - 1e-12).sum())]
+
+    found = _resampled(diffs, by, rounds, seed, extreme)
+    return found.groupBy(*by).agg(((F.sum(F.col("found")[0]) + 1) / F.lit(rounds + 1)).alias("p"))
+
+
+def comparison(values: DataFrame, pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
+    """The whole matrix of paired comparisons: one row for each pair and each group of `by`, over their common queries.
+
+    n, n_excluded, mean_diff (candidate less reference), low, high, small_sample, p, and adjusted: p after Benjamini-Hochberg over
+    all rows.  Groups without a common query have n = 0 and nothing else.
+    """
+    key = ["reference", "candidate", *by]
+    d = written(paired_all(values, pairs, [*by, "query_id"]), "paired")
+    counts = d.groupBy(*key).agg(F.count("diff").alias("n_pairs"), F.count("reason").alias("n_excluded"))
+    told = bootstrap(d, key).join(sign_flip(d, key), key).drop("n")
+    rows = counts.join(told, key, "left").withColumnRenamed("n_pairs", "n")
+    return benjamini_hochberg(written(rows, "comparison"))
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p") -> DataFrame:

@@ -119,6 +119,16 @@ def sign_flip_pvalue(spark, sf_dir):
     return _round(E.sign_flip(_diffs(spark, sf_dir), "metric"), "p")
 
 
+#: Pairs that are compared: reference and candidate.
+PAIRS = [("bm25", "vector"), ("bm25", "rrf"), ("vector", "rrf")]
+
+
+def comparison_matrix(spark, sf_dir):
+    """Every pair of variants at every K by every metric."""
+    values = E.long(written(_metrics(spark, sf_dir), "metrics"))
+    return _round(E.comparison(values, PAIRS, ["k", "metric"]), "mean_diff", "low", "high", "p", "adjusted")
+
+
 def bh_adjust(spark, sf_dir):
     """Adjusted p of two-sided tail shares by user: a plain table of p values."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg((F.col("event_type") == "error").cast("double")) + 0.001 * F.count(F.lit(1)), 6).alias("p"))
@@ -183,7 +193,7 @@ def _lat(where: str = "true") -> str:
 
 
 _SIX = ["min", "mean", "p50", "p95", "p99", "max"]
-QUERIES = {f.__name__: f for f in (precision_recall_at_k, hit_rate_mrr, ndcg, category_rollup, candidate_coverage, catalog_coverage, failure_categories, retrieval_patterns, variant_deltas, paired_observations, bootstrap_ci, sign_flip_pvalue, bh_adjust, latency_percentiles, throughput_errors, regression_flags, rate_limit_decisions, metric_counters, event_buffer, window_counters_batch)}
+QUERIES = {f.__name__: f for f in (precision_recall_at_k, hit_rate_mrr, ndcg, category_rollup, candidate_coverage, catalog_coverage, failure_categories, retrieval_patterns, variant_deltas, paired_observations, bootstrap_ci, sign_flip_pvalue, comparison_matrix, bh_adjust, latency_percentiles, throughput_errors, regression_flags, rate_limit_decisions, metric_counters, event_buffer, window_counters_batch)}
 ORACLE_SQL = {
     "precision_recall_at_k": f"WITH {MET} SELECT variant, query_id, k, n_returned, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m",
     "hit_rate_mrr": f"WITH {MET} SELECT variant, k, n_queries, n_eligible, round(hit, 6) AS hit, round(rr, 6) AS rr FROM agg",
@@ -197,6 +207,22 @@ ORACLE_SQL = {
     "paired_observations": f"WITH {DIFFS} SELECT metric, reason, count(*) AS n, round(avg(diff), 6) AS mean_diff, round(avg(abs(diff)), 6) AS mean_abs_diff FROM df GROUP BY ALL",
     "bootstrap_ci": f"WITH {DIFFS}, pk AS (SELECT metric, b, {_DRAW} % n AS i FROM nd, range({RESAMPLES}) AS r(b)), ms AS (SELECT metric, b, round(avg(diff), 12) AS mm FROM pk JOIN nd USING (metric, i) GROUP BY ALL), s AS (SELECT metric, list(mm ORDER BY mm) AS l FROM ms GROUP BY 1) SELECT metric, count(*) AS n, round(avg(diff), 6) AS mean_diff, round(any_value(l[{int(0.025 * RESAMPLES) + 1}]), 6) AS low, round(any_value(l[{int(0.975 * RESAMPLES)}]), 6) AS high, count(*) < 30 AS small_sample FROM nd JOIN s USING (metric) GROUP BY metric",
     "sign_flip_pvalue": f"WITH {DIFFS}, fl AS (SELECT metric, b, abs(avg(CASE WHEN {_DRAW} % 2 = 0 THEN diff ELSE -diff END)) AS mm FROM nd, range({ROUNDS}) AS r(b) GROUP BY ALL), sn AS (SELECT metric, abs(avg(diff)) AS seen FROM nd GROUP BY 1) SELECT metric, round((count(*) FILTER (mm >= seen - 1e-12) + 1) / {ROUNDS + 1}, 6) AS p FROM fl JOIN sn USING (metric) GROUP BY metric",
+    "comparison_matrix": f"""WITH {MET}, la AS ({' UNION ALL '.join(f"SELECT variant, query_id, k, '{c}' AS metric, {c} AS value FROM m" for c in E.METRICS)}),
+  pr(reference, candidate) AS (VALUES {', '.join(map(str, PAIRS))}),
+  dx AS MATERIALIZED (SELECT reference, candidate, k, metric, query_id, c.value - r.value AS diff FROM pr JOIN la r ON r.variant = reference JOIN la c USING (query_id, k, metric) WHERE c.variant = candidate),
+  na AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY reference, candidate, k, metric ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY reference, candidate, k, metric) AS n FROM dx WHERE diff IS NOT NULL),
+  gr AS (SELECT DISTINCT reference, candidate, k, metric, n FROM na),
+  dr AS MATERIALIZED (SELECT b, i, {_DRAW} AS x FROM range({ROUNDS}) AS r(b), range((SELECT max(n) FROM na)) AS q(i)),
+  ms AS (SELECT reference, candidate, k, metric, b, round(avg(diff), 12) AS mm FROM (SELECT gr.*, b, x % n AS i FROM gr JOIN dr ON dr.i < n WHERE b < {RESAMPLES}) JOIN na USING (reference, candidate, k, metric, i) GROUP BY ALL),
+  ci AS (SELECT reference, candidate, k, metric, list(mm ORDER BY mm) AS l FROM ms GROUP BY ALL),
+  fl AS (SELECT reference, candidate, k, metric, b, abs(avg(CASE WHEN x % 2 = 0 THEN diff ELSE -diff END)) AS mm FROM na JOIN dr USING (i) GROUP BY ALL),
+  sn AS (SELECT reference, candidate, k, metric, count(*) AS n, avg(diff) AS mean_diff FROM na GROUP BY ALL),
+  pv AS (SELECT reference, candidate, k, metric, (count(*) FILTER (mm >= abs(mean_diff) - 1e-12) + 1) / {ROUNDS + 1} AS p FROM fl JOIN sn USING (reference, candidate, k, metric) GROUP BY ALL),
+  al AS (SELECT reference, candidate, k, metric, count(diff) AS n, count(*) - count(diff) AS n_excluded FROM dx GROUP BY ALL),
+  rk AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM pv),
+  ad AS (SELECT reference, candidate, k, metric, p, min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS adjusted FROM rk)
+  SELECT al.reference, al.candidate, al.k, al.metric, al.n, n_excluded, round(mean_diff, 6) AS mean_diff, round(l[{int(0.025 * RESAMPLES) + 1}], 6) AS low, round(l[{int(0.975 * RESAMPLES)}], 6) AS high, CASE WHEN al.n > 0 THEN al.n < 30 END AS small_sample, round(p, 6) AS p, round(adjusted, 6) AS adjusted
+  FROM al LEFT JOIN sn USING (reference, candidate, k, metric) LEFT JOIN ci USING (reference, candidate, k, metric) LEFT JOIN ad USING (reference, candidate, k, metric)""",
     "bh_adjust": "WITH t AS (SELECT user_id, round(avg((event_type = 'error')::INT::DOUBLE) + 0.001 * count(*), 6) AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM t) SELECT user_id, p, round(min(least(1.0, p * m / r)) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM r",
     "latency_percentiles": f"WITH l AS ({_lat()}) SELECT event_type, n, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)} FROM l",
     "throughput_errors": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed, round(count(*) FILTER (event_type <> 'error') / (greatest(epoch_us(max(ts)) - epoch_us(min(ts)), 1) / 1e6), 6) AS per_second, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM events GROUP BY 1",
