@@ -15,6 +15,7 @@ from larkspur.operators import recommend as M
 from larkspur.operators import retrieval as R
 from larkspur.operators import similarity as Y
 from larkspur.operators.ranking import weighted
+from larkspur.operators.representation import structured_text
 from larkspur.sources.sinks import index_tables, publish_index
 
 _KINDS = {**dict.fromkeys(C.SCALARS, "string"), **dict.fromkeys(C.LISTS, "array<string>"), **dict.fromkeys(C.BOUNDS, "long")}
@@ -59,6 +60,12 @@ class Engine:
         schema = ", ".join(["query_id long", *[f"{C.ASKED}{c} {k}" for c, k in _KINDS.items()]])
         return self.spark.createDataFrame([(0, *[(filters or {}).get(c) for c in _KINDS])], schema)
 
+    def _checked(self, top_k: int) -> None:
+        if top_k < 1:
+            raise ValueError("top_k must be 1 or more")
+        if top_k > self.pool:
+            raise ValueError(f"top_k must be {self.pool}, the size of the pools, or less")
+
     def product(self, product_id) -> DataFrame:
         return self.catalog.filter(F.col("id") == F.lit(product_id))
 
@@ -66,8 +73,7 @@ class Engine:
         """(doc_id, score, rank): the best of the lexical list, fused with the vectors' where queries can be encoded; filters apply to the pool."""
         if not query.strip():
             raise ValueError("blank query")
-        if top_k < 1:
-            raise ValueError("top_k must be 1 or more")
+        self._checked(top_k)
         request = self._request(filters)
         asked = self.spark.createDataFrame([(0, query)], "query_id long, query_text string")
         found = B.search(asked, B.stored(self.spark, f"{self.index}/ranked"), self.pool)
@@ -80,21 +86,24 @@ class Engine:
 
     def recommend(self, seed, top_k: int = 10, filters: dict | None = None) -> DataFrame:
         """(doc_id, score, rank): candidates alike by attributes, text and vector, by the weighted features, under the caps by brand and type."""
-        if top_k < 1:
-            raise ValueError("top_k must be 1 or more")
+        self._checked(top_k)
         request, one = self._request(filters), self.product(seed)
-        parts = [M.attribute_candidates(one, self.catalog, "category_gender", {"brand": 2.5, "brand_normalized": 3.0, "product_type": 1.5}, {c: M.ATTRIBUTE_WEIGHTS[c] for c in C.LISTS}, self.pool).withColumn("source", F.lit("attribute"))]
-        asked = one.select(F.col("id").alias("query_id"), F.col("text").alias("query_text"))
+        parts = [M.attribute_candidates(one, self.catalog, "category_gender", {c: M.ATTRIBUTE_WEIGHTS[c] for c in ("brand", "brand_normalized", "product_type")}, {c: M.ATTRIBUTE_WEIGHTS[c] for c in C.LISTS}, self.pool).withColumn("source", F.lit("attribute"))]
+        # the seed's attributes alone, without its description
+        asked = one.select(F.col("id").alias("query_id"), structured_text(one).alias("query_text"))
         lexical = L.index_scores(asked, *index_tables(self.spark, self.index)).filter("query_id <> doc_id")
         parts.append(L.top_k(lexical, self.pool).withColumnRenamed("query_id", "seed").withColumn("source", F.lit("bm25")))
         vectors = self.vectors if self.vectors is not None else self.spark.createDataFrame([], "id long, v array<double>")
         parts.append(R.knn(vectors.filter(F.col("id") == F.lit(seed)), vectors, self.pool, exclude_self=True).withColumnRenamed("query_id", "seed").withColumn("source", F.lit("vector")))
         rows = [p.select("seed", "doc_id", "source", "score") for p in parts]
-        pairs = M.merge(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+        pairs = M.truncate(M.merge(rows[0].unionByName(rows[1]).unionByName(rows[2])), self.pool)
         kept = C.filter_candidates(pairs.withColumn("query_id", F.lit(0).cast("long")), request, self.catalog).drop("query_id")
         scored = Y.features(kept, self.catalog, vectors, lexical.withColumnRenamed("query_id", "seed")).withColumn("score", weighted(Y.WEIGHTS)).select("seed", "doc_id", "score")
         ranked = L.top_k(scored, self.pool, by="seed")
         caps = self.caps if self.caps is not None else {"brand": 2, "product_type": 3}
-        keyed = ranked.join(self.catalog.select(F.col("id").alias("doc_id"), *caps), "doc_id")
+        key = {c: M.folded(F.col(c)) for c in caps}
+        if "brand" in caps:
+            key["brand"] = F.coalesce(M.folded(F.col("brand_normalized")), M.folded(F.col("brand")))
+        keyed = ranked.join(self.catalog.select(F.col("id").alias("doc_id"), *[v.alias(c) for c, v in key.items()]), "doc_id")
         chosen = M.select_capped(keyed, caps, top_k).filter("decision = 'selected'")
         return chosen.join(ranked.select("doc_id", "score"), "doc_id").select("doc_id", "score", F.col("position").alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.operators.lexical import top_k
+from larkspur.session import written
 
 # Weights of the attribute generator, and the order of sources for the merged score.
 ATTRIBUTE_WEIGHTS = {"gender": 2.0, "brand_normalized": 3.0, "brand": 2.5, "product_type": 1.5, "color": 1.0, "pattern": 1.0, "material": 1.0, "fit": 0.75, "sleeve": 0.75, "neckline": 0.75, "product_features": 0.5, "style_attributes": 0.5}
@@ -28,45 +29,78 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))
 
 
-def attribute_candidates(seeds: DataFrame, catalog: DataFrame, gender: str, scalars: dict[str, float], multis: dict[str, float], k: int, gender_weight: float = 2.0, id_col: str = "id") -> DataFrame:
-    """(seed, doc_id, score, rank): weighted share of the seed's attributes that a product of the same gender has.
+def _profiles(df: DataFrame, key: str, gender: str, id_col: str, weights: dict[str, float], lists: list[str], prefix: str = "") -> DataFrame:
+    """(key, g, one column of distinct folded values for each attribute); rows without a gender are left out."""
+    value = lambda c: F.transform(c, folded) if c in lists else F.array(folded(F.col(c)))
+    held = {c: F.filter(F.array_distinct(value(c)), lambda x: x.isNotNull()) for c in weights}
+    cols = [F.when(F.col(c).isNotNull() if c in lists else folded(F.col(c)).isNotNull(), v).alias(prefix + c) for c, v in held.items()]
+    return df.filter(folded(F.col(gender)).isNotNull()).select(F.col(id_col).alias(key), folded(F.col(gender)).alias("g"), *cols)
 
-    The denominator holds only what the seed has.  Products that share an attribute with a seed are found
-    by equi-joins on gender and value; all others of its gender have the gender's share alone, so they are
-    needed only where a seed has fewer than k, and then those of the smallest ids, of which 2k + 1 of each
-    gender are enough.
+
+def _values(df: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """(key, g, a, x): one row for each value of each attribute."""
+    none = F.array().cast("array<struct<a:string,x:string>>")
+
+    def tagged(c: str) -> Column:
+        return F.coalesce(F.transform(c, lambda v: F.struct(F.lit(c).alias("a"), v.alias("x"))), none)
+
+    return df.select(key, "g", F.inline(F.concat(*map(tagged, weights))))
+
+
+#: Catalog rows that the rarest attributes of a seed lead to before bounds are asked for, as a multiple of k.
+FIRST = 8
+
+
+def attribute_candidates(seeds: DataFrame, catalog: DataFrame, gender: str, scalars: dict[str, float], multis: dict[str, float], k: int, gender_weight: float = 2.0, id_col: str = "id", first: int = FIRST) -> DataFrame:
+    """(seed, doc_id, score, rank): the k best by the weighted share of the seed's attributes that a product of the same gender has.
+
+    The denominator holds only what the seed has.  A seed's attributes are ordered by how many products share a
+    value of theirs.  Products that share one of the rarest few are scored whole; the k-th best score is a floor.  Products
+    that share none of these have at most the weights of the other attributes, so attributes are added, rarest first,
+    only until that bound is below the floor: the common ones are never joined where they cannot matter.
+    Products that share nothing have the gender's share alone; they are needed only where a seed has fewer than k, and
+    then those of the smallest ids, of which 2k + 1 of each gender are enough.
     """
-    names = [*scalars, *multis]
-    mine = catalog.filter(folded(F.col(gender)).isNotNull()).select(F.col(id_col).alias("doc_id"), folded(F.col(gender)).alias("g"), *[folded(F.col(c)).alias(c) for c in scalars], *[F.transform(c, folded).alias(c) for c in multis])
-    theirs = seeds.filter(folded(F.col(gender)).isNotNull()).select(F.col(id_col).alias("seed"), folded(F.col(gender)).alias("g"), *[folded(F.col(c)).alias(c) for c in scalars], *[F.transform(c, folded).alias(c) for c in multis])
-
-    def values(df: DataFrame, key: str) -> DataFrame:
-        single = F.array(*[F.struct(F.lit(c).alias("a"), F.col(c).alias("x")) for c in scalars]) if scalars else F.array().cast("array<struct<a:string,x:string>>")
-        return df.select(key, "g", F.inline(F.concat(single, *map(_tagged, multis)))).filter("x is not null")
-
-    shared = values(theirs, "seed").join(values(mine, "doc_id"), ["g", "a", "x"]).filter("seed <> doc_id")
-    weight = F.lit(0.0)
-    for c, w in {**scalars, **multis}.items():
-        weight = F.when(F.col("a") == c, F.lit(w)).otherwise(weight)
-    got = shared.select("seed", "doc_id", "a", weight.alias("w")).distinct().groupBy("seed", "doc_id").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    most = F.lit(gender_weight)
-    for c in names:
-        most = most + F.when(F.col(c).isNotNull(), {**scalars, **multis}[c]).otherwise(0.0)
+    weights, lists = {**scalars, **multis}, list(multis)
+    mine = written(_profiles(catalog, "doc_id", gender, id_col, weights, lists), "attribute-catalog")
+    theirs = written(_profiles(seeds, "seed", gender, id_col, weights, lists, "s_"), "attribute-seeds")
+    values = _values(mine, "doc_id", weights)
+    asked = _values(theirs.withColumnsRenamed({f"s_{c}": c for c in weights}), "seed", weights)
+    often = asked.select("g", "a", "x").distinct().join(values, ["g", "a", "x"]).groupBy("g", "a", "x").agg(F.count(F.lit(1)).alias("n"))
+    cost = asked.join(often, ["g", "a", "x"], "left").groupBy("seed", "a").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    w = F.element_at(F.create_map(*[y for c, x in weights.items() for y in (F.lit(c), F.lit(x))]), F.col("a"))
+    rarest = Window.partitionBy("seed").orderBy("n", "a")
+    upto = rarest.rowsBetween(Window.unboundedPreceding, -1)
+    after = rarest.rowsBetween(1, Window.unboundedFollowing)
+    order = cost.select("seed", "a", F.row_number().over(rarest).alias("i"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.coalesce(F.sum(w).over(after), F.lit(0.0)).alias("rest"))
+    order = written(order, "attribute-order")
+    most = F.lit(gender_weight) + sum((F.when(F.col(f"s_{c}").isNotNull(), x).otherwise(0.0) for c, x in weights.items()), F.lit(0.0))
+    share = F.lit(gender_weight) + sum((F.when(F.arrays_overlap(c, f"s_{c}"), x).otherwise(0.0) for c, x in weights.items()), F.lit(0.0))
+
+    def pairs(chosen: DataFrame) -> DataFrame:
+        """(seed, doc_id) that share a value of one of the chosen attributes (seed, a)."""
+        return asked.join(chosen.select("seed", "a"), ["seed", "a"]).join(values, ["g", "a", "x"]).filter("seed <> doc_id").select("seed", "doc_id").distinct()
+
+    def scored(found: DataFrame) -> DataFrame:
+        return found.join(theirs, "seed").join(mine.drop("g"), "doc_id").select("seed", "doc_id", (share / most).alias("score"))
+
+    start = F.col("before") < first * k
+    near = written(scored(pairs(order.filter(start))), "attribute-near")
+    floor = top_k(near, k, by="seed").groupBy("seed").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
+    # after the attributes up to i, a product found by none of them reaches `bound`; the next attribute is needed until that is below the floor
+    bound = (F.lit(gender_weight) + F.col("rest")) / F.col("most")
     whole = theirs.select("seed", "g", most.alias("most"))
-    found = top_k(got.join(whole, "seed").select("seed", "doc_id", ((F.lit(gender_weight) + F.col("w")) / F.col("most")).alias("score")), k, by="seed").drop("rank")
-    # where a seed has fewer than k: the first of its gender that share nothing with it
+    enough = order.join(whole.select("seed", "most"), "seed").join(floor, "seed", "left").withColumn("last", F.coalesce(bound < F.col("floor") - 1e-9, F.lit(False)))
+    needed = enough.groupBy("seed").agg(F.coalesce(F.min(F.when(F.col("last"), F.col("i"))), F.max("i")).alias("to"))
+    more = order.filter(~start).join(needed, "seed").filter(F.col("i") <= F.col("to"))
+    far = scored(pairs(more).join(near.select("seed", "doc_id"), ["seed", "doc_id"], "left_anti"))
+    found = written(top_k(near.unionByName(far), k, by="seed").drop("rank"), "attribute-found")
     few = whole.join(found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")), "seed", "left").filter(F.coalesce("n", F.lit(0)) < k).select("seed", "g", "most")
-    first = mine.select("g", "doc_id").withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("doc_id"))).filter(F.col("i") <= 2 * k + 1).select("g", "doc_id")
-    rest = few.join(first, "g").filter("seed <> doc_id").join(found.select("seed", "doc_id"), ["seed", "doc_id"], "left_anti").select("seed", "doc_id", (F.lit(gender_weight) / F.col("most")).alias("score"))
+    smallest = mine.select("g", "doc_id").withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("doc_id"))).filter(F.col("i") <= 2 * k + 1).select("g", "doc_id")
+    rest = few.join(smallest, "g").filter("seed <> doc_id").join(found.select("seed", "doc_id"), ["seed", "doc_id"], "left_anti").select("seed", "doc_id", (F.lit(gender_weight) / F.col("most")).alias("score"))
     return top_k(found.unionByName(rest).filter("score > 0"), k, by="seed")
 
 
-def _tagged(c: str) -> Column:
-    """The distinct values of a list column as (attribute, value); none for a null."""
-    none = F.array().cast("array<struct<a:string,x:string>>")
-    return F.coalesce(F.transform(F.array_distinct(c), lambda v: F.struct(F.lit(c).alias("a"), v.alias("x"))), none)
-
-
 def merge(candidates: DataFrame) -> DataFrame:
     """(seed, doc_id, source, score) of all generators to one row for each pair: best score of each source, sources, merged score by priority."""
     best = {s: F.max(F.when(F.col("source") == s, F.col("score"))).alias(f"{s}_score") for s in PRIORITY}

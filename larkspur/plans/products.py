@@ -21,21 +21,6 @@ from larkspur.sources.sinks import index_tables, publish_index
 from larkspur.sources.tables import table
 
 
-def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts as products: brands and types of their own, other attributes from the key."""
-    key, word = F.col("p_partkey"), F.split("p_name", " ")
-    tag = lambda name, m: F.concat(F.lit(name), (key % m).cast("string"))
-    brand = F.when(key % 13 != 0, F.col("p_brand"))
-    return table(spark, sf_dir, "part").select(
-        key.cast("long").alias("id"), brand.alias("brand"), brand.alias("brand_normalized"),
-        F.when(key % 3 == 0, "Men").when(key % 3 == 1, "Women").alias("category_gender"), word[1].alias("product_type"),
-        F.array(word[0]).alias("color"), F.when(key % 7 != 0, F.array(tag("pat", 5))).alias("pattern"), F.array_distinct(F.array(tag("mat", 4), tag("mat", 3))).alias("material"),
-        F.when(key % 5 != 0, F.array(tag("fit", 3))).alias("fit"), F.array(tag("sl", 4)).alias("sleeve"), F.when(key % 2 == 1, F.array(tag("nk", 3))).alias("neckline"),
-        F.array_distinct(F.array(tag("f", 6), tag("f", 4))).alias("product_features"), F.array(tag("st", 8)).alias("style_attributes"),
-        (F.floor("p_retailprice") - key % 7 * 50).cast("long").alias("discount_price"), F.floor("p_retailprice").cast("long").alias("original_price"),
-    )
-
-
 #: The requests: what each asks for; the fourth asks for nothing.
 REQUESTS = [
     {"brand": "Brand#12"},
@@ -57,15 +42,15 @@ def requests(spark: SparkSession) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return goods(spark, sf_dir).select((F.col("id") % len(REQUESTS)).alias("query_id"), F.col("id").alias("doc_id"))
+    return R.goods(spark, sf_dir).select((F.col("id") % len(REQUESTS)).alias("query_id"), F.col("id").alias("doc_id"))
 
 
 def constraint_filter(spark, sf_dir):
-    return C.filter_candidates(_candidates(spark, sf_dir), requests(spark), goods(spark, sf_dir))
+    return C.filter_candidates(_candidates(spark, sf_dir), requests(spark), R.goods(spark, sf_dir))
 
 
 def matching_features(spark, sf_dir):
-    g = goods(spark, sf_dir).withColumn("query_id", F.col("id") % len(REQUESTS)).join(requests(spark), "query_id")
+    g = R.goods(spark, sf_dir).withColumn("query_id", F.col("id") % len(REQUESTS)).join(requests(spark), "query_id")
     f = g.withColumns(C.matching_features(metadata=F.col("id") % 10 != 0))
     flags = ["brand_match", "color_match", "product_type_match", "category_gender_match", "material_match", "constraint_match"]
     return f.select("query_id", "id", *[F.col(c).cast("long").alias(c) for c in flags], "matched_attribute_count", F.round("attribute_overlap", 6).alias("attribute_overlap"))
@@ -83,22 +68,13 @@ def query_representation(spark, sf_dir):
 # recommendation --------------------------------------------------------------------------------
 
 
-def _features(spark, sf_dir):
-    pairs = R._merged(spark, sf_dir)
-    p = R.products(spark, sf_dir)
-    asked = R.seeds(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("p_name").alias("query_text"))
-    texts = p.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "p_name", "brand").alias("text"))
-    lexical = L.bm25_scores(asked, texts, candidates=pairs.select(F.col("seed").alias("query_id"), "doc_id")).withColumnRenamed("query_id", "seed")
-    return Y.features(pairs, goods(spark, sf_dir), S.vectors(spark, sf_dir), lexical)
-
-
 def reco_feature_matrix(spark, sf_dir):
-    f = _features(spark, sf_dir)
+    f = R.features25(spark, sf_dir)
     return f.select("seed", "doc_id", *[F.round(c, 6).alias(c) for c in Y.FEATURES], F.size(F.filter(Y.matrix(f), lambda x: F.isnan(x))).cast("long").alias("n_missing"))
 
 
 def reco_weighted_rank(spark, sf_dir):
-    r = L.top_k(_features(spark, sf_dir).withColumn("score", weighted(Y.WEIGHTS)), R.TOP, by="seed")
+    r = L.top_k(R.features25(spark, sf_dir).withColumn("score", weighted(Y.WEIGHTS)), R.TOP, by="seed")
     return r.select("seed", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -176,7 +152,7 @@ def unknown_label_ids(spark, sf_dir):
 
 def catalog_validation(spark, sf_dir):
     """Rows, ids, rows without a required value, and missing cells of the attributes."""
-    g = goods(spark, sf_dir)
+    g = R.goods(spark, sf_dir)
     lacks = F.col("id").isNull() | F.col("brand").isNull() | F.col("category_gender").isNull()
     n = lambda c: F.sum(c.cast("long"))
     return g.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.count("id").alias("n_with_id"), n(lacks).alias("n_lacking"), *[n(F.col(c).isNull()).alias(f"no_{c}") for c in C.LISTS])
@@ -185,7 +161,7 @@ def catalog_validation(spark, sf_dir):
 def representation_issues(spark, sf_dir):
     """Goods with faults put in: blank brands, repeated materials, short texts, unmarked anomalies, codes beside colours."""
     i = F.col("id")
-    g = goods(spark, sf_dir).withColumns({
+    g = R.goods(spark, sf_dir).withColumns({
         "raw_brand": F.concat(F.lit(" "), "brand"), "brand": F.when(i % 17 == 0, " ").otherwise(F.col("brand")), "material": F.when(i % 19 == 0, F.array(F.lit("mat1"), F.lit("mat1"))).otherwise(F.col("material")),
         "description": F.when(i % 23 == 0, "  ").when(i % 29 == 0, "ab").otherwise("some text"), "original_price": F.when(i % 31 == 0, F.col("discount_price") - 1).otherwise(F.col("original_price")), "price_anomaly": i % 62 == 0,
         "color_raw": F.lit("red"), "color_is_coded": i % 37 == 0, "color": F.when(i % 41 != 0, F.col("color")), "sleeve": F.when(i % 43 == 0, F.array().cast("array<string>")).otherwise(F.col("sleeve")),
@@ -219,12 +195,6 @@ def postings_lookup(spark, sf_dir):
 
 # SQL -------------------------------------------------------------------------------------------
 
-_B = "CASE WHEN p_partkey % 13 <> 0 THEN p_brand END"
-GOODS = f"""goods AS (SELECT p_partkey AS id, {_B} AS brand, {_B} AS brand_normalized, CASE WHEN p_partkey % 3 = 0 THEN 'Men' WHEN p_partkey % 3 = 1 THEN 'Women' END AS category_gender,
-  string_split(p_name, ' ')[2] AS product_type, [string_split(p_name, ' ')[1]] AS color, CASE WHEN p_partkey % 7 <> 0 THEN ['pat' || p_partkey % 5] END AS pattern,
-  list_distinct(['mat' || p_partkey % 4, 'mat' || p_partkey % 3]) AS material, CASE WHEN p_partkey % 5 <> 0 THEN ['fit' || p_partkey % 3] END AS fit, ['sl' || p_partkey % 4] AS sleeve,
-  CASE WHEN p_partkey % 2 = 1 THEN ['nk' || p_partkey % 3] END AS neckline, list_distinct(['f' || p_partkey % 6, 'f' || p_partkey % 4]) AS product_features, ['st' || p_partkey % 8] AS style_attributes,
-  CAST(floor(p_retailprice) AS BIGINT) - p_partkey % 7 * 50 AS discount_price, CAST(floor(p_retailprice) AS BIGINT) AS original_price FROM part)"""
 # what each request asks for, written out
 _HOLDS = {
     0: "coalesce(brand = 'Brand#12', false)",
@@ -247,17 +217,6 @@ _FLAGS = {
 }
 _SUM = " + ".join(f"coalesce(CAST({c} AS BIGINT), 0)" for c in _FLAGS)
 _SPECIFIED = " + ".join(f"CAST({c} IS NOT NULL AS BIGINT)" for c in _FLAGS)
-_JACCARD = lambda c: f"CASE WHEN s.{c} IS NOT NULL AND p.{c} IS NOT NULL THEN len(list_intersect(s.{c}, p.{c})) / len(list_distinct(list_concat(s.{c}, p.{c}))) END"
-_F25 = {
-    "retrieved_by_vector": "CAST(contains(sources, 'vector') AS DOUBLE)", "retrieved_by_attribute": "CAST(contains(sources, 'attribute') AS DOUBLE)", "retrieved_by_bm25": "CAST(contains(sources, 'bm25') AS DOUBLE)",
-    "retrieved_by_multiple_sources": "CAST(n_sources > 1 AS DOUBLE)", "source_count": "CAST(n_sources AS DOUBLE)", "candidate_generation_score": "coalesce(m.vector_score, m.bm25_score, m.attribute_score)",
-    "semantic_similarity": "list_cosine_similarity(sv.v, pv.v)", "lexical_similarity": "coalesce(gb.score, 0.0)",
-    **{f"{c}_match": f"CAST(s.{c} = p.{c} AS DOUBLE)" for c in C.SCALARS}, **{f"{c}_overlap": _JACCARD(c) for c in C.LISTS},
-    "discount_price": "CAST(p.discount_price AS DOUBLE)", "original_price": "CAST(p.original_price AS DOUBLE)", "discount_amount": "CAST(greatest(p.original_price - p.discount_price, 0) AS DOUBLE)",
-    "discount_price_delta_from_seed": "CAST(p.discount_price - s.discount_price AS DOUBLE)", "original_price_delta_from_seed": "CAST(p.original_price - s.original_price AS DOUBLE)",
-}
-F25 = f"{R.MERGED}, {GOODS}, f25 AS (SELECT m.seed, m.doc_id, " + ", ".join(f"{x} AS {c}" for c, x in _F25.items()) + " FROM merged m JOIN goods p ON p.id = m.doc_id JOIN goods s ON s.id = m.seed LEFT JOIN vecs pv ON pv.id = m.doc_id LEFT JOIN vecs sv ON sv.id = m.seed LEFT JOIN gb ON gb.seed = m.seed AND gb.doc_id = m.doc_id)"
-_SCORE = " + ".join(f"coalesce({c}, 0) * {w}" for c, w in sorted(Y.WEIGHTS.items()))
 RELEVANT = f"rel AS (SELECT q.vec_id // {S.EVERY} AS query_id, e.vec_id AS doc_id FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id % {S.EVERY} = 0 AND e.vec_id <> q.vec_id AND e.vec_id % 3 + 1 >= 2)"
 RRF = f"{S.HYBRID}, rrf AS {S._top('h', S.TOP_K)}"
 _WITHIN = ", ".join(f"CAST(count(*) FILTER (coalesce(r.rank <= {min(k, S.TOP_K)}, false)) AS BIGINT) AS within_{k}" for k in D.DEPTHS)
@@ -265,11 +224,11 @@ _QN = "conv_id % 5"
 
 QUERIES = {f.__name__: f for f in (constraint_filter, matching_features, query_representation, reco_feature_matrix, reco_weighted_rank, reco_violations, seed_failures, ranking_tags, rank_deltas, depth_flags, fixed_pool, first_seen_events, tie_order, repeat_audit, unknown_label_ids, catalog_validation, representation_issues, list_checks, bm25_stored_index, postings_lookup)}
 ORACLE_SQL = {
-    "constraint_filter": f"WITH {GOODS} SELECT id % 9 AS query_id, id AS doc_id FROM goods WHERE {_ALL}",
-    "matching_features": f"WITH {GOODS}, m AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _FLAGS.items())} FROM goods) SELECT id % 9 AS query_id, id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _FLAGS)}, CAST(CASE WHEN id % 9 = 3 OR (id % 10 = 0 AND id % 9 IN (2, 4, 7)) THEN NULL ELSE {_ALL} END AS BIGINT) AS constraint_match, {_SUM} AS matched_attribute_count, round(({_SUM}) / nullif({_SPECIFIED}, 0), 6) AS attribute_overlap FROM m",
+    "constraint_filter": f"WITH {R.GOODS} SELECT id % 9 AS query_id, id AS doc_id FROM goods WHERE {_ALL}",
+    "matching_features": f"WITH {R.GOODS}, m AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _FLAGS.items())} FROM goods) SELECT id % 9 AS query_id, id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _FLAGS)}, CAST(CASE WHEN id % 9 = 3 OR (id % 10 = 0 AND id % 9 IN (2, 4, 7)) THEN NULL ELSE {_ALL} END AS BIGINT) AS constraint_match, {_SUM} AS matched_attribute_count, round(({_SUM}) / nullif({_SPECIFIED}, 0), 6) AS attribute_overlap FROM m",
     "query_representation": rf"WITH q AS (SELECT *, nullif(CASE WHEN {_QN} = 1 THEN '' ELSE regexp_replace(regexp_replace(text, '[\s\pZ]+', ' ', 'g'), '^ | $', '', 'g') END, '') AS n FROM conversations) SELECT conv_id, turn, md5(CASE WHEN {_QN} = 2 THEN 'given text' ELSE n END) AS lexical, md5(n) AS semantic, n IS NOT NULL OR {_QN} = 2 AS usable, CASE WHEN n IS NULL THEN 'blank_query' WHEN {_QN} = 3 AND turn < 1 THEN 'price_range' WHEN {_QN} = 4 AND turn % 3 = 2 THEN 'category_gender' END AS problem FROM q",
-    "reco_feature_matrix": f"WITH {F25} SELECT seed, doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in Y.FEATURES)}, {' + '.join(f'CAST({c} IS NULL AS BIGINT)' for c in Y.FEATURES)} AS n_missing FROM f25",
-    "reco_weighted_rank": f"WITH {F25}, scored AS (SELECT seed, doc_id, {_SCORE} AS score FROM f25) SELECT seed, doc_id, round(score, 6) AS score, rank FROM {R._top_seed('scored', R.TOP)}",
+    "reco_feature_matrix": f"WITH {R.F25} SELECT seed, doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in Y.FEATURES)}, {' + '.join(f'CAST({c} IS NULL AS BIGINT)' for c in Y.FEATURES)} AS n_missing FROM f25",
+    "reco_weighted_rank": f"WITH {R.F25}, scored AS (SELECT seed, doc_id, {R.SCORE} AS score FROM f25) SELECT seed, doc_id, round(score, 6) AS score, rank FROM {R._top_seed('scored', R.TOP)}",
     "reco_violations": f"WITH {R.RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY seed, brand ORDER BY rank) AS nb, row_number() OVER (PARTITION BY seed, product_type ORDER BY rank) AS nt FROM ranked WHERE rank <= {R.TOP}) SELECT seed, bool_or(doc_id = seed) AS leakage, count(*) - count(DISTINCT doc_id) AS duplicates, count(*) FILTER (nb > 2 AND brand IS NOT NULL) AS brand_violations, count(*) FILTER (nt > 3 AND product_type IS NOT NULL) AS product_type_violations FROM t GROUP BY seed",
     "seed_failures": f"""WITH {R.WALK}, final AS (SELECT seed, doc_id, n AS rank FROM walk WHERE decision = 'selected'), rel AS (SELECT s.id AS seed, p.id AS doc_id FROM products s JOIN products p ON s.p_name = p.p_name WHERE s.id % {R.SEEDS} = 0 AND p.id % 5 = 1),
       n AS (SELECT s.id AS seed, (SELECT count(*) FROM rel WHERE rel.seed = s.id) AS r, (SELECT count(*) FROM rel JOIN ranked USING (seed, doc_id) WHERE rel.seed = s.id) AS p, (SELECT count(*) FROM rel JOIN ranked USING (seed, doc_id) WHERE rel.seed = s.id AND rank <= 5) AS k, (SELECT count(*) FROM rel JOIN final USING (seed, doc_id) WHERE rel.seed = s.id AND rank <= 5) AS f, (SELECT count(*) FROM final WHERE final.seed = s.id) AS m FROM products s WHERE s.id % {R.SEEDS} = 0)
@@ -283,8 +242,8 @@ ORACLE_SQL = {
     "tie_order": "WITH l AS (SELECT user_id, round(value, 0) AS s, event_type AS i, lag(round(value, 0)) OVER w AS s0, lag(event_type) OVER w AS i0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, count(*) FILTER (s0 < s OR (s0 = s AND i0 > i)) AS n_misplaced FROM l GROUP BY user_id",
     "repeat_audit": f"WITH n AS (SELECT count(*) AS n, count(*) FILTER (vec_id % {S.EVERY} = 0) AS q FROM embeddings) SELECT q * least({S.TOP_K}, n) AS n_a, q * least({S.TOP_K}, n) AS n_b, CAST(0 AS BIGINT) AS n_differing FROM n",
     "unknown_label_ids": "SELECT DISTINCT vec_id AS doc_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)",
-    "catalog_validation": f"WITH {GOODS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(id) AS n_with_id, count(*) FILTER (id IS NULL OR brand IS NULL OR category_gender IS NULL) AS n_lacking, " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS no_{c}" for c in C.LISTS) + " FROM goods",
-    "representation_issues": f"""WITH {GOODS}, i AS (SELECT id, 'structural' AS category, 'blank_brand' AS issue FROM goods WHERE id % 17 = 0
+    "catalog_validation": f"WITH {R.GOODS} SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(id) AS n_with_id, count(*) FILTER (id IS NULL OR brand IS NULL OR category_gender IS NULL) AS n_lacking, " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS no_{c}" for c in C.LISTS) + " FROM goods",
+    "representation_issues": f"""WITH {R.GOODS}, i AS (SELECT id, 'structural' AS category, 'blank_brand' AS issue FROM goods WHERE id % 17 = 0
       UNION ALL SELECT id, 'consistency', 'repeated_material' FROM goods WHERE id % 19 = 0 UNION ALL SELECT id, 'degeneracy', 'empty_list' FROM goods WHERE id % 43 = 0
       UNION ALL SELECT id, 'preservation', 'changed_brand' FROM goods WHERE id % 17 = 0 UNION ALL SELECT id, 'description', 'missing_description' FROM goods WHERE id % 23 = 0
       UNION ALL SELECT id, 'description', 'short_description' FROM goods WHERE id % 23 = 0 OR id % 29 = 0 UNION ALL SELECT id, 'price', 'unmarked_anomaly' FROM goods WHERE (id % 31 = 0) AND id % 62 <> 0

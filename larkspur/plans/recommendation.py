@@ -9,14 +9,18 @@ from larkspur.operators import lexical as L
 from larkspur.operators import ranking as K
 from larkspur.operators import recommend as C
 from larkspur.operators import retrieval as R
+from larkspur.operators import similarity as Y
+from larkspur.operators.constraints import LISTS
+from larkspur.operators.constraints import SCALARS as ALL_SCALARS
 from larkspur.plans import search as S
+from larkspur.session import written
 from larkspur.sources.tables import table
 
 #: The stated query set: every product whose id is divisible by SEEDS.
 SEEDS, POOL, TOP = 20, 50, 10
-SCALARS, MULTIS = {"brand": 3.0, "product_type": 1.5, "size": 0.75}, {"words": 0.5}
-# weights of the recommendation score; raw BM25 is not normalised, as in the specification
-WEIGHTS = {"vector_score": 0.2, "bm25_score": 0.1, "attribute_score": 0.3, "same_brand": 0.1, "word_share": 0.15, "n_sources": 0.05}
+#: The attributes beside the gender, with the weights of the generator.
+SCALARS = {c: C.ATTRIBUTE_WEIGHTS[c] for c in ("brand", "brand_normalized", "product_type")}
+MULTIS = {c: C.ATTRIBUTE_WEIGHTS[c] for c in LISTS}
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +28,28 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("gender"), F.col("p_brand").alias("brand"), F.split("p_name", " ")[1].alias("product_type"), F.col("p_size").cast("string").alias("size"), F.split("p_name", " ").alias("words"), "p_name", "p_retailprice")
 
 
+def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as products: brands and types of their own, other attributes from the key."""
+    key, word = F.col("p_partkey"), F.split("p_name", " ")
+    tag = lambda name, m: F.concat(F.lit(name), (key % m).cast("string"))
+    brand = F.when(key % 13 != 0, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select(
+        key.cast("long").alias("id"), brand.alias("brand"), brand.alias("brand_normalized"),
+        F.when(key % 3 == 0, "Men").when(key % 3 == 1, "Women").alias("category_gender"), word[1].alias("product_type"),
+        F.array(word[0]).alias("color"), F.when(key % 7 != 0, F.array(tag("pat", 5))).alias("pattern"), F.array_distinct(F.array(tag("mat", 4), tag("mat", 3))).alias("material"),
+        F.when(key % 5 != 0, F.array(tag("fit", 3))).alias("fit"), F.array(tag("sl", 4)).alias("sleeve"), F.when(key % 2 == 1, F.array(tag("nk", 3))).alias("neckline"),
+        F.array_distinct(F.array(tag("f", 6), tag("f", 4))).alias("product_features"), F.array(tag("st", 8)).alias("style_attributes"),
+        (F.floor("p_retailprice") - key % 7 * 50).cast("long").alias("discount_price"), F.floor("p_retailprice").cast("long").alias("original_price"),
+    )
+
+
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return products(spark, sf_dir).filter(F.col("id") % SEEDS == 0)
 
 
 def _attribute(spark, sf_dir):
-    return C.attribute_candidates(seeds(spark, sf_dir), products(spark, sf_dir), "gender", SCALARS, MULTIS, TOP)
+    g = goods(spark, sf_dir)
+    return C.attribute_candidates(g.filter(F.col("id") % SEEDS == 0), g, "category_gender", SCALARS, MULTIS, TOP)
 
 
 def _vector(spark, sf_dir):
@@ -76,8 +96,21 @@ def reco_features(spark, sf_dir):
     return f.select("seed", "doc_id", "n_sources", "same_brand", F.round("word_share", 6).alias("word_share"), F.round("price_delta", 4).alias("price_delta"), F.round("attribute_score", 6).alias("attribute_score"))
 
 
+def features25(spark, sf_dir):
+    """The 25 features of every candidate of the merged pools."""
+    pairs = written(C.truncate(_merged(spark, sf_dir), POOL), "merged-pool")
+    p = products(spark, sf_dir)
+    asked = seeds(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("p_name").alias("query_text"))
+    texts = p.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "p_name", "brand").alias("text"))
+    lexical = L.bm25_scores(asked, texts, candidates=pairs.select(F.col("seed").alias("query_id"), "doc_id")).withColumnRenamed("query_id", "seed")
+    return Y.features(pairs, goods(spark, sf_dir), S.vectors(spark, sf_dir), lexical)
+
+
 def _ranked(spark, sf_dir):
-    return L.top_k(_features(spark, sf_dir).withColumn("score", K.weighted(WEIGHTS)), POOL, by="seed")
+    """Each seed's pool by the 18 weights, with the keys of the caps: the normalised brand, else the brand, and the type."""
+    r = L.top_k(features25(spark, sf_dir).withColumn("score", K.weighted(Y.WEIGHTS)), POOL, by="seed").select("seed", "doc_id", "score", "rank")
+    keys = goods(spark, sf_dir).select(F.col("id").alias("doc_id"), F.coalesce(C.folded(F.col("brand_normalized")), C.folded(F.col("brand"))).alias("brand"), C.folded(F.col("product_type")).alias("product_type"))
+    return written(r.join(keys, "doc_id"), "ranked-pool")
 
 
 def reco_rank(spark, sf_dir):
@@ -166,8 +199,17 @@ def _top_seed(src: str, k: int, more: str = "") -> str:
     return f"(SELECT seed, doc_id, score{more}, row_number() OVER (PARTITION BY seed ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {src} QUALIFY rank <= {k})"
 
 
+_B = "CASE WHEN p_partkey % 13 <> 0 THEN p_brand END"
+GOODS = f"""goods AS (SELECT p_partkey AS id, {_B} AS brand, {_B} AS brand_normalized, CASE WHEN p_partkey % 3 = 0 THEN 'Men' WHEN p_partkey % 3 = 1 THEN 'Women' END AS category_gender,
+  string_split(p_name, ' ')[2] AS product_type, [string_split(p_name, ' ')[1]] AS color, CASE WHEN p_partkey % 7 <> 0 THEN ['pat' || p_partkey % 5] END AS pattern,
+  list_distinct(['mat' || p_partkey % 4, 'mat' || p_partkey % 3]) AS material, CASE WHEN p_partkey % 5 <> 0 THEN ['fit' || p_partkey % 3] END AS fit, ['sl' || p_partkey % 4] AS sleeve,
+  CASE WHEN p_partkey % 2 = 1 THEN ['nk' || p_partkey % 3] END AS neckline, list_distinct(['f' || p_partkey % 6, 'f' || p_partkey % 4]) AS product_features, ['st' || p_partkey % 8] AS style_attributes,
+  CAST(floor(p_retailprice) AS BIGINT) - p_partkey % 7 * 50 AS discount_price, CAST(floor(p_retailprice) AS BIGINT) AS original_price FROM part)"""
+_SHARED = " + ".join([*(f"coalesce(lower(s.{c}) = lower(p.{c}), false)::INT * {w}" for c, w in SCALARS.items()), *(f"coalesce(list_has_any(s.{c}, p.{c}), false)::INT * {w}" for c, w in MULTIS.items())])
+_HELD = " + ".join(f"(s.{c} IS NOT NULL)::INT * {w}" for c, w in {**SCALARS, **MULTIS}.items())
 GENERATED = f"""{PRODUCTS},
-ga AS (SELECT s.id AS seed, p.id AS doc_id, (2.0 + (s.brand = p.brand)::INT * 3.0 + (s.product_type = p.product_type)::INT * 1.5 + (s.size = p.size)::INT * 0.75 + list_has_any(s.words, p.words)::INT * 0.5) / 7.75 AS score FROM products s JOIN products p ON s.gender = p.gender AND s.id <> p.id WHERE s.id % {SEEDS} = 0),
+{GOODS},
+ga AS (SELECT s.id AS seed, p.id AS doc_id, (2.0 + {_SHARED}) / (2.0 + {_HELD}) AS score FROM goods s JOIN goods p ON s.category_gender = p.category_gender AND s.id <> p.id WHERE s.id % {SEEDS} = 0),
 {S.UNIT}, gv AS (SELECT s.id AS seed, d.id AS doc_id, list_cosine_similarity(s.v, d.v) AS score FROM vecs s, vecs d WHERE s.id % {SEEDS} = 0 AND s.id <> d.id),
 ptoks AS (SELECT id, regexp_extract_all(lower(p_name || ' ' || brand), '[a-z0-9]+') AS t FROM products), pcs AS (SELECT count(*) AS n, avg(len(t)) AS a FROM ptoks),
 ppost AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM ptoks) GROUP BY ALL), pdf AS (SELECT term, count(*) AS df FROM ppost GROUP BY 1),
@@ -178,8 +220,18 @@ MERGED = f"""{GENERATED}, every AS (SELECT seed, doc_id, 'attribute' AS source,
 merged AS (SELECT seed, doc_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT source) AS n_sources, max(score) FILTER (source = 'vector') AS vector_score, max(score) FILTER (source = 'bm25') AS bm25_score, max(score) FILTER (source = 'attribute') AS attribute_score FROM every GROUP BY ALL)"""
 FEATURES = f"""{MERGED}, pool AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY seed ORDER BY doc_id) <= {POOL}),
 feats AS (SELECT m.*, p.brand, p.product_type, (s.brand = p.brand)::INT::DOUBLE AS same_brand, {SIM} AS word_share, p.p_retailprice - s.p_retailprice AS price_delta FROM pool m JOIN products p ON p.id = m.doc_id JOIN products s ON s.id = m.seed)"""
-SCORE = " + ".join(f"coalesce({c}, 0) * {w}" for c, w in sorted(WEIGHTS.items()))
-RANKED = f"{FEATURES}, scored AS (SELECT *, {SCORE} AS score FROM feats), ranked AS {_top_seed('scored', POOL, ', brand, product_type')}"
+_JACCARD = lambda c: f"CASE WHEN s.{c} IS NOT NULL AND p.{c} IS NOT NULL THEN len(list_intersect(s.{c}, p.{c})) / len(list_distinct(list_concat(s.{c}, p.{c}))) END"
+_F25 = {
+    "retrieved_by_vector": "CAST(contains(sources, 'vector') AS DOUBLE)", "retrieved_by_attribute": "CAST(contains(sources, 'attribute') AS DOUBLE)", "retrieved_by_bm25": "CAST(contains(sources, 'bm25') AS DOUBLE)",
+    "retrieved_by_multiple_sources": "CAST(n_sources > 1 AS DOUBLE)", "source_count": "CAST(n_sources AS DOUBLE)", "candidate_generation_score": "coalesce(m.vector_score, m.bm25_score, m.attribute_score)",
+    "semantic_similarity": "list_cosine_similarity(sv.v, pv.v)", "lexical_similarity": "coalesce(gb.score, 0.0)",
+    **{f"{c}_match": f"CAST(s.{c} = p.{c} AS DOUBLE)" for c in ALL_SCALARS}, **{f"{c}_overlap": _JACCARD(c) for c in LISTS},
+    "discount_price": "CAST(p.discount_price AS DOUBLE)", "original_price": "CAST(p.original_price AS DOUBLE)", "discount_amount": "CAST(greatest(p.original_price - p.discount_price, 0) AS DOUBLE)",
+    "discount_price_delta_from_seed": "CAST(p.discount_price - s.discount_price AS DOUBLE)", "original_price_delta_from_seed": "CAST(p.original_price - s.original_price AS DOUBLE)",
+}
+F25 = f"{MERGED}, pool AS (SELECT * FROM merged QUALIFY row_number() OVER (PARTITION BY seed ORDER BY doc_id) <= {POOL}), f25 AS (SELECT m.seed, m.doc_id, " + ", ".join(f"{x} AS {c}" for c, x in _F25.items()) + " FROM pool m JOIN goods p ON p.id = m.doc_id JOIN goods s ON s.id = m.seed LEFT JOIN vecs pv ON pv.id = m.doc_id LEFT JOIN vecs sv ON sv.id = m.seed LEFT JOIN gb ON gb.seed = m.seed AND gb.doc_id = m.doc_id)"
+SCORE = " + ".join(f"coalesce({c}, 0) * {w}" for c, w in sorted(Y.WEIGHTS.items()))
+RANKED = f"{F25}, scored AS (SELECT seed, doc_id, {SCORE} AS score, lower(coalesce(p.brand_normalized, p.brand)) AS brand, lower(p.product_type) AS product_type FROM f25 JOIN goods p ON p.id = doc_id), ranked AS {_top_seed('scored', POOL, ', brand, product_type')}"
 _OK = f"w.n < {TOP} AND len(list_filter(w.brands, lambda v: v = r.brand)) < 2 AND len(list_filter(w.types, lambda v: v = r.product_type)) < 3"
 WALK = RANKED.replace("products AS", "RECURSIVE products AS", 1) + f""", walk AS (
   SELECT DISTINCT seed, CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS brands, CAST([] AS VARCHAR[]) AS types, CAST(NULL AS BIGINT) AS doc_id, '' AS decision FROM ranked
@@ -205,7 +257,7 @@ ORACLE_SQL = {
     "provenance_merge": f"WITH {MERGED} SELECT seed, doc_id, sources, n_sources, round(coalesce(vector_score, bm25_score, attribute_score), 6) AS score FROM merged",
     "reco_features": f"WITH {FEATURES} SELECT seed, doc_id, n_sources, same_brand, round(word_share, 6) AS word_share, round(price_delta, 4) AS price_delta, round(attribute_score, 6) AS attribute_score FROM feats",
     "reco_rank": f"WITH {RANKED} SELECT seed, doc_id, round(score, 6) AS score, rank FROM ranked",
-    "select_brand_cap": f"WITH {RANKED} SELECT seed, doc_id, rank, brand FROM ranked QUALIFY row_number() OVER (PARTITION BY seed, brand ORDER BY rank) <= 2",
+    "select_brand_cap": f"WITH {RANKED} SELECT seed, doc_id, rank, brand FROM ranked QUALIFY brand IS NULL OR row_number() OVER (PARTITION BY seed, brand ORDER BY rank) <= 2",
     "select_two_caps": f"WITH {WALK} SELECT seed, rank, doc_id, decision, CASE WHEN decision = 'selected' THEN n END AS position FROM walk WHERE rank > 0",
     "reco_pipeline": f"WITH {WALK} SELECT seed, doc_id, n AS rank FROM walk WHERE decision = 'selected'",
     "reco_shortfall": f"WITH {WALK}, c AS (SELECT seed, count(*) AS pool, count(*) FILTER (decision = 'selected') AS got FROM walk WHERE rank > 0 GROUP BY 1) SELECT id AS seed, coalesce(pool, 0) AS pool, coalesce(got, 0) AS got, CAST(greatest({TOP} - coalesce(got, 0), 0) AS BIGINT) AS missing, CASE WHEN pool IS NULL THEN 'NO_CANDIDATES' WHEN got = 0 THEN 'ALL_REJECTED' WHEN got < {TOP} THEN 'SHORTFALL' ELSE 'COMPLETE' END AS state FROM products LEFT JOIN c ON seed = id WHERE id % {SEEDS} = 0",

@@ -186,11 +186,11 @@ def test_redaction_of_planted_secrets(spark):
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     from larkspur.api import Engine
-    from larkspur.plans import products, recommendation, search
+    from larkspur.plans import recommendation, search
 
     sf = "/root/testdata/sf0.001"
     texts = recommendation.products(spark, sf).select("id", F.concat_ws(" ", "p_name", "brand").alias("text"))
-    catalog = products.goods(spark, sf).join(texts, "id").cache()
+    catalog = recommendation.goods(spark, sf).join(texts, "id").cache()
     return Engine.build(catalog, str(tmp_path_factory.mktemp("index") / "lexical"), vectors=search.vectors(spark, sf).join(catalog.select("id"), "id", "left_semi"))
 
 
@@ -205,7 +205,7 @@ def test_search_call(engine):
     engine.encode = lambda text: engine.vectors.filter("id = 3").collect()[0].v
     assert engine.search("red ring", 50).filter("doc_id = 3").count() == 1
     engine.encode = None
-    for bad in (lambda: engine.search(" "), lambda: engine.search("x", 0), lambda: engine.search("x", 1, {"size": 1}), lambda: engine.search("x", 1, {"category_gender": "kids"}), lambda: engine.search("x", 1, {"min_discount_price": 2, "max_discount_price": 1})):
+    for bad in (lambda: engine.search(" "), lambda: engine.search("x", engine.pool + 1), lambda: engine.search("x", 0), lambda: engine.search("x", 1, {"size": 1}), lambda: engine.search("x", 1, {"category_gender": "kids"}), lambda: engine.search("x", 1, {"min_discount_price": 2, "max_discount_price": 1})):
         with pytest.raises(ValueError):
             bad()
 
