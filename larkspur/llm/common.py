@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -59,6 +60,7 @@ def cut(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it again: a lost executor then redoes only what follows."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    release()
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -95,6 +97,17 @@ def split_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, n: str, t
     return salted.join(repeated, [key, "_salt"]).drop("_salt")
 
 
+def release() -> None:
+    """Give back what the driver's Python no longer uses, which its allocators would otherwise keep from one stage to the next."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function made once per task (for its caches)."""
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import as_text, cut, rows_with_id, ship
+from larkspur.llm.common import as_text, cut, release, rows_with_id, ship
 from larkspur.llm.training import bounded_sample, calibrated, isotonic
 
 FIT_ROWS = 3_000
@@ -337,11 +337,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", i
         return model
     model.start = np.concatenate([[0], np.cumsum([len(vectors[i][0]) for i in order])])
     model.terms, model.weights = np.concatenate([vectors[i][0] for i in order]), np.concatenate([vectors[i][1] for i in order])
-    model.labels, model.example_ids = y[order].astype(float), [ids[i] for i in order]
+    model.labels, model.example_ids, w = y[order].astype(float), [ids[i] for i in order], w[order]
+    del held, known, vectors, terms, counts, ids, y
+    release()
     votes = _held_out_votes(sample, model, max(1, len(order) // CALIBRATION_ROWS))
     at = votes.column("i").to_numpy()
     if len(at):
-        model.knots = isotonic(votes.column("vote").to_numpy(), model.labels[at], w[order][at])
+        model.knots = isotonic(votes.column("vote").to_numpy(), model.labels[at], w[at])
     return model
 
 
