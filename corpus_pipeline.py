@@ -20,21 +20,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, neardup, packing, quality, toxicity
-from larkspur.llm.common import cut, fresh_path, ship, table
+from larkspur.llm.common import cut, fresh_path, release, ship, table
 from larkspur.llm.queries import TOXIC_LEAST, quality_model, toxicity_model
 
 #: A document goes if its calibrated quality is below this.
 QUALITY_LEAST = 0.5
 
 
+#: Texts that are judged at once, which bounds a task's memory.
+TEXTS = 256
+
+
 def _kept(docs: DataFrame, column: str, mask: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
     """The rows whose text (null: empty) passes; mask makes, once per task, a function of texts."""
     at = docs.columns.index(column)  # by place: other columns may have any names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what the worker's earlier tasks have left
         passes = mask()
         for b in batches:
-            yield b.filter(pa.array(passes([t or "" for t in b.column(at).to_pylist()]), pa.bool_()))
+            for start in range(0, b.num_rows, TEXTS):
+                some = b.slice(start, TEXTS)
+                yield some.filter(pa.array(passes([t or "" for t in some.column(at).to_pylist()]), pa.bool_()))
+        del passes
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
