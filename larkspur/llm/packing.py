@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from larkspur.llm.common import as_text, rows_with_id
-from larkspur.llm.tokens import encoder
+from larkspur.llm.common import as_text, release, rows_with_id
+from larkspur.llm.tokens import encoder, forget
 
 CAPACITY = 2048
 END_ID = 1
@@ -106,8 +106,11 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece (SCHEMA) of every document's ids, with end_id appended to each document."""
+def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY, end_id: int = END_ID, capacity: int = CAPACITY, keep_encoder: bool = True) -> DataFrame:
+    """One row per piece (SCHEMA) of every document's ids, with end_id appended to each document.
+
+    A worker keeps its encoder from task to task unless keep_encoder is false, as where other stages need the memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # large lists of strings and numbers, no cycles
@@ -125,5 +128,9 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabu
                 found += packer.add(key, np.append(flat[ends[k] : ends[k + 1]], np.uint32(end_id)))
             yield rows(found)
         yield rows(packer.finish())
+        if not keep_encoder:
+            del enc
+            forget()
+            release()
 
     return rows_with_id(docs, id_col, text_col).mapInArrow(run, SCHEMA)

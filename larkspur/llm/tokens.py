@@ -184,3 +184,8 @@ def encoder(vocabulary: str) -> Encoder:
     if vocabulary not in _ENCODERS:
         _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
+
+
+def forget() -> None:
+    """Lets go of this worker's encoders and what they have cached."""
+    _ENCODERS.clear()
