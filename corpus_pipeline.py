@@ -118,7 +118,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows (packing.SCHEMA): each row is a document of its own, an empty or null text its end id alone."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, keep_encoder=False)
 
 
 STAGES = [
