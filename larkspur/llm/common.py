@@ -77,6 +77,11 @@ def _drop(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the input: sorted and merged, so that the driver never collects it to broadcast it (files compress well, rows in memory do not)."""
+    return df.hint("merge")
+
+
 #: A key with more than 1 in PIECES of all rows is split by split_join, which bounds the split keys too.
 PIECES = 1000
 
@@ -94,7 +99,7 @@ def split_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, n: str, t
     split = F.broadcast(per_key.filter(F.col(n) > piece).select(key, parts.alias("_parts")))
     salted = rows.join(split, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    return salted.join(sorted_side(repeated), [key, "_salt"]).drop("_salt")
 
 
 def release() -> None:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, drop_written, ship, split_join
+from larkspur.llm.common import cut, drop_written, ship, sorted_side, split_join
 from larkspur.llm.components import components
 from larkspur.llm.shingles import COORDINATES, linked, mix, set_digest, shingle_set, signature
 
@@ -157,7 +157,7 @@ def _lists(postings: DataFrame) -> DataFrame:
 def _with_both(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
     """Written pairs (a, b) with what one has of a and two has of b; the pairs of a b of very many are spread over tasks."""
     times = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    return split_join(pairs.join(one, "a"), two.join(times, "b"), "b", "a", "n", pairs.count())
+    return split_join(pairs.join(sorted_side(one), "a"), two.join(sorted_side(times), "b"), "b", "a", "n", pairs.count())
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -226,19 +226,19 @@ def _block_links(long_lists: DataFrame, reps: DataFrame, raw: DataFrame, percent
     members = cut(long_lists.select("rep", "c", "head").distinct(), "neardup-long")
     cluster = components(members.select(F.col("rep").alias("u"), F.col("head").alias("v")))
     # the smallest member of a cluster has no row in components()
-    own = members.select("rep", "c").distinct().join(cluster, F.col("rep") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "rep").alias("cluster"))
+    own = members.select("rep", "c").distinct().join(sorted_side(cluster), F.col("rep") == F.col("node"), "left").select("rep", "c", F.coalesce("component", "rep").alias("cluster"))
     own = cut(own, "neardup-long")
     sizes = own.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.groupBy("cluster").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     plan = total.select("cluster", F.col("top.c").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("mains"))
-    j = own.join(plan, "cluster").withColumn("is_main", F.col("c") == F.col("main"))
+    j = own.join(sorted_side(plan), "cluster").withColumn("is_main", F.col("c") == F.col("main"))
     # blocks 0 .. others-1 hold the others, those from others on the largest component
     j = j.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int") + F.when(F.col("is_main"), F.col("others")).otherwise(0))
     partner = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
     dealt = j.filter("others > 0").select("cluster", "rep", "c", "block", F.explode(partner).alias("other"))
     dealt = dealt.select("cluster", "rep", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"))
-    texts = _texts(raw, own.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).join(reps.select("rep", "sig"), "rep")
+    texts = _texts(raw, own.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).join(sorted_side(reps.select("rep", "sig")), "rep")
 
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep", kind="stable").reset_index(drop=True)
@@ -267,7 +267,7 @@ def _block_links(long_lists: DataFrame, reps: DataFrame, raw: DataFrame, percent
                     out.append((rep[x], rep[y]))
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    return dealt.join(texts, "rep").groupBy("cluster", "i", "k").applyInPandas(compare, "u long, v long")
+    return dealt.join(sorted_side(texts), "rep").groupBy("cluster", "i", "k").applyInPandas(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -284,19 +284,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # parts of split lists: their leaders, a few for each list, meet under the most central one
     parts = lists.filter("salt > 0 and rep = leader").select("bucket", "leader", "central").distinct()
     top = parts.groupBy("bucket").agg(F.max(F.struct("central", (-F.col("leader")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("b"))
-    tops = parts.join(top, "bucket").select(F.col("leader").alias("a"), "b")
+    tops = parts.join(sorted_side(top), "bucket").select(F.col("leader").alias("a"), "b")
     stars = cut(lists.select(F.col("rep").alias("a"), F.col("leader").alias("b")).union(tops).filter("a <> b").distinct(), "neardup-stars")
     agreeing = cut(_agreeing(stars, reps), "neardup-pairs")
     first = cut(_confirmed(agreeing, _texts(raw, agreeing), percent), "neardup-links")
     inner = cut(components(first), "neardup-components")
 
     # lists with members in several components: pairs across components, of long lists in blocks
-    placed = cut(lists.select("bucket", "rep").distinct().join(inner, lists.rep == inner.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "neardup-placed")
+    placed = cut(lists.select("bucket", "rep").distinct().join(sorted_side(inner), lists.rep == inner.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c")), "neardup-placed")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"), F.min("rep").alias("head")).filter("c0 < c1").select("bucket", "n", "head")
     left = cut(split_join(placed, mixed, "bucket", "rep", "n", placed.count()), "neardup-open")
     short = left.filter(F.col("n") <= LONG)
     one, two = short.select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca")), short.select("bucket", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    rest = cut(one.join(two, "bucket").filter("a > b and ca <> cb").select("a", "b").distinct(), "neardup-rest")
+    rest = cut(one.join(sorted_side(two), "bucket").filter("a > b and ca <> cb").select("a", "b").distinct(), "neardup-rest")
     across = cut(_agreeing(rest, reps), "neardup-pairs")
     second = cut(_confirmed(across, _texts(raw, across), percent), "neardup-links")
     third = cut(_block_links(left.filter(F.col("n") > LONG), reps, raw, percent), "neardup-links")
@@ -304,9 +304,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     # an id that comes with several sets joins them
     classes = reps.select("hi", "lo", "rep")
     several = usable.groupBy("doc_id").agg(F.min(F.struct("hi", "lo")).alias("s0"), F.max(F.struct("hi", "lo")).alias("s1")).filter("s0 <> s1").select("doc_id")
-    same = usable.join(several, "doc_id").join(classes, ["hi", "lo"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    same = usable.join(sorted_side(several), "doc_id").join(sorted_side(classes), ["hi", "lo"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comp = components(first.union(second).union(third).union(same))
     drop_written(spark, lists, stars, agreeing, first, inner, placed, left, rest, across, second, third)
-    named = classes.join(comp, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
-    rows = feat.join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(sorted_side(comp), F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("c"))
+    rows = feat.join(sorted_side(named), ["hi", "lo"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

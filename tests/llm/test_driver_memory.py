@@ -1,0 +1,26 @@
+"""What grows with the input is never collected to be broadcast."""
+
+from pyspark.sql import functions as F
+
+from larkspur.llm.common import split_join
+from larkspur.llm.neardup import near_duplicates
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_duplicates_broadcast_no_table_of_documents(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[k % 5 : 40 + k % 5])) for k in range(40)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "BroadcastHashJoin" not in _plan(out)
+    assert out.filter("kept").count() == 1
+
+
+def test_split_join_broadcasts_frequent_keys_alone(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("k"), "id")
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    out = split_join(rows, keys, "k", "id", "n", 3000)
+    assert _plan(out).count("BroadcastHashJoin") == 1 and _plan(out).count("SortMergeJoin") == 1
+    assert out.count() == 3000 and out.filter("id > top").count() == 0
