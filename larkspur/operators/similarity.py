@@ -57,9 +57,10 @@ def features(pairs: DataFrame, catalog: DataFrame, vectors: DataFrame, lexical:
     columns = [*SCALARS, *LISTS, "discount_price", "original_price"]
     mine = catalog.select(F.col("id").alias("doc_id"), *columns)
     theirs = catalog.select(F.col("id").alias("seed"), *[F.col(c).alias(f"s_{c}") for c in columns])
-    j = pairs.join(mine, "doc_id").join(theirs, "seed")
-    j = j.join(vectors.select(F.col("id").alias("doc_id"), "v"), "doc_id", "left").join(vectors.select(F.col("id").alias("seed"), F.col("v").alias("sv")), "seed", "left")
-    j = j.join(lexical.select("seed", "doc_id", F.col("score").alias("bm25")), ["seed", "doc_id"], "left")
+    # the sides grow with the catalog: merged, never broadcast, however well their files compress
+    j = pairs.join(mine.hint("merge"), "doc_id").join(theirs.hint("merge"), "seed")
+    j = j.join(vectors.select(F.col("id").alias("doc_id"), "v").hint("merge"), "doc_id", "left").join(vectors.select(F.col("id").alias("seed"), F.col("v").alias("sv")).hint("merge"), "seed", "left")
+    j = j.join(lexical.select("seed", "doc_id", F.col("score").alias("bm25")).hint("merge"), ["seed", "doc_id"], "left")
     near = {"semantic_similarity": F.when(F.col("v").isNotNull() & F.col("sv").isNotNull(), dot(F.col("sv"), F.col("v"))), "lexical_similarity": F.coalesce("bm25", F.lit(0.0))}
     return j.withColumns(generation() | near | structured() | catalog_context()).select("seed", "doc_id", *[F.col(c).cast("double").alias(c) for c in FEATURES])
 
