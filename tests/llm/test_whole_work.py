@@ -24,3 +24,11 @@ def test_split_join_broadcasts_frequent_keys_alone(spark):
     out = split_join(rows, keys, "k", "id", "n", 3000)
     assert _plan(out).count("BroadcastHashJoin") == 1 and _plan(out).count("SortMergeJoin") == 1
     assert out.count() == 3000 and out.filter("id > top").count() == 0
+
+
+def test_op4_stores_pcm_of_the_operators_rate(spark, tmp_path):
+    from larkspur.llm import media, queries
+
+    spark.createDataFrame([(1, "x" * 100), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.pcm_bytes - 44 for r in queries.op4_media_columns(spark, str(tmp_path)).collect()}
+    assert got == {1: 128 * media.TARGET_RATE // media.RATE * 2, 2: 64 * media.TARGET_RATE // media.RATE * 2}
