@@ -56,12 +56,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: a lost executor then redoes only what follows."""
+def cut(df: DataFrame, label: str, compression: str = "zstd", level: int = 3) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: a lost executor then redoes only what follows.  level is that of zstd."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     release()
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

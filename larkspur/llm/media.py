@@ -3,7 +3,7 @@
 mu-law and A-law codes are expanded by lookup tables built from their rule; IMA ADPCM is decoded with
 numpy across all blocks at once, one step for each sample position of a block.  A media column is a
 binary column of whole WAV files; it is written as a table and read back before anything is decoded, and
-so is the resampled PCM before its digests are taken.
+so is the resampled PCM, packed without loss, before its digests are taken.
 
 Defined results: a null text is an empty one; every payload has at least one 64-byte unit; equal texts
 give equal files; rows with equal or null doc_id stay rows of their own; an empty table gives no rows;
@@ -24,6 +24,8 @@ from larkspur.llm.common import cut, rows_with_id, ship
 
 UNIT = 64
 RATE, TARGET_RATE = 8000, 16000
+#: Level of zstd in the two written tables.
+LEVEL = 6
 #: Format tags of the WAV container.
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 
@@ -155,7 +157,7 @@ def store_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             yield pa.record_batch([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     ship(docs.sparkSession)
-    return cut(rows_with_id(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
+    return cut(rows_with_id(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", level=LEVEL)
 
 
 def decode_media(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
@@ -174,8 +176,53 @@ def decode_media(media: DataFrame, target: int = TARGET_RATE) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, samples binary, pcm binary, feature string")
 
 
+def _plane(x: np.ndarray) -> tuple[bytes, bytes]:
+    """(levels, codes): the values that occur in ascending order and each sample's place among them; over 256 of them, the samples as they are."""
+    u = x.view(np.uint16)
+    seen = np.zeros(1 << 16, bool)
+    seen[u] = True
+    levels = np.flatnonzero(seen).astype(np.uint16)
+    if len(levels) > 256:
+        return b"", x.astype("<i2").tobytes()
+    place = np.zeros(1 << 16, np.uint8)
+    place[levels] = np.arange(len(levels), dtype=np.uint8)
+    return levels.astype("<u2").tobytes(), place[u].tobytes() if len(levels) > 1 else b""
+
+
+def _of_plane(levels: bytes, codes: bytes, n: int) -> np.ndarray:
+    table = np.frombuffer(levels, "<i2")
+    return np.frombuffer(codes, "<i2") if not levels else table[np.frombuffer(codes, np.uint8)] if codes else np.repeat(table, n)
+
+
+def pack_pcm(pcm: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    """Any 16-bit samples without loss: every second one, and how far the others are from the line between their neighbours."""
+    even = np.ascontiguousarray(pcm[::2], np.int16)
+    odd = pcm[1::2] - resample(even, 1, 2)[1::2][: len(pcm) // 2] if len(pcm) > 1 else pcm[:0]
+    return *_plane(even), *_plane(np.ascontiguousarray(odd, np.int16))
+
+
+def unpack_pcm(n: int, *packed: bytes) -> np.ndarray:
+    """The n samples of pack_pcm."""
+    out = np.empty(n, np.int16)
+    out[::2] = even = _of_plane(*packed[:2], n - n // 2)
+    if n > 1:
+        out[1::2] = resample(even, 1, 2)[1::2][: n // 2] + _of_plane(*packed[2:], n // 2)
+    return out
+
+
+PACKED = ("even_levels", "even_codes", "odd_levels", "odd_codes")
+
+
 def store_pcm(decoded: DataFrame) -> DataFrame:
-    """Written table of a decoded media table: what the samples and the media file are known by, and the resampled PCM file."""
+    """Written table of a decoded media table: what the samples and the media file are known by, and the resampled PCM file by pack_pcm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [parse_wav(blob) for blob in b.column("pcm").to_pylist()]
+            audio = [np.frombuffer(f[3], "<i2") for f in files]
+            planes = [pa.array(c, pa.binary()) for c in zip(*map(pack_pcm, audio), strict=True)] or [pa.array([], pa.binary())] * len(PACKED)
+            yield pa.record_batch([*b.columns[:-1], pa.array([f[1] for f in files], pa.int32()), pa.array([len(x) for x in audio], pa.int64()), *planes], names=[*b.schema.names[:-1], "rate", "n_samples", *PACKED])
+
     rows = decoded.select(
         "doc_id",
         "n_bytes",
@@ -187,9 +234,24 @@ def store_pcm(decoded: DataFrame) -> DataFrame:
         "feature",
         "pcm",
     )
-    return cut(rows, "media-pcm")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "pcm"] + ["rate int", "n_samples long"] + [f"{c} binary" for c in PACKED]
+    return cut(rows.mapInArrow(run, ", ".join(kinds)), "media-pcm", level=LEVEL)
+
+
+def read_pcm(stored: DataFrame) -> DataFrame:
+    """A table by store_pcm with its PCM as whole WAV files again (pcm), rebuilt from the stored bytes."""
+    own = [f for f in stored.schema if f.name not in ("rate", "n_samples", *PACKED)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = zip(*[b.column(c).to_pylist() for c in ("rate", "n_samples", *PACKED)], strict=True)
+            files = [wav(PCM, rate, unpack_pcm(n, *planes).astype("<i2").tobytes()) for rate, n, *planes in packed]
+            yield pa.record_batch([*b.columns[: len(own)], pa.array(files, pa.binary())], names=[*b.schema.names[: len(own)], "pcm"])
+
+    return stored.select(*[f.name for f in own], "rate", "n_samples", *PACKED).mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in own), "pcm binary"]))
 
 
 def digests(stored: DataFrame) -> DataFrame:
     """The digest columns of a table by store_pcm, those of the PCM from its stored bytes."""
-    return stored.select(*[c for c in stored.columns if c != "pcm"], F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
+    files = read_pcm(stored)
+    return files.select(*[c for c in files.columns if c != "pcm"], F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
