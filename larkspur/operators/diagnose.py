@@ -66,15 +66,17 @@ def ranking_tags(judged: DataFrame, pool: DataFrame, ranked: DataFrame, top_k: i
     return rows.select(group, F.explode(F.array_compact(tag)).alias("tag")).groupBy(group, "tag").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-def seed_failures(seeds: DataFrame, judged: DataFrame, pool: DataFrame, ranked: DataFrame, final: DataFrame, k: int, top_k: int, rejected: DataFrame | None = None) -> DataFrame:
+def seed_failures(seeds: DataFrame, judged: DataFrame, pool: DataFrame, ranked: DataFrame, final: DataFrame, k: int, top_k: int, rejected: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(seed, failure): what went wrong with each seed (seed).
 
     judged (seed, doc_id) are the relevant items; pool, ranked and final (seed, doc_id, rank) the stages; rejected
-    (seed, doc_id) what a constraint took out.
+    (seed, doc_id) what a constraint took out.  Where counts (seed, n_rel) says how many relevant items a seed has,
+    judged may hold those of the stages alone.
     """
     rel = judged.select("seed", "doc_id").distinct()
     has = lambda df, name: df.join(rel, ["seed", "doc_id"], "left_semi").groupBy("seed").agg(F.countDistinct("doc_id").alias(name))
-    j = seeds.join(rel.groupBy("seed").agg(F.count(F.lit(1)).alias("n_rel")), "seed", "left").join(has(pool, "in_pool"), "seed", "left")
+    n_rel = rel.groupBy("seed").agg(F.count(F.lit(1)).alias("n_rel")) if counts is None else counts
+    j = seeds.join(n_rel, "seed", "left").join(has(pool, "in_pool"), "seed", "left")
     j = j.join(has(ranked.filter(F.col("rank") <= k), "in_ranked"), "seed", "left").join(has(final.filter(F.col("rank") <= k), "in_final"), "seed", "left")
     j = j.join(final.groupBy("seed").agg(F.count(F.lit(1)).alias("n_final")), "seed", "left")
     dropped = F.lit(False)

@@ -78,3 +78,20 @@ def test_bounds_of_ranges_in_small_pieces(spark, monkeypatch):
     want = blocks.join(asked, "term").groupBy("query_id", "range").agg(F.sum(F.col("idf") * F.col("impact")).alias("bound"), F.count(F.lit(1)).alias("n_blocks"))
     rows = lambda df: sorted((r.query_id, r.range, round(r.bound, 9), r.n_blocks) for r in df.collect())
     assert rows(found) == rows(want)
+
+
+def test_seed_failures_rank_once_and_pair_listed_products_alone(spark, monkeypatch):
+    from larkspur.operators import diagnose
+    from larkspur.plans import products
+
+    ranked, judged, calls, inner = recommendation._ranked, [], [], diagnose.seed_failures
+    monkeypatch.setattr(recommendation, "_ranked", lambda *a: calls.append(a) or ranked(*a))
+    monkeypatch.setattr(diagnose, "seed_failures", lambda seeds, rel, pool, *a, **b: judged.append((rel, pool, b.get("counts"))) or inner(seeds, rel, pool, *a, **b))
+    got = sorted(map(tuple, products.seed_failures(spark, SMALL).collect()))
+    (rel, pool, counts), p = judged[0], recommendation.products(spark, SMALL).select("id", "p_name")
+    every = p.filter("id % 5 = 1").withColumnRenamed("id", "doc_id").join(p.filter("id % 20 = 0").withColumnRenamed("id", "seed"), "p_name").select("seed", "doc_id")
+    assert len(calls) == 1 and rel.join(pool, ["seed", "doc_id"], "left_anti").count() == 0
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, every.groupBy("seed").count().collect()))
+    final = recommendation.two_caps(pool).filter("decision = 'selected'").select("seed", "doc_id", F.col("position").alias("rank"))
+    seeds = recommendation.seeds(spark, SMALL).select(F.col("id").alias("seed"))
+    assert got == sorted(map(tuple, inner(seeds, every, pool, pool, final, 5, recommendation.TOP).collect()))
