@@ -95,3 +95,12 @@ def test_seed_failures_rank_once_and_pair_listed_products_alone(spark, monkeypat
     final = recommendation.two_caps(pool).filter("decision = 'selected'").select("seed", "doc_id", F.col("position").alias("rank"))
     seeds = recommendation.seeds(spark, SMALL).select(F.col("id").alias("seed"))
     assert got == sorted(map(tuple, inner(seeds, every, pool, pool, final, 5, recommendation.TOP).collect()))
+
+
+def test_the_length_of_a_vector_is_worked_out_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None])], "id long, e array<double>")
+    out = retrieval.unit(rows, "id", "e")
+    assert [tuple(r) for r in out.collect()] == [(1, [0.6, 0.8])]
+    project = next(x for x in _plan(out).splitlines() if "Project" in x)
+    inner = project[project.rindex("transform(") :]
+    assert "aggregate(" not in inner
