@@ -54,7 +54,7 @@ RARE = 24
 #: Queries that go through the index at once.
 TOGETHER = 256
 #: Queries whose postings are added up at once.
-LISTED = 32
+LISTED = 8
 #: Single-precision cosines are off by far less than this.
 MARGIN = 1e-4
 SHOWN = 6
@@ -104,31 +104,48 @@ def _counts(texts: list[str], vocabulary: pa.Array) -> list[Vector]:
 class BlockMaxIndex:
     """Example vectors (unit length, sparse) in blocks of alike ones.
 
-    Terms that 1 in RARE examples hold at least stand in dense blocks, with the largest weight of each in
-    every block; the others have posting lists.  A block's bound for a query is what the lists give its
+    Terms that 1 in RARE examples hold at least stand in blocks, with the largest weight of each in every
+    block; the others have posting lists.  A block's bound for a query is what the lists give its
     best example, plus the query's product with the block's largest weights.
     """
 
-    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK, rare: int = RARE):
+    def __init__(self, vectors: list[Vector], n_terms: int, block: int = BLOCK, rare: int = RARE, joined: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        """joined: (start, terms, weights) where the vectors lie one after the other already, which are then not copied."""
         self.n, self.n_terms, self.block = len(vectors), n_terms, block
-        count = np.array([len(t) for t, _ in vectors], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(count)])
-        self.terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        self.weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        if joined is None:
+            start = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)])
+            joined = start, *(np.concatenate([v[j] for v in vectors]) if vectors else np.zeros(0, kind) for j, kind in ((0, np.int64), (1, float)))
+        self.start, self.terms, self.weights = joined
         self.blocks = -(-self.n // block)
         held = np.bincount(self.terms, minlength=n_terms)
         frequent = np.flatnonzero((held > 0) & (held * rare >= self.n))
-        self.column = np.full(n_terms, -1, np.int64)
-        self.column[frequent] = np.arange(len(frequent))
-        example, column = np.repeat(np.arange(self.n), count), self.column[self.terms]
-        self.dense = np.zeros((self.blocks * block, len(frequent)), np.float32)
-        on = column >= 0
-        self.dense[example[on], column[on]] = self.weights[on]
-        self.most = self.dense.reshape(self.blocks, block, len(frequent)).max(1) if self.n else np.zeros((0, len(frequent)), np.float32)
-        order = np.argsort(self.terms[~on], kind="stable")
-        self.posted, self.posted_weight = example[~on][order], self.weights[~on][order].astype(np.float32)
+        self.frequent = len(frequent)
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[frequent] = np.arange(self.frequent)
+        # of each block: where in it the weights of frequent terms stand, and the weights; it is spread out when it is looked at
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.most = np.zeros((self.blocks, self.frequent), np.float32)
+        rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
+        for b in range(self.blocks):
+            ends = self.start[b * block : (b + 1) * block + 1]
+            terms, weights = self.terms[ends[0] : ends[-1]], self.weights[ends[0] : ends[-1]].astype(np.float32)
+            example, column = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends)), self.column[terms]
+            on = column >= 0
+            self.held.append((example[on].astype(np.int64) * self.frequent + column[on], weights[on]))
+            self.most[b] = self._spread(b).max(0)
+            rest.append((terms[~on].astype(np.int32), example[~on] + np.int32(b * block), weights[~on]))
+        terms, example, weights = (np.concatenate(x) for x in zip(*rest, strict=True))
+        order = np.argsort(terms, kind="stable")
+        self.posted, self.posted_weight = example[order], weights[order]
         self.lists = np.concatenate([[0], np.cumsum(np.where(self.column < 0, held, 0))])
 
+    def _spread(self, b: int) -> np.ndarray:
+        """The weights of frequent terms in a block's examples, a row for each."""
+        out = np.zeros(self.block * self.frequent, np.float32)
+        at, weights = self.held[b]
+        out[at] = weights
+        return out.reshape(self.block, self.frequent)
+
     def _double(self, examples: np.ndarray, query: Vector, wide: np.ndarray) -> np.ndarray:
         """Cosines of a query with some examples in double precision; wide is an all-zero row, left all-zero."""
         wide[query[0]] = query[1]
@@ -178,7 +195,7 @@ class BlockMaxIndex:
         return sums
 
     def _frequent(self, queries: list[Vector]) -> np.ndarray:
-        wide = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        wide = np.zeros((len(queries), self.frequent), np.float32)
         for q, (t, w) in enumerate(queries):
             column = self.column[t]
             wide[q, column[column >= 0]] = w[column >= 0]
@@ -191,7 +208,7 @@ class BlockMaxIndex:
 
         def look(b: int, rows: np.ndarray) -> None:
             part = wide if len(rows) == n else wide[rows]
-            got = cosines[rows, b * size : (b + 1) * size] + part @ self.dense[b * size : (b + 1) * size].T
+            got = cosines[rows, b * size : (b + 1) * size] + part @ self._spread(b).T
             got[:, self.n - b * size :] = -1
             if without is not None:
                 for c, q in enumerate(rows):
@@ -238,7 +255,9 @@ class ToxicityModel:
     @cached_property
     def index(self) -> BlockMaxIndex:
         """Built where it is first asked for; a worker keeps it from task to task, and it does not travel."""
-        return BlockMaxIndex(self.vectors, len(self.idf))
+        made = BlockMaxIndex(self.vectors, len(self.idf), joined=(self.start, self.terms, self.weights))
+        release()  # what building took
+        return made
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("vectors", "index")}
@@ -264,11 +283,18 @@ def _alike(vectors: list[Vector], n_terms: int, pivots: int = 64) -> np.ndarray:
     return np.lexsort((-near.max(1), near.argmax(1)))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of TOGETHER rows, which bounds what a task works out at once."""
+    for b in batches:
+        for start in range(0, b.num_rows, TOGETHER):
+            yield b.slice(start, TOGETHER)
+
+
 def _vocabulary(sample: DataFrame) -> pa.Table:
     """(term, n): the terms of LEAST_ROWS rows or more, in order, and how many rows hold them: as many as a bounded sample holds."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             row, code, names = _terms(pc.fill_null(b.column(0), ""))
             rows = np.bincount(np.unique(row * len(names) + code) % max(1, len(names)), minlength=len(names))
             yield pa.record_batch([names, pa.array(rows, pa.int64())], names=["term", "n"])
@@ -281,7 +307,7 @@ def _examples(sample: DataFrame, vocabulary: pa.Array) -> pa.Table:
     """(k, y, w, t, c): id, label, weight and counts of vocabulary terms of the sampled rows, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             found = _counts(as_text(b.column(0)), vocabulary)
             cols = [pa.array([f[j].astype(np.int32) for f in found], pa.list_(pa.int32())) for j in (0, 1)]
             named = pa.array([xxhash.xxh3_64_intdigest(t.tobytes() + c.tobytes()) >> 1 for t, c in found], pa.int64())
@@ -298,8 +324,9 @@ def _held_out_votes(sample: DataFrame, model: ToxicityModel, step: int) -> pa.Ta
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what the worker's earlier tasks have left
         m = held.value
-        for b in batches:
+        for b in _few(batches):
             some = b.column(0).to_pylist()
             found = m.index.search([m.vectors[i] for i in some], K, some)
             told = [(i, m.votes(f)) for i, f in zip(some, found, strict=True) if len(f[0])]

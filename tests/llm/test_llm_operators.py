@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,6 +457,34 @@ def test_block_max_search_is_exact(rare):
     assert [len(f) for f, _ in toxicity.BlockMaxIndex([], 5).search([(np.array([1]), np.array([1.0]))], 3)] == [0]
 
 
+def test_block_index_keeps_no_copy_and_no_wide_matrix():
+    """An executor holds an index for each of its workers, so it takes its model's arrays and keeps weights of frequent terms sparse."""
+    rng = np.random.default_rng(5)
+    vectors = []
+    for _ in range(640):
+        t = np.unique(np.concatenate([rng.choice(2000, 60, replace=False), [2000]]))
+        w = rng.random(len(t))
+        vectors.append((t.astype(np.int32), w / np.sqrt((w * w).sum())))
+    start = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])])
+    terms, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+    model = toxicity.ToxicityModel(pa.array([str(k) for k in range(2001)]), np.ones(2001), start, terms, weights, np.ones(640), list(range(640)), 0.0)
+    index = toxicity.BlockMaxIndex(model.vectors, 2001, rare=100)
+    plain = model.index
+    assert np.shares_memory(plain.terms, model.terms) and np.shares_memory(plain.weights, model.weights)
+    held = [x for v in vars(index).values() for x in (v if isinstance(v, list) else [v])]
+    size = sum(a.nbytes for x in held for a in (x if isinstance(x, tuple) else [x]) if isinstance(a, np.ndarray))
+    assert index.frequent > 1000 and size < 640 * index.frequent * 4 / 2  # half of a matrix of all examples
+    wide = np.zeros((640, 2001))
+    for k, (t, w) in enumerate(vectors):
+        wide[k, t] = w
+    for found in (index.search(vectors[:40], 9, list(range(40))), plain.search(vectors[:40], 9, list(range(40)))):
+        for k, (near, cosines) in enumerate(found):
+            cos = wide @ wide[k]
+            cos[k] = -1
+            assert near.tolist() == np.lexsort((np.arange(640), -np.round(cos, 9)))[:9].tolist()
+            assert np.allclose(cosines, cos[near])
+
+
 def _held_out(spark, query, label, folds, fold):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r[label] is not None}
