@@ -50,6 +50,21 @@ def test_lexical_candidates_equal_all_pairs(spark):
     assert _rows(recommend.lexical_candidates(seeds, docs, 4)) == _rows(lexical.top_k(every, 4))
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_best_by_bm25_equal_all_scores_without_shuffling_them(spark, monkeypatch, block):
+    for name, n in (("QUERY_BLOCK", block), ("ROWS", 7), ("PRODUCTS", 11), ("PENDING", 5)):
+        monkeypatch.setattr(lexical, name, n)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["Red", "bolt", "blue", "nut", "a1", "gear", "\u00e9t\u00e9"]) for _ in range(n))
+    docs = spark.createDataFrame([(k, rng.choice([text(k % 9), None, "", "red bolt"])) for k in range(150)], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(k, t) for k, t in enumerate(["red red bolt", "", "unknown", "gear a1 nut", "\u00e9t\u00e9", "blue", None, "NUT"])], "query_id long, query_text string")
+    got = lexical.bm25_top(queries, docs, 4)
+    assert _rows(got) == _rows(lexical.top_k(lexical.bm25_scores(queries, docs), 4))
+    assert "Join" not in _plan(got) and "Aggregate" not in _plan(got)
+    nothing = docs.filter("text is null")
+    assert lexical.bm25_top(queries, nothing, 4).collect() == lexical.bm25_top(queries.limit(0), docs, 4).collect() == lexical.bm25_top(queries, docs.limit(0), 4).collect() == []
+
+
 def test_given_pairs_meet_their_own_terms_alone(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "d")], "doc_id long, text string")
     q = spark.createDataFrame([(7, "a c"), (8, "d")], "query_id long, query_text string")
