@@ -10,13 +10,16 @@ from larkspur.operators.ordered import numbered, running
 from larkspur.session import ship, written
 
 
-def query_metrics(queries: DataFrame, ranked: DataFrame, judgments: DataFrame, ks: list[int], least_grade: int = 2) -> DataFrame:
+def query_metrics(queries: DataFrame, ranked: DataFrame, judgments: DataFrame, ks: list[int], least_grade: int = 2, counts: DataFrame | None = None) -> DataFrame:
     """(variant, query_id, k, n_returned, precision, recall, hit, ndcg, rr, first_rank) of every query, those without a result included.
 
     queries (query_id), ranked (variant, query_id, doc_id, rank), judgments (query_id, doc_id, grade).
     Precision divides by min(k, returned), 0 without results; recall is null without relevant ones; nDCG
-    has linear gain over log2(rank + 1), 0 without results, else null where the ideal is 0.
+    has linear gain over log2(rank + 1), 0 without results, else null where the ideal is 0.  counts (query_id, grade, n) says
+    how many judgments of each grade a query has; with it, judgments need only hold those of the ranked documents.
     """
+    if counts is None:
+        counts = judgments.groupBy("query_id", "grade").agg(F.count(F.lit(1)).alias("n"))
     k_rows = F.explode(F.array(*map(F.lit, ks))).alias("k")
     base = queries.crossJoin(F.broadcast(ranked.select("variant").distinct())).select("variant", "query_id", k_rows)
     j = ranked.filter(F.col("rank") <= max(ks)).join(judgments, ["query_id", "doc_id"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
@@ -29,9 +32,10 @@ def query_metrics(queries: DataFrame, ranked: DataFrame, judgments: DataFrame, k
         F.min(F.when(good, F.col("rank"))).alias("first_rank"),
         F.coalesce(F.sum(F.when(inside, F.col("grade") / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"),
     )
-    best = judgments.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")))
+    places = counts.filter("n > 0").select("query_id", "grade", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(max(ks))).cast("int"))))  # equal grades have equal gains
+    best = places.withColumn("i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"))))
     ideal = best.filter(F.col("i") <= max(ks)).select("query_id", k_rows, "i", "grade").filter("i <= k").groupBy("query_id", "k").agg(F.sum(F.col("grade") / F.log2(F.col("i") + 1)).alias("idcg"))
-    relevant = judgments.groupBy("query_id").agg(F.sum((F.col("grade") >= least_grade).cast("long")).alias("n_relevant"))
+    relevant = counts.groupBy("query_id").agg(F.sum(F.when(F.col("grade") >= least_grade, F.col("n")).otherwise(0)).alias("n_relevant"))
     m = got.join(ideal, ["query_id", "k"], "left").join(relevant, "query_id", "left")
     idcg = F.coalesce("idcg", F.lit(0.0))
     return m.select(

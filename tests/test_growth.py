@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import lexical, recommend, retrieval
-from larkspur.plans import recommendation
+from larkspur.operators import evaluate, lexical, recommend, retrieval
+from larkspur.plans import evaluation, learned, recommendation
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -119,3 +119,35 @@ def test_the_length_of_a_vector_is_worked_out_once(spark):
     project = next(x for x in _plan(out).splitlines() if "Project" in x)
     inner = project[project.rindex("transform(") :]
     assert "aggregate(" not in inner
+
+
+def _odd_vectors(spark, path):
+    """Labels that are missing, of one row, of queries alone, and a row that is there twice."""
+    rows = [(k, [1.0, float(k)], None if k % 11 == 0 else 7 if k == 3 else 8 if k == 40 else k // 2 % 4) for k in range(130)]
+    spark.createDataFrame([*rows, rows[60], rows[20], rows[61]], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_judgments_are_counted_and_looked_up_without_pairs(spark, tmp_path):
+    sf = _odd_vectors(spark, tmp_path)
+    every = evaluation.judgments(spark, sf)
+    counts = evaluation.judgment_counts(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(counts) == rows(every.groupBy("query_id", "grade").count())
+    rng = random.Random(4)
+    ranked = spark.createDataFrame([(v, q, d, n) for v in "ab" for q in range(8) for n, d in enumerate(rng.sample(range(140), 9), 1)], "variant string, query_id long, doc_id long, rank long")
+    some = evaluation.judgments_of(spark, sf, ranked)
+    assert rows(some) == rows(every.join(ranked.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "grade"))
+    queries = spark.range(10).withColumnRenamed("id", "query_id")
+    got = evaluate.query_metrics(queries, ranked, some, [1, 3, 9], counts=counts)
+    rounded = lambda df: [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(df.fillna(-1))]
+    assert rounded(got) == rounded(evaluate.query_metrics(queries, ranked, every, [1, 3, 9]))
+
+
+@pytest.mark.parametrize("name", ["_metrics"])
+def test_no_query_meets_all_documents_of_its_label(spark, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(evaluation, "judgments", refuse)
+    assert getattr(evaluation if name == "_metrics" else learned, name)(spark, SMALL).count()
