@@ -16,8 +16,9 @@ FEATURES = ["bm25_score", "bm25_rank", "vector_score", "vector_rank", "rrf_score
 
 def _judged(spark, sf_dir) -> DataFrame:
     """The normalised features of every pool row with its grade, 0 where it was not judged."""
-    grades = E.judgments(spark, sf_dir).select("query_id", "doc_id", F.col("grade").alias("label"))
-    return R._normalized(spark, sf_dir).join(grades, ["query_id", "doc_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
+    pool = written(R._normalized(spark, sf_dir), "normalized-pool")
+    grades = E.judgments_of(spark, sf_dir, pool).select("query_id", "doc_id", F.col("grade").alias("label"))
+    return pool.join(grades, ["query_id", "doc_id"], "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("long"))
 
 
 def ltr_matrix(spark, sf_dir):

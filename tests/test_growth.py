@@ -144,7 +144,7 @@ def test_judgments_are_counted_and_looked_up_without_pairs(spark, tmp_path):
     assert rounded(got) == rounded(evaluate.query_metrics(queries, ranked, every, [1, 3, 9]))
 
 
-@pytest.mark.parametrize("name", ["_metrics"])
+@pytest.mark.parametrize("name", ["_metrics", "_judged"])
 def test_no_query_meets_all_documents_of_its_label(spark, monkeypatch, name):
     def refuse(*_):
         raise AssertionError("all pairs")
