@@ -151,3 +151,12 @@ def test_no_query_meets_all_documents_of_its_label(spark, monkeypatch, name):
 
     monkeypatch.setattr(evaluation, "judgments", refuse)
     assert getattr(evaluation if name == "_metrics" else learned, name)(spark, SMALL).count()
+
+
+def test_draws_hold_one_row_of_numbers_beside_the_table():
+    import tracemalloc
+
+    tracemalloc.start()
+    drawn = evaluate.draws(42, 3, 50, 2000)
+    assert tracemalloc.get_traced_memory()[1] < 1.5 * drawn.nbytes
+    tracemalloc.stop()
